@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import INT, LONG, schema, spill
 from .tokens import END, encoder, vocabulary_path
@@ -124,5 +123,3 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
 def op3(spark, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
-
-assert T  # types of the schemas above

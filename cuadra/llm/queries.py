@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, substring_dedup
+from . import chat_format, decontaminate, fingerprints, near_dedup, packing, quality, secret_scan, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1,
     "op2_near_dedup": near_dedup.op2,
     "op3_packing": packing.op3,
+    "op4_chat_format": chat_format.op4,
+    "op5_quality": quality.op5,
+    "op6_toxicity": toxicity.op6,
+    "op7_decontaminate": decontaminate.op7,
+    "op8_token_files": token_files.op8,
+    "op9_secret_scan": secret_scan.op9,
+    "op10_fingerprints": fingerprints.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": chat_format.OP4_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
+}

@@ -111,7 +111,10 @@ def repeated_intervals(segments: list[str], weights: list[int], window: int) ->
     begin = np.r_[0, np.cumsum(size)[:-1]]
     stream = np.fromiter((w for x in ids for w in x), np.int64, int(size.sum()))
     # Matching statistics from the right, all segments in step: words [left, right) of a segment have the interval [lo, hi).
-    who = np.flatnonzero(size >= window)
+    several = np.asarray(weights) > 1
+    for k in np.flatnonzero((size >= window) & several):
+        out[k] = [0, int(size[k])]
+    who = np.flatnonzero((size >= window) & ~several)
     right, left = size[who].copy(), size[who].copy()
     lo, hi = np.zeros(len(who), np.int64), np.full(len(who), index.n)
     while len(who):
@@ -167,23 +170,11 @@ def _cut(window: int, gram: int):
             rows = []
             for d, t, blob, runs in zip(pdf.doc_id, pdf.th, pdf.text, pdf.runs, strict=True):
                 words = _words(blob)
+                hashes = signed(gram_hashes(word_hashes(words), window)) if any(r["hot"] for r in runs) else None
                 for r in runs:
                     s, n = r["start"], r["n"]
-                    rows.append((d, t, r["fp"], r["hot"], s, b" ".join(words[s : s + n + window - 1]).decode()))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "fp", "hot", "start", "segment"])
-
-    return task
-
-
-def _window_hashes(window: int):
-    def task(it):
-        for pdf in it:
-            doc, th, at, h = [], [], [], []
-            for d, t, s, x in zip(pdf.doc_id, pdf.th, pdf.start, pdf.segment, strict=True):
-                g = signed(gram_hashes(word_hashes(x.encode().split()), window))
-                doc.append(np.full(len(g), d)), th.append(np.full(len(g), t)), at.append(np.arange(s, s + len(g))), h.append(g)
-            if doc:
-                yield pd.DataFrame({"doc_id": np.concatenate(doc), "th": np.concatenate(th), "place": np.concatenate(at).astype(np.int32), "wh": np.concatenate(h)})
+                    rows.append((d, t, r["fp"], r["hot"], s, b" ".join(words[s : s + n + window - 1]).decode(), hashes[s : s + n] if r["hot"] else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "fp", "hot", "start", "segment", "hashes"])
 
     return task
 
@@ -195,12 +186,13 @@ def _narrow(window: int):
         for pdf in it:
             rows = []
             for d, t, fp, s, x, places in zip(pdf.doc_id, pdf.th, pdf.fp, pdf.start, pdf.segment, pdf.places, strict=True):
+                at = sorted(places)
                 words = x.split("\x20")
-                keep = np.zeros(len(words) - window + 1, bool)
-                at = np.asarray(places) - s
-                keep[at[(at >= 0) & (at < len(keep))]] = True
-                edge = np.flatnonzero(np.diff(np.r_[False, keep, False].astype(np.int8)))
-                rows += [(d, t, fp, s + a, "\x20".join(words[a : b + window - 1])) for a, b in edge.reshape(-1, 2).tolist()]
+                first = at[0]
+                for k, p in enumerate(at):
+                    if k + 1 == len(at) or at[k + 1] > p + 1:
+                        rows.append((d, t, fp, s + first, "\x20".join(words[first : p + window])))
+                        first = at[k + 1] if k + 1 < len(at) else 0
             yield pd.DataFrame(rows, columns=["doc_id", "th", "fp", "start", "segment"])
 
     return task
@@ -272,13 +264,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     counts = runs.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1").select("fp", (F.col("times") > hot).alias("hot"))
     wanted = runs.join(counts, "fp").groupBy("doc_id", "th").agg(F.collect_set(F.struct("fp", "start", "n", "hot")).alias("runs"))
     packed = docs.mapInPandas(_pack, schema(doc_id=LONG, text=BIN, th=LONG))
-    segments = spill(packed.join(wanted, ["doc_id", "th"]).mapInPandas(_cut(window, gram), schema(doc_id=LONG, th=LONG, fp=LONG, hot=BOOL, start=INT, segment=STR)))
+    segments = spill(packed.join(wanted, ["doc_id", "th"]).mapInPandas(_cut(window, gram), schema(doc_id=LONG, th=LONG, fp=LONG, hot=BOOL, start=INT, segment=STR, hashes=T.ArrayType(LONG))))
 
     part = segments.where("hot")
-    hashes = part.mapInPandas(_window_hashes(window), schema(doc_id=LONG, th=LONG, place=INT, wh=LONG))
+    hashes = part.select("doc_id", "th", "start", F.posexplode("hashes").alias("place", "wh"))
     twice = hashes.groupBy("wh").agg(F.count("*").alias("times")).where("times > 1").select("wh")
-    places = hashes.join(twice, "wh", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))
-    narrowed = part.join(places, ["doc_id", "th"]).select("doc_id", "th", "fp", "start", "segment", "places").mapInPandas(_narrow(window), schema(doc_id=LONG, th=LONG, fp=LONG, start=INT, segment=STR))
+    # A row that appears twice has each place twice.
+    places = hashes.join(twice, "wh", "left_semi").groupBy("doc_id", "th", "start").agg(F.collect_set("place").alias("places"))
+    narrowed = part.select("doc_id", "th", "fp", "start", "segment").join(places, ["doc_id", "th", "start"])
+    narrowed = spill(narrowed.select("doc_id", "th", "fp", "start", "segment", "places").mapInPandas(_narrow(window), schema(doc_id=LONG, th=LONG, fp=LONG, start=INT, segment=STR)))
     segments = segments.where("not hot").select("doc_id", "th", "fp", "start", "segment").union(narrowed).withColumn("sh", F.xxhash64("segment"))
 
     rows = segments.select("fp", "sh", "segment", F.lit(1).cast("long").alias("weight")).mapInPandas(_combine, schema(fp=LONG, sh=LONG, segment=STR, weight=LONG))
