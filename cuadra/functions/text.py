@@ -87,26 +87,26 @@ def after(text: Column, label: str, n: int, until: str | None = None) -> Column:
 
 def date_token(name: Column) -> Column:
     """A date within a file name, with dashes; null without one."""
-    found = F.regexp_extract(name, r"(\d{1,2}[-_/]\d{1,2}(?:[-_/]\d{2,4})?)", 1)
+    found = F.regexp_extract(name, r"\b(\d{1,2}[-_/]\d{1,2}(?:[-_/]\d{2,4})?)\b", 1)
     return F.translate(F.nullif(found, F.lit("")), "_/", "--")
 
 
 def voucher_token(name: Column) -> Column:
     """Branch and number of a voucher, or 8 to 14 digits; null without one."""
-    pair = F.nullif(F.regexp_extract(name, r"(\d{1,4}[-_/]\d{4,8})", 1), F.lit(""))
-    return F.coalesce(F.translate(pair, "_/", "--"), F.nullif(F.regexp_extract(name, r"(\d{8,14})", 1), F.lit("")))
+    pair = F.nullif(F.regexp_extract(name, r"\b(\d{1,4}\s*[-_/]\s*\d{4,8})\b", 1), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_replace(pair, r"\s+", ""), "_/", "--"), F.nullif(F.regexp_extract(name, r"\b(\d{8,14})\b", 1), F.lit("")))
 
 
 #: Fixed: words for kinds of documents, which are no part of a provider's name.
-DOCUMENT_WORDS = ["FACTURA", "FACT", "FC", "NOTA", "CREDITO", "DEBITO", "TICKET", "COMPROBANTE", "REMITO", "RECIBO", "PAGINA", "PAG", "HOJA"]
+DOCUMENT_WORDS = ["FAC", "FACT", "FACTURA", "NC", "NOTA", "CREDITO", "COMPROBANTE", "OK"]
 
 
 def provider_key(name: Column) -> Column:
-    """Provider within a file name; null where fewer than three characters are left."""
+    """Provider within a file name, without its date and voucher; null where fewer than three characters are left."""
     words = F.regexp_replace(F.upper(name), r"\b(?:" + "|".join(DOCUMENT_WORDS) + r")\b", " ")
-    for token in (r"\d{1,2}[-_/]\d{1,2}(?:[-_/]\d{2,4})?", r"\d{1,4}[-_/]\d{4,8}", r"\d{8,14}"):
-        words = F.regexp_replace(words, token, " ")
-    kept = collapse(F.regexp_replace(words, r"[\W_]+", " "))
+    for token in (date_token(name), voucher_token(name)):
+        words = F.replace(words, F.coalesce(F.upper(token), F.lit("\u0000")), F.lit(" "))
+    kept = collapse(F.regexp_replace(words, r"[^\p{L}\p{N}]+", " "))
     return F.when(F.length(kept) >= 3, kept)
 
 
@@ -134,7 +134,7 @@ def clean_control(text: Column) -> Column:
 def norm_path(path: Column) -> Column:
     """A Windows path for comparison: no quotes, backslashes, no trailing ones, lower case."""
     bare = F.regexp_replace(F.trim(path), r"^[\"']+|[\"']+$", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(bare, r"[\\/]+", r"\\\\"), r"\\+$", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(bare, r"[\\/]+", r"\\"), r"\\+$", ""))
 
 
 def unquote(text: Column) -> Column:

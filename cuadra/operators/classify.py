@@ -70,15 +70,14 @@ def first_match_join(rows: DataFrame, concept: str, rules: DataFrame, bank: str
     Each distinct concept is matched once against the whole book, which is a hand-written table, broadcast by its size.
     """
     keys = ([bank] if bank else []) + [concept]
-    distinct = rows.select(*keys).distinct()
-    pattern = F.concat(F.lit("(?iu)"), F.col("pattern"))
-    hit = ((F.col("mode") == "regex") & F.regexp_like(F.col(concept), pattern)) | ((F.col("mode") == "contains") & F.contains(norm_text(F.col(concept)), norm_text(F.col("pattern"))))
+    distinct = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    text = F.col(f"_k{len(keys) - 1}")
+    hit = ((F.col("mode") == "regex") & F.regexp_like(text, F.concat(F.lit("(?iu)"), F.col("pattern")))) | ((F.col("mode") == "contains") & F.contains(norm_text(text), norm_text(F.col("pattern"))))
     if bank:
-        hit = hit & (F.col(bank) == F.col("_bank"))
-    book = F.broadcast(rules.withColumnRenamed("bank", "_bank").withColumnRenamed("category", "_category"))
-    found = distinct.join(book, hit).groupBy(*keys).agg(F.min_by("_category", "ord").alias("_rule"))
-    on = [rows[k].eqNullSafe(found[k]) for k in keys]
-    joined = rows.join(found, on, "left").drop(*[found[k] for k in keys])
+        hit = hit & (F.col("_k0") == F.col("_bank"))
+    book = F.broadcast(rules.select(F.col("bank").alias("_bank"), "ord", "mode", "pattern", F.col("category").alias("_category")))
+    found = distinct.join(book, hit).groupBy(*distinct.columns).agg(F.min_by("_category", "ord").alias("_rule"))
+    joined = rows.join(found, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").drop(*distinct.columns)
     return joined.withColumn("category", F.when(is_vat_perception(F.col(concept)), "RET_IVA").otherwise(F.col("_rule"))).drop("_rule")
 
 

@@ -48,7 +48,8 @@ def group_documents(files: DataFrame, name: str = "name", modified: str = "modif
 
     A document has few files; its members are ordered by time, then name; ``n`` counts them.
     """
-    parts = [provider_key(F.col(name)), date_token(F.col(name)), voucher_token(F.col(name))]
+    stem = F.trim(F.regexp_replace(F.regexp_replace(F.col(name), r"\.[^.]*$", ""), r"\s+", " "))
+    parts = [provider_key(stem), date_token(stem), voucher_token(stem)]
     key = F.when(parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull(), F.concat_ws("|", *parts))
     member = F.struct(F.col(modified).alias("modified"), F.lower(name).alias("lname"), F.col(name).alias("name"))
     return files.groupBy(F.coalesce(key, F.concat(F.lit("file:"), F.col(name))).alias("document")).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n"))

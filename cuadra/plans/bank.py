@@ -24,11 +24,15 @@ def has_all(cells: Column, titles: list[str]) -> Column:
     """Every title is within some cell."""
     normal = F.transform(cells, norm_text)
     out = F.lit(True)
-    for t in titles:
-        out = out & F.exists(normal, lambda c, t=t: F.contains(c, norm_text(F.lit(t))))
+    for title in map(norm_text, map(F.lit, titles)):
+        out = out & F.exists(normal, _containing(title))
     return out
 
 
+def _containing(title: Column):
+    return lambda cell: F.contains(cell, title)
+
+
 def column_of(header: Column, title: str) -> Column:
     """1-based place of the first cell that has the title; null without one."""
     return F.nullif(F.array_position(F.transform(header, lambda c: F.contains(norm_text(c), norm_text(F.lit(title)))), F.lit(True)), F.lit(0)).cast("int")

@@ -174,11 +174,11 @@ def header_net_wins(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS fees, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus <> 'F'), 0) AS DOUBLE) / 4 AS vat FROM orders GROUP BY 1)
+WITH s AS (SELECT o_custkey, floor(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 100) * 100 AS fees, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus <> 'F'), 0) AS DOUBLE) / 4 AS vat FROM orders GROUP BY 1)
 SELECT o_custkey, CASE WHEN fees > 0 AND (vat <= 0 OR abs(vat - round(fees * 0.21, 2)) > 0.05) THEN round(fees * 0.21, 2) ELSE vat END AS vat FROM s""")
 def vat_fallback(spark, sf_dir):
     p = numbers.money(F.col("o_totalprice"))
-    s = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(p).cast("double").alias("fees"), (F.coalesce(F.sum(F.when(F.col("o_orderstatus") != "F", p)), F.lit(0)).cast("double") / 4).alias("vat"))
+    s = read(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.floor(F.sum(p).cast("double") / 100) * 100).cast("double").alias("fees"), (F.coalesce(F.sum(F.when(F.col("o_orderstatus") != "F", p)), F.lit(0)).cast("double") / 4).alias("vat"))
     return s.select("o_custkey", numbers.vat_or_theory(F.col("fees"), F.col("vat")).alias("vat"))
 
 
@@ -310,7 +310,7 @@ def accent_strip(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
 
 
-@query(r"SELECT doc_id, md5(replace(upper(trim(regexp_replace(strip_accents(text), '\s+', ' ', 'g'))), 'ß', 'SS')) AS h FROM documents")
+@query(r"SELECT doc_id, md5(replace(upper(trim(regexp_replace(strip_accents(text), '\s+', ' ', 'g'))), 'ẞ', 'SS')) AS h FROM documents")
 def norm_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.norm_text(F.col("text"))).alias("h"))
 
