@@ -20,7 +20,7 @@ from .tokens import END, encoder, vocabulary_path
 
 CAPACITY = 1024
 #: Ranks within a length are counted in so many parts.
-PARTS = 256
+PARTS = 64
 
 
 def fullest(left: dict[int, int], capacity: int) -> list[int]:
