@@ -8,6 +8,7 @@ which is removed as often as the histogram allows. Pieces then find their places
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -19,6 +20,8 @@ from .common import INT, LONG, schema, spill
 from .tokens import END, encoder, vocabulary_path
 
 CAPACITY = 1024
+#: Shares of all bins that may be packed again.
+REPACKED = [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5]
 #: Ranks within a length are counted in so many parts.
 PARTS = 64
 
@@ -49,8 +52,11 @@ def fullest(left: dict[int, int], capacity: int) -> list[int]:
     return chosen
 
 
-def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths of a bin, number of such bins), until every piece has its bin."""
+Bins = list[tuple[list[int], int]]
+
+
+def minimum_slack(histogram: dict[int, int], capacity: int) -> Bins:
+    """(lengths of a bin, number of such bins), each bin the fullest one at its time."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out = []
     while left:
@@ -65,6 +71,61 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[list[int],
     return out
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
+    """Best fit, longest first, for equal bins at once."""
+    spaces: dict[int, Bins] = {}
+
+    def put(space: int, lengths: list[int], times: int) -> None:
+        if times:
+            if space not in spaces:
+                insort(keys, space)
+            spaces.setdefault(space, []).append((lengths, times))
+
+    keys: list[int] = []
+    for n in sorted(histogram, reverse=True):
+        left = histogram[n]
+        while left:
+            at = bisect_left(keys, n)
+            if at == len(keys):
+                space, lengths, times = capacity, [], left
+            else:
+                space = keys[at]
+                lengths, times = spaces[space].pop()
+            # The fullest bin that has room takes as many as it can hold.
+            k = min(space // n, left)
+            used = min(times, left // k)
+            put(space - k * n, lengths + [n] * k, used)
+            left -= k * used
+            if at < len(keys) and space < capacity:
+                put(space, lengths, times - used)
+                if not spaces[space]:
+                    del spaces[space]
+                    keys.remove(space)
+    return [x for bins in spaces.values() for x in bins]
+
+
+def patterns(histogram: dict[int, int], capacity: int) -> Bins:
+    """Minimum slack, until every piece has its bin. The last bins are left with lengths that don't go together; a share of all
+    bins, from the last back, is packed best fit instead where that takes fewer."""
+    bins = minimum_slack(histogram, capacity)
+    total = sum(times for _, times in bins)
+    best, fewest = bins, total
+    for share in REPACKED:
+        head, tail, again = [], Counter(), int(total * share)
+        for lengths, times in reversed(bins):
+            k = min(times, again)
+            again -= k
+            for n in lengths:
+                tail[n] += k
+            if times > k:
+                head.append((lengths, times - k))
+        new = head[::-1] + best_fit({n: c for n, c in tail.items() if c}, capacity)
+        number = sum(times for _, times in new)
+        if number < fewest:
+            best, fewest = new, number
+    return best
+
+
 def _pieces(path: str, capacity: int):
     def task(it):
         for pdf in it:
