@@ -94,6 +94,19 @@ def is_too_large(error: Column) -> Column:
     return F.contains(t, F.lit("too large")) | F.contains(t, F.lit("413")) | F.contains(t, F.lit("request_too_large")) | F.contains(t, F.lit("payload"))
 
 
+def retry_smaller(units: DataFrame, answers: DataFrame, call: Callable[[str], str], split: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Ask again, in smaller units, where a request was too large. ``split`` takes the units and returns smaller ones."""
+    large = answers.where(is_too_large(F.col("error"))).select("doc", "unit_no")
+    again = model_answers(split(units.join(large, ["doc", "unit_no"], "left_semi")), call)
+    return answers.join(large, ["doc", "unit_no"], "left_anti").unionByName(again)
+
+
+def prompt(spark: SparkSession, path: str | None, default: str, token: str, guard: str) -> str:
+    """The text of a prompt's file, else the default; the guard goes before it where it lacks the token."""
+    text = default if path is None else spark.read.text(path, wholetext=True).first()[0]
+    return text if token in text else f"{guard}\n{text}"
+
+
 def source_name(blocks: Column) -> Column:
     """The first file name among content blocks that isn't blank."""
     return F.get(F.filter(F.transform(blocks, lambda b: b["filename"]), lambda n: F.trim(F.coalesce(n, F.lit(""))) != ""), 0)

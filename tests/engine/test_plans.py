@@ -80,6 +80,8 @@ def test_invoices(spark):
     q = invoice.checked(docs, rows).first()
     assert q.good and q.row_total == 10.0 and q.expected == 2 and not q.flagged
     assert docs.select(invoice.column_order(docs)).first()[0] == ["Codigo", "Dto1", "Total"]
+    plain = docs.withColumn("meta_comprobante_raw", F.lit(""))
+    assert plain.select(invoice.column_order(plain)).first()[0] == ["Codigo", "Descripcion", "Cantidad", "Total"]
 
 
 def test_incremental_run(spark):

@@ -4,7 +4,7 @@ import time
 from pyspark.sql import functions as F
 
 from cuadra.operators.ingest import discover
-from cuadra.sources import documents
+from cuadra.sources import documents, sinks
 from cuadra.streaming import agent
 
 
@@ -32,9 +32,27 @@ def test_pages_cells_and_answers(spark, tmp_path):
     units = spark.createDataFrame([("d", 1, "hi"), ("d", 2, "bad")], "doc string, unit_no int, request string")
     got = documents.model_answers(units, call).withColumn("large", documents.is_too_large(F.col("error"))).orderBy("unit_no").collect()
     assert [(r.text, r.large) for r in got] == [("HI", False), (None, True)]
+    smaller = documents.retry_smaller(units, documents.model_answers(units, call), call, lambda u: u.withColumn("request", F.explode(F.split("request", "a"))))
+    assert sorted(r.text for r in smaller.collect()) == ["B", "D", "HI"]
+    assert documents.prompt(spark, None, "say {x}", "{y}", "use {y}") == "use {y}\nsay {x}"
     assert len(documents.signature("k", "1", "n", "{}")) == 64
 
 
+def test_sinks(spark, tmp_path):
+    to = lambda n: str(tmp_path / n)
+    sinks.write_texts(spark.createDataFrame([("a", "x\ny\n")], "doc string, text string"), to("t"))
+    assert {r.value for r in spark.read.text(to("t")).collect()} >= {"x", "y"}
+    sinks.write_sheet(spark.createDataFrame([("b\tc", 2.0), ("a", 1.0)], "name string, v double"), to("s"), ["v"])
+    got = spark.read.option("sep", "\t").option("header", True).csv(to("s")).collect()
+    assert [tuple(r) for r in got] == [("1", "a", "1.0"), ("2", "b c", "2.0")]
+    good, bad = sinks.split_quarantine(spark.createDataFrame([(1, True), (2, False)], "k int, bad boolean"))
+    sinks.write_documents(good, to("j"))
+    assert spark.read.json(to("j")).count() == 1 and bad.first().k == 1
+    sinks.append_status(spark.sql("select 'f' as name, 'OK' as status, current_timestamp() as ts"), to("l"))
+    assert spark.read.parquet(to("l")).first().status == "OK"
+    assert sinks.sheet_columns(spark.createDataFrame([("z",), ("b",), ("p",)], "l string"), "l", ["p", "q"]) == ["p", "b", "z"]
+
+
 def test_stream_meets_files_again(spark, tmp_path):
     folder, ledger = tmp_path / "in", str(tmp_path / "ledger")
     os.makedirs(folder)
