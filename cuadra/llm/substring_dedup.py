@@ -25,7 +25,13 @@ GRAM = 8
 #: Minimizers that occur more often are hot: their windows must also have a repeated hash before they are shipped.
 HOT = 100
 #: Words of segments in one index.
-INDEX_WORDS = 150_000
+INDEX_WORDS = 400_000
+#: Words of a probe: after a failure, so many are looked up before all windows that hold them are tried.
+PROBE = 8
+
+
+#: The bits below each bit of a word.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 def minimizer_runs(raw: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,76 +72,88 @@ class WaveletIndex:
             if step >= 64 or new[-1] == n - 1:
                 break
         bwt = text[order - 1]  # -1 wraps to the last symbol
-        self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
+        self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))].astype(np.int32)
         self.depth = max(1, (sigma - 1).bit_length())
         self.levels = []
         for bit in reversed(range(self.depth)):
             ones = (bwt >> bit) & 1
             packed = np.packbits(np.r_[ones, np.zeros(64 + -n % 64, ones.dtype)].astype(np.uint8), bitorder="little").view(np.uint64)
-            directory = np.r_[0, np.cumsum(np.bitwise_count(packed).astype(np.int64))]
-            zeros = n - int(ones.sum())
+            directory = np.r_[0, np.cumsum(np.bitwise_count(packed).astype(np.int32))].astype(np.int32)
+            zeros = np.int32(n - int(ones.sum()))
             self.levels.append((bit, packed, directory, zeros))
             bwt = np.concatenate([bwt[ones == 0], bwt[ones == 1]])
-        every = np.arange(sigma)
-        self.base = self._walk(every, np.zeros(sigma, np.int64))
+        self.base = self._walk(np.arange(sigma, dtype=np.int32), np.zeros(sigma, np.int32))
+        self.shift = self.first[:sigma] - self.base
 
     def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for bit, packed, directory, zeros in self.levels:
             word = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = directory[word] + np.bitwise_count(packed[word] & mask)
-            at = np.where((symbol >> bit) & 1, zeros + ones, at - ones)
+            ones = np.bitwise_count(packed[word] & BELOW[at & 63]) + directory[word]
+            at = np.where(symbol & (1 << bit), ones + zeros, at - ones)
         return at
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol + pattern, for the intervals of many patterns."""
         k = len(symbol)
-        both = self._walk(np.r_[symbol, symbol], np.r_[lo, hi]) - np.r_[self.base[symbol], self.base[symbol]] + np.r_[self.first[symbol], self.first[symbol]]
-        return both[:k], both[k:]
+        both = self._walk(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        shift = self.shift[symbol]
+        return both[:k] + shift, both[k:] + shift
+
+
+class _Numbers(dict):
+    """Numbers from 1 for distinct words."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        return n
 
 
-def repeated_intervals(segments: list[str], weights: list[int], window: int) -> list[list[int]]:
+def repeated_intervals(segments: list[str], weights: list[int], window: int, probe: int = PROBE) -> list[list[int]]:
     """For each segment: [start, end, ...] of word intervals all of whose windows occur twice or more among all segments.
 
-    A segment with a weight of 2 or more stands for as many occurrences and is indexed twice.
+    A segment with a weight of 2 or more stands for as many occurrences: it is indexed twice, and all its windows are repeated.
     """
-    vocabulary: dict[str, int] = {}
-    number = lambda w: vocabulary.setdefault(w, len(vocabulary) + 1)
-    ids = [[number(w) for w in s.split("\x20")] for s in segments]
-    parts: list[list[int]] = [[0]]
-    for x, weight in zip(ids, weights, strict=True):
-        parts += [x, [0]] * min(2, weight)
-    index = WaveletIndex(np.fromiter((w for p in parts for w in p), np.int64))
-    out: list[list[int]] = [[] for _ in segments]
-    size = np.array([len(x) for x in ids])
-    begin = np.r_[0, np.cumsum(size)[:-1]]
-    stream = np.fromiter((w for x in ids for w in x), np.int64, int(size.sum()))
-    # Matching statistics from the right, all segments in step: words [left, right) of a segment have the interval [lo, hi).
+    words = "\x20\x00\x20".join(segments).split("\x20")
+    text = np.fromiter(map(_Numbers({"\x00": 0}).__getitem__, words), np.int64, len(words))
+    ends = np.r_[np.flatnonzero(text == 0), len(text)]
+    begin = np.r_[0, ends[:-1] + 1]
+    size = ends - begin
     several = np.asarray(weights) > 1
+    again = np.repeat(several, size + 1)[: len(text)]  # with the separator that follows
+    index = WaveletIndex(np.r_[0, text, 0, text[again], 0])
+    out: list[list[int]] = [[] for _ in segments]
     for k in np.flatnonzero((size >= window) & several):
         out[k] = [0, int(size[k])]
+    # Matching statistics from the right, all segments in step: words [left, right) of a segment have the interval [lo, hi).
+    # All windows that end beyond ``right`` are settled, and so are those that begin at ``left`` or later.
     who = np.flatnonzero((size >= window) & ~several)
+    stream = text.astype(np.int32)
     right, left = size[who].copy(), size[who].copy()
-    lo, hi = np.zeros(len(who), np.int64), np.full(len(who), index.n)
+    lo, hi = np.zeros(len(who), np.int32), np.full(len(who), index.n, np.int32)
+    goal, then = np.full(len(who), -1), np.zeros(len(who), np.int64)  # where a probe ends, and what follows if all of it occurs
     while len(who):
         a, b = index.extend(stream[begin[who] + left - 1], lo, hi)
         grew = b - a >= 2
         left = left - grew
         lo, hi = np.where(grew, a, lo), np.where(grew, b, hi)
-        stop = ~grew | (left == 0)
+        probing = goal >= 0
+        stop = ~grew | (left == 0) | (left == goal)
         if not stop.any():
             continue
-        for k in np.flatnonzero(stop & (right - left >= window)):
+        for k in np.flatnonzero(stop & ~probing & (right - left >= window)):
             out[who[k]] += [int(left[k]), int(right[k])]
-        # The next window to try ends before the word that failed, or lies one to the left of the interval.
-        new = np.where(right - left >= window, left + window - 1, right - 1)
-        new = np.where(left == 0, 0, new)
-        right = np.where(stop, new, right)
-        left = np.where(stop, new, left)
-        lo, hi = np.where(stop, 0, lo), np.where(stop, index.n, hi)
-        go = right >= window
-        go |= ~stop
-        who, right, left, lo, hi = (x[go] for x in (who, right, left, lo, hi))
+        # The next window to try ends before the word that failed, or begins one to the left of the interval.
+        next_ = np.where(right - left >= window, left + window - 1, right - 1)
+        # All windows left hold the word that failed and those after it: if few of these don't occur, none of the windows does.
+        tries = stop & ~probing & (left > 0) & (left - 1 + probe < next_)
+        done = stop & probing
+        passed = done & grew
+        start = np.where(tries, left - 1 + probe, np.where(passed, then, np.where(done, right - 1, np.where(left == 0, 0, next_))))
+        goal, then = np.where(tries, left - 1, np.where(stop, -1, goal)), np.where(tries, next_, then)
+        right, left = np.where(stop, start, right), np.where(stop, start, left)
+        lo, hi = np.where(stop, np.int32(0), lo), np.where(stop, np.int32(index.n), hi)
+        go = ~stop | (goal >= 0) | (right >= window)
+        who, right, left, lo, hi, goal, then = (x[go] for x in (who, right, left, lo, hi, goal, then))
     return out
 
 
@@ -162,19 +180,24 @@ def _words(blob: bytes, memory=zstandard.ZstdDecompressor()) -> list[bytes]:  #
     return memory.decompress(blob).split()
 
 
-def _cut(window: int, gram: int):
+def _cut(window: int):
     """Rows of documents with their repeated minimizers, to rows of segments."""
 
     def task(it):
         for pdf in it:
-            rows = []
-            for d, t, blob, runs in zip(pdf.doc_id, pdf.th, pdf.text, pdf.runs, strict=True):
+            n_runs, segments, hashes = [], [], []
+            for blob, start, n, hot in zip(pdf.text, pdf.start, pdf.n, pdf.hot, strict=True):
                 words = _words(blob)
-                hashes = signed(gram_hashes(word_hashes(words), window)) if any(r["hot"] for r in runs) else None
-                for r in runs:
-                    s, n = r["start"], r["n"]
-                    rows.append((d, t, r["fp"], r["hot"], s, b" ".join(words[s : s + n + window - 1]).decode(), hashes[s : s + n] if r["hot"] else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "fp", "hot", "start", "segment", "hashes"])
+                line = b" ".join(words)
+                begin = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                whole = signed(gram_hashes(word_hashes(words), window)) if hot.any() else None
+                first = np.r_[0, begin][start].tolist()
+                last = (begin[start + n + window - 2] - 1).tolist()
+                segments += [line[i:j].decode() for i, j in zip(first, last, strict=True)]
+                hashes += [whole[i : i + k] if h else None for i, k, h in zip(start.tolist(), n.tolist(), hot.tolist(), strict=True)]
+                n_runs.append(len(start))
+            every = lambda c: np.concatenate(c.tolist()) if n_runs else []  # noqa: B023, E731
+            yield pd.DataFrame({"doc_id": np.repeat(pdf.doc_id.to_numpy(), n_runs), "th": np.repeat(pdf.th.to_numpy(), n_runs), "fp": every(pdf.fp), "hot": every(pdf.hot), "start": every(pdf.start), "segment": segments, "hashes": hashes})
 
     return task
 
@@ -236,10 +259,8 @@ def _remove(it):
             keep = np.ones(len(words), bool)
             spans = []
             if found is not None:
-                for f in found:
-                    x = np.asarray(f["found"]) + f["start"]
-                    for a, b in x.reshape(-1, 2).tolist():
-                        keep[a:b] = False
+                for a, b in found.reshape(-1, 2).tolist():
+                    keep[a:b] = False
                 edge = np.flatnonzero(np.diff(np.r_[False, ~keep, False].astype(np.int8)))
                 spans = edge.tolist()
             kept = b" ".join(compress(words, keep))
@@ -261,14 +282,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     docs = docs.withColumn("th", F.xxhash64("text"))
     shards = partitions(spark)
     runs = spill(docs.mapInPandas(_runs(window, gram), schema(doc_id=LONG, th=LONG, fp=LONG, start=INT, n=INT)))
-    counts = runs.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1").select("fp", (F.col("times") > hot).alias("hot"))
+    # Written, so that the join deals out both sides anew and Spark can split the rows of a hot minimizer.
+    counts = spill(runs.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1").select("fp", (F.col("times") > hot).alias("hot")))
     wanted = runs.join(counts, "fp").groupBy("doc_id", "th").agg(F.collect_set(F.struct("fp", "start", "n", "hot")).alias("runs"))
     packed = docs.mapInPandas(_pack, schema(doc_id=LONG, text=BIN, th=LONG))
-    segments = spill(packed.join(wanted, ["doc_id", "th"]).mapInPandas(_cut(window, gram), schema(doc_id=LONG, th=LONG, fp=LONG, hot=BOOL, start=INT, segment=STR, hashes=T.ArrayType(LONG))))
+    listed = packed.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "runs.fp", "runs.start", "runs.n", "runs.hot")
+    segments = spill(listed.mapInPandas(_cut(window), schema(doc_id=LONG, th=LONG, fp=LONG, hot=BOOL, start=INT, segment=STR, hashes=T.ArrayType(LONG))))
 
     part = segments.where("hot")
     hashes = part.select("doc_id", "th", "start", F.posexplode("hashes").alias("place", "wh"))
-    twice = hashes.groupBy("wh").agg(F.count("*").alias("times")).where("times > 1").select("wh")
+    twice = spill(hashes.groupBy("wh").agg(F.count("*").alias("times")).where("times > 1").select("wh"))
     # A row that appears twice has each place twice.
     places = hashes.join(twice, "wh", "left_semi").groupBy("doc_id", "th", "start").agg(F.collect_set("place").alias("places"))
     narrowed = part.select("doc_id", "th", "fp", "start", "segment").join(places, ["doc_id", "th", "start"])
@@ -277,7 +300,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
     rows = segments.select("fp", "sh", "segment", F.lit(1).cast("long").alias("weight")).mapInPandas(_combine, schema(fp=LONG, sh=LONG, segment=STR, weight=LONG))
     found = rows.repartition(shards, "fp").sortWithinPartitions("fp").mapInPandas(_search(window, index_words), schema(fp=LONG, sh=LONG, found=T.ArrayType(INT)))
-    by_doc = segments.select("doc_id", "th", "fp", "sh", "start").join(found, ["fp", "sh"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "found")).alias("found"))
+    by_doc = segments.select("doc_id", "th", "fp", "sh", "start").join(found, ["fp", "sh"]).groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.transform("found", lambda at: at + F.col("start")))).alias("found"))
     out = packed.join(by_doc, ["doc_id", "th"], "left").select("doc_id", "text", "found").mapInPandas(_remove, schema(doc_id=LONG, n_words=LONG, n_removed=LONG, spans=T.ArrayType(INT), kept_text=STR))
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(none)))
 
