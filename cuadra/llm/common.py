@@ -129,10 +129,12 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(60):
         # Large star: each node passes its least neighbour to its larger neighbours.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are written first: a join of two sides that are dealt out for it can split the edges of a hub.
+        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: each node links its smaller neighbours, and itself, to the least of them.
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = checkpoint(e)
+        low = checkpoint(e.groupBy("u").agg(F.min("v").alias("m")))
         e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         e = checkpoint(e)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -124,9 +124,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed_docs = spill(docs.mapInPandas(_sign(shingle, bands, rows), schema(doc_id=LONG, n_shingles=LONG, key=BIN, bands=T.ArrayType(LONG), sketch=BIN)))
     with_words = signed_docs.where("key is not null and doc_id is not null")
-    classes = with_words.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    heads = with_words.join(classes, "key").where("doc_id = rep").select("rep", "key", "bands", "sketch").dropDuplicates(["key"])
-    heads = spill(heads)
+    # Equal sets have equal bands and sketches. Written, so that later joins deal out both sides and can split a large class.
+    heads = spill(with_words.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     classes = heads.select("key", "rep")
 
     banded = heads.select("rep", F.explode("bands").alias("band"))

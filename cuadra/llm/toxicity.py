@@ -8,24 +8,27 @@ document is judged by the length-normalised ratio of all it says and of its most
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DBL, LONG, STR, mix, schema, spill
+from .common import DBL, INT, LONG, STR, mix, schema, spill
 from .quality import fold
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Cells of each count table; tables are of fixed size, whatever the input.
-CELLS = 1 << 20
+#: Cells of the count tables of each order; tables are of fixed size, whatever the input.
+CELLS = {1: 1 << 16, 2: 1 << 17, 3: 1 << 18, 4: 1 << 20, 5: 1 << 20}
 #: Labelled rows of each class that are learnt from at most.
 SAMPLE = 15_000
 THRESHOLD = 0.7
 #: Distinct words that a Python worker remembers, before it starts afresh.
 REMEMBERED = 400_000
+#: Names of the count tables; rows on their way to the driver have the place of a name.
+TABLES = [f"{n}{name}{kind}" for n in range(1, ORDER + 1) for name in (("toxic", "ordinary") if n == ORDER else ("follows",)) for kind in ("", "_all", "_types")]
 WORD = re.compile(r"\w+")
 BEGIN, STOP = "\x02", "\x03"
 FEATURES = 5
@@ -44,6 +47,13 @@ def _hash(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _cell(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of every gram of order ``n``, and of the context before its last character."""
+    cells = np.uint64(CELLS[n])
+    gram = (_hash(codes, n) % cells).astype(np.int64)
+    return gram, (_hash(codes, n - 1)[: len(gram)] % cells).astype(np.int64) if n > 1 else np.zeros(len(gram), np.int64)
+
+
 def _grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """Padded words in one string, the places where their ``ORDER``-grams begin, and how many each word has."""
     n = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -86,14 +96,14 @@ def _cells(it):
         for n, part in pdf.groupby(pdf.gram.str.len()):
             codes = _codes("".join(part.gram))
             at = np.arange(len(part)) * int(n)
-            cell = (_hash(codes, int(n))[at] % np.uint64(CELLS)).astype(np.int64)
-            context = (_hash(codes, int(n) - 1)[at] % np.uint64(CELLS)).astype(np.int64) if n > 1 else np.zeros(len(part), np.int64)
+            cell, context = _cell(codes, int(n))
+            cell, context = cell[at], context[at]
             top = [("toxic", part.toxic), ("ordinary", part.ordinary)] if n == ORDER else [("follows", part.follows)]
             out = []
             for name, value in top:
                 value = value.to_numpy()
                 for kind, where, what in (("", cell, value), ("_all", context, value), ("_types", context, (value > 0).astype(np.int64))):
-                    out.append(pd.DataFrame({"table": f"{n}{name}{kind}", "cell": where, "value": what}))
+                    out.append(pd.DataFrame({"table": np.int32(TABLES.index(f"{n}{name}{kind}")), "cell": where.astype(np.int32), "value": what}))
             out = pd.concat(out)
             yield out[out.value > 0].groupby(["table", "cell"], as_index=False).value.sum()
 
@@ -102,12 +112,21 @@ class KneserNey:
     """Count tables, with the weights that turn a document's features into a probability."""
 
     def __init__(self, cells: pd.DataFrame):
-        self.tables = {f"{n}{name}{kind}": np.zeros(CELLS if n > 1 or not kind else 1, np.float32) for n in range(1, ORDER + 1) for name in (("toxic", "ordinary") if n == ORDER else ("follows",)) for kind in ("", "_all", "_types")}
-        for name, part in cells.groupby("table"):
-            self.tables[name][part.cell.to_numpy()] = part.value.to_numpy()
+        self.tables = {name: np.zeros(CELLS[int(name[0])], np.float32) for name in TABLES}
+        table, cell, value = (cells[c].to_numpy() for c in ("table", "cell", "value"))
+        for k, name in enumerate(TABLES):
+            own = np.flatnonzero(table == k)
+            self.tables[name][cell[own]] = value[own]
         self.weights = np.zeros(FEATURES + 1)
         self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
 
+    def __getstate__(self) -> dict:
+        """Tables hold whole numbers, most of them 0, and are packed for their way to the workers."""
+        return self.__dict__ | {"tables": {k: zlib.compress(t.astype(np.uint32).tobytes(), 1) for k, t in self.tables.items()}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"tables": {k: np.frombuffer(zlib.decompress(t), np.uint32).astype(np.float32) for k, t in state["tables"].items()}}
+
     def _interpolate(self, name: str, cell: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
         t = self.tables
         total = t[name + "_all"][context]
@@ -119,12 +138,13 @@ class KneserNey:
         """Log-likelihood ratios of words, toxic against ordinary."""
         text, begin, n = _grams(words)
         codes = _codes(text)
-        cells = [None] + [(_hash(codes, k) % np.uint64(CELLS)).astype(np.int64) for k in range(1, ORDER + 1)]
         p = np.full(len(begin), 1e-4)
         for k in range(1, ORDER):
+            gram, context = _cell(codes, k)
             at = begin + ORDER - k
-            p = self._interpolate(f"{k}follows", cells[k][at], cells[k - 1][at] if k > 1 else np.zeros(len(at), np.int64), p)
-        toxic, ordinary = (self._interpolate(f"{ORDER}{c}", cells[ORDER][begin], cells[ORDER - 1][begin], p) for c in ("toxic", "ordinary"))
+            p = self._interpolate(f"{k}follows", gram[at], context[at], p)
+        gram, context = _cell(codes, ORDER)
+        toxic, ordinary = (self._interpolate(f"{ORDER}{c}", gram[begin], context[begin], p) for c in ("toxic", "ordinary"))
         return np.add.reduceat(np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12)), np.cumsum(n) - n)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -193,8 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> KneserNey
     union = orders[0]
     for x in orders[1:]:
         union = union.unionByName(x)
-    cells = union.mapInPandas(_cells, schema(table=STR, cell=LONG, value=LONG)).groupBy("table", "cell").agg(F.sum("value").cast("float").alias("value"))
-    model = KneserNey(cells.toPandas())  # 18 tables of at most CELLS rows
+    cells = union.mapInPandas(_cells, schema(table=INT, cell=INT, value=LONG)).groupBy("table", "cell").agg(F.sum("value").cast("float").alias("value"))
+    model = KneserNey(cells.toPandas())  # 18 tables of fixed size
     held = spark.sparkContext.broadcast(model)
     task = _features(held)
 

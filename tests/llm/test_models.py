@@ -76,8 +76,7 @@ def test_kneser_ney_sums_to_one():
         codes = toxicity._codes(context + c)
         p = np.full(1, 0.0)
         for n in range(1, toxicity.ORDER + 1):
-            cell = (toxicity._hash(codes[-n:], n) % np.uint64(toxicity.CELLS)).astype(np.int64)
-            before = (toxicity._hash(codes[-n:], n - 1) % np.uint64(toxicity.CELLS)).astype(np.int64)[:1] if n > 1 else np.zeros(1, np.int64)
+            cell, before = toxicity._cell(codes[-n:], n)
             p = model._interpolate(f"{n}follows" if n < toxicity.ORDER else "5toxic", cell, before, p if n > 1 else np.full(1, 1 / 3))
         total += p[0]
     assert abs(total - 1) < 1e-6
