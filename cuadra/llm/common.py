@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,30 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
+def token_codes(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Tokens between ASCII white space of many texts: a number for each, where the tokens of each text begin and the last ones
+    end, and the distinct tokens by number. Null texts have none."""
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string(), from_pandas=True).fill_null(""))
+    found = parts.flatten().dictionary_encode()
+    codes, tokens = found.indices.to_numpy(), found.dictionary.to_pylist()
+    bounds = parts.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0] if len(bounds) else 0
+    if "" in tokens:  # white space at either end of a text
+        real = codes != tokens.index("")
+        bounds = np.r_[0, np.cumsum(real)][bounds]
+        codes = codes[real]
+    return codes, bounds, tokens
+
+
+def by_length(it: Iterator, most: int = 1 << 24) -> Iterator:
+    """Cut the pandas batches of a task into pieces of about ``most`` characters of ``text``; a longer text is a piece of its own."""
+    for pdf in it:
+        part = (np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf.text]) - 1) // most
+        for at in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(part)) + 1):
+            if len(at):
+                yield pdf.iloc[at[0] : at[-1] + 1]
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every ``n`` consecutive words; empty if there are fewer."""
     if len(hashes) < n:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DBL, LONG, gram_hashes, schema, word_hashes
+from .common import DBL, LONG, by_length, gram_hashes, schema, token_codes, word_hashes
 
 #: Buckets of hashed words, rank of the interactions, labelled rows that are learnt from at most, and passes over them.
 BUCKETS, RANK, SAMPLE, EPOCHS = 1 << 15, 8, 6000, 6
@@ -53,16 +53,23 @@ def statistics(raw: bytes, hashes: np.ndarray, n_chars: float) -> np.ndarray:
     return out
 
 
-def features(text: str | None, n_chars) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values): statistics first, then hashed words, weighted by the logarithm of their counts, with a norm of 1."""
-    raw = (text or "").encode()
-    hashes = word_hashes(raw.split())
-    lowered = word_hashes(raw.lower().split())
-    at, n = np.unique((lowered >> np.uint64(40)) % np.uint64(BUCKETS), return_counts=True)
-    x = np.log1p(n)
-    x = x / max(1e-9, np.sqrt((x * x).sum()))
-    n_chars = len(text or "") if n_chars is None or pd.isna(n_chars) else float(n_chars)
-    return np.r_[np.arange(STATISTICS), at.astype(np.int64) + STATISTICS].astype(np.int32), np.r_[statistics(raw, hashes, n_chars), x].astype(np.float32)
+def features(texts, n_chars) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, values) of each text: statistics first, then hashed words, weighted by the logarithm of their counts, with a norm
+    of 1. Each distinct token is hashed once."""
+    texts = ["" if t is None else t for t in texts]
+    codes, bounds, tokens = token_codes(texts)
+    raw = [t.encode() for t in tokens]
+    hashes = word_hashes(raw)
+    buckets = ((word_hashes([t.lower() for t in raw]) >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+    out = []
+    for k, (text, chars) in enumerate(zip(texts, n_chars, strict=True)):
+        own = codes[bounds[k] : bounds[k + 1]]
+        at, n = np.unique(buckets[own], return_counts=True)
+        x = np.log1p(n)
+        x = x / max(1e-9, np.sqrt((x * x).sum()))
+        chars = len(text) if chars is None or pd.isna(chars) else float(chars)
+        out.append((np.r_[np.arange(STATISTICS), at + STATISTICS].astype(np.int32), np.r_[statistics(text.encode(), hashes[own], chars), x].astype(np.float32)))
+    return out
 
 
 class FactorisationMachine:
@@ -84,7 +91,10 @@ class FactorisationMachine:
         sums = np.add.reduceat(vx, first)
         return self.bias + np.add.reduceat(self.w[at] * x, first) + 0.5 * (sums**2 - np.add.reduceat(vx**2, first)).sum(1)
 
-    def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def score(self, rows: list[tuple[np.ndarray, np.ndarray]], batch: int = 512) -> np.ndarray:
+        return np.concatenate([self._score(rows[k : k + batch]) for k in range(0, len(rows), batch)] or [np.empty(0)])
+
+    def _score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
         first = np.r_[0, np.cumsum([len(r[0]) for r in rows])[:-1]]
         return 1 / (1 + np.exp(-np.clip(self.raw(at, self._scaled(at, x), first), -30, 30).astype(float)))
@@ -122,8 +132,8 @@ class FactorisationMachine:
 
 
 def _features(it):
-    for pdf in it:
-        x = [features(t, n) for t, n in zip(pdf.text, pdf.n_chars, strict=True)]
+    for pdf in by_length(it):
+        x = features(pdf.text, pdf.n_chars)
         yield pd.DataFrame({"label": pdf.label, "at": [a for a, _ in x], "x": [v for _, v in x]})
 
 
@@ -164,10 +174,8 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # 1.3 MB, whatever the input
 
     def task(it):
-        for pdf in it:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                yield pd.DataFrame({"doc_id": part.doc_id, "score": held.value.score([features(t, n) for t, n in zip(part.text, part.n_chars, strict=True)])})
+        for pdf in by_length(it):
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "score": held.value.score(features(pdf.text, pdf.n_chars))})
 
     return _input(docs).mapInPandas(task, schema(doc_id=LONG, score=DBL))
 
@@ -182,7 +190,7 @@ def filter_by_score(docs: DataFrame, model: FactorisationMachine, threshold: flo
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n_chars = part.column(names.index("n_chars")).to_pylist() if "n_chars" in names else [None] * part.num_rows
-                rows = [features(t, n) for t, n in zip(part.column(names.index("text")).to_pylist(), n_chars, strict=True)]
+                rows = features(part.column(names.index("text")).to_pylist(), n_chars)
                 yield part.filter(pa.array(held.value.score(rows) >= threshold))
 
     return docs.mapInArrow(task, docs.schema)

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from cuadra.llm import decontaminate, fingerprints, near_dedup, quality, toxicity
-from cuadra.llm.common import connected, range_buckets
+from cuadra.llm.common import by_length, connected, range_buckets, token_codes
 from cuadra.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -73,15 +74,28 @@ def test_kneser_ney_sums_to_one():
     context = "\x02\x02ab"
     total = 0.0
     for c in "ab\x03":
-        codes = toxicity._codes(context + c)
+        hashes = toxicity._hashes(toxicity._codes(context + c))
         p = np.full(1, 0.0)
         for n in range(1, toxicity.ORDER + 1):
-            cell, before = toxicity._cell(codes[-n:], n)
+            cell, before = toxicity._cell(hashes, n, np.array([toxicity.ORDER - n]))
             p = model._interpolate(f"{n}follows" if n < toxicity.ORDER else "5toxic", cell, before, p if n > 1 else np.full(1, 1 / 3))
         total += p[0]
     assert abs(total - 1) < 1e-6
 
 
+def test_tokens_are_those_of_plain_splitting():
+    texts = [None, "", " \n ", "one", "  b  A\x1cC ", "Ünï ΣΑΣ a-b,c\u00a0d d", "x" * 40 + "\ty"]
+    codes, bounds, tokens = token_codes(texts)
+    for k, t in enumerate(texts):
+        own = [tokens[i] for i in codes[bounds[k] : bounds[k + 1]]]
+        assert own == [x.decode() for x in (t or "").encode().split()]
+        assert [w for x in toxicity._words(own) for w in x] == re.findall(r"\w+", (t or "").lower())
+    pieces = list(by_length(iter([pd.DataFrame({"text": texts})]), 10))
+    assert [t for p in pieces for t in p.text] == texts and len(pieces) > 1
+    plain = pd.concat(toxicity._count([pd.DataFrame({"text": ["a b", None], "label": [1, 0]})]))
+    assert dict(zip(plain.gram, plain.toxic, strict=True)) == {"\x02" * 4 + "a": 1, "\x02" * 3 + "a\x03": 1, "\x02" * 4 + "b": 1, "\x02" * 3 + "b\x03": 1}
+
+
 def test_fingerprints(spark, documents, odd_rows):
     rows = odd_rows + [(1000 + k, " ".join(f"t{k}w{i}" for i in range(k % 40))) for k in range(1200)]
     got = fingerprints.compare_with_edits(documents(rows)).collect()
