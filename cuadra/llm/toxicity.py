@@ -15,21 +15,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DBL, INT, LONG, STR, mix, schema, spill
+from .common import DBL, INT, LONG, STR, by_length, mix, schema, spill, token_codes
 from .quality import fold
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Cells of the count tables of each order; tables are of fixed size, whatever the input.
+#: Cells of the count tables of each order, powers of 2; tables are of fixed size, whatever the input.
 CELLS = {1: 1 << 16, 2: 1 << 17, 3: 1 << 18, 4: 1 << 20, 5: 1 << 20}
 #: Labelled rows of each class that are learnt from at most.
 SAMPLE = 15_000
 THRESHOLD = 0.7
-#: Distinct words that a Python worker remembers, before it starts afresh.
-REMEMBERED = 400_000
 #: Names of the count tables; rows on their way to the driver have the place of a name.
 TABLES = [f"{n}{name}{kind}" for n in range(1, ORDER + 1) for name in (("toxic", "ordinary") if n == ORDER else ("follows",)) for kind in ("", "_all", "_types")]
-WORD = re.compile(r"\w+")
+#: What separates words within a line.
+BETWEEN = re.compile(r"[^\w\n]+")
 BEGIN, STOP = "\x02", "\x03"
 FEATURES = 5
 
@@ -38,20 +37,19 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
-def _hash(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of every ``n`` consecutive characters."""
-    size = len(codes) - n + 1
-    h = np.full(max(0, size), n, np.uint64)
-    for j in range(n):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + size] + np.uint64(1))
-    return h
+def _hashes(codes: np.ndarray, most: int = ORDER) -> list[np.ndarray]:
+    """Hashes of every n consecutive characters, for n from 0 to ``most``; each is made from the one before."""
+    out = [np.full(len(codes), 1, np.uint64)]
+    for n in range(1, most + 1):
+        size = max(0, len(codes) - n + 1)
+        out.append(mix(out[-1][:size] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :][:size] + np.uint64(1)))
+    return out
 
 
-def _cell(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of every gram of order ``n``, and of the context before its last character."""
-    cells = np.uint64(CELLS[n])
-    gram = (_hash(codes, n) % cells).astype(np.int64)
-    return gram, (_hash(codes, n - 1)[: len(gram)] % cells).astype(np.int64) if n > 1 else np.zeros(len(gram), np.int64)
+def _cell(hashes: list[np.ndarray], n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the grams of order ``n`` that begin at ``at``, and of the contexts before their last characters."""
+    low = np.uint64(CELLS[n] - 1)
+    return (hashes[n][at] & low).astype(np.int64), (hashes[n - 1][at] & low).astype(np.int64)
 
 
 def _grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -63,41 +61,45 @@ def _grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return text, np.arange(ends[-1]) + np.repeat(begin - ends + n, n), n
 
 
-def _words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def _words(tokens: list[str]) -> list[list[str]]:
+    """The lower-cased words of each token."""
+    return [x.split() for x in BETWEEN.sub(" ", "\n".join(tokens).lower()).split("\n")] if tokens else []
+
+
+def _distinct_words(tokens: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of tokens, their places in the order of the tokens, and for each token its first place and how many follow."""
+    found = _words(tokens)
+    index: dict[str, int] = {}
+    at = np.array([index.setdefault(w, len(index)) for x in found for w in x], np.int64)
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    return list(index), at, np.cumsum(n) - n, n
 
 
 def _count(it):
     """(gram, toxic, ordinary): counts in labelled rows, of every gram that occurs in any row."""
-    for pdf in it:
-        index: dict[str, int] = {}
-        places, weight = [], []
-        for t, label in zip(pdf.text, pdf.label, strict=True):
-            w = _words(t)
-            at = np.fromiter((index.setdefault(x, len(index)) for x in w), np.int64, len(w))
-            if label >= 0:
-                places.append(at)
-                weight.append(np.full(len(at), int(label)))
-        if not index:
+    for pdf in by_length(it):
+        codes, bounds, tokens = token_codes(pdf.text)
+        words, at, first, n = _distinct_words(tokens)
+        if not words:
             continue
-        words = list(index)
-        at, y = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (places, weight))
-        text, begin, n = _grams(words)
-        number, distinct = pd.factorize(_hash(_codes(text), ORDER)[begin])
-        first = np.empty(len(distinct), np.int64)
-        first[number[::-1]] = begin[::-1]
-        counts = [np.bincount(number, np.repeat(np.bincount(at[y == k], minlength=len(words)), n), len(distinct)).astype(np.int64) for k in (1, 0)]
-        yield pd.DataFrame({"gram": [text[i : i + ORDER] for i in first.tolist()], "toxic": counts[0], "ordinary": counts[1]})
+        label = np.repeat(pdf.label.to_numpy(), np.diff(bounds))
+        text, begin, size = _grams(words)
+        number, distinct = pd.factorize(_hashes(_codes(text))[ORDER][begin])
+        place = np.empty(len(distinct), np.int64)
+        place[number[::-1]] = begin[::-1]
+        counts = {}
+        for name, k in (("toxic", 1), ("ordinary", 0)):
+            of_tokens = np.bincount(codes[label == k], minlength=len(tokens))
+            of_words = np.bincount(at, np.repeat(of_tokens, n), len(words))
+            counts[name] = np.bincount(number, np.repeat(of_words, size), len(distinct)).astype(np.int64)
+        yield pd.DataFrame({"gram": [text[i : i + ORDER] for i in place.tolist()], **counts})
 
 
 def _cells(it):
     """Rows (gram, toxic, ordinary, follows) of any order to cells of count tables (table, cell, value)."""
     for pdf in it:
         for n, part in pdf.groupby(pdf.gram.str.len()):
-            codes = _codes("".join(part.gram))
-            at = np.arange(len(part)) * int(n)
-            cell, context = _cell(codes, int(n))
-            cell, context = cell[at], context[at]
+            cell, context = _cell(_hashes(_codes("".join(part.gram)), int(n)), int(n), np.arange(len(part)) * int(n))
             top = [("toxic", part.toxic), ("ordinary", part.ordinary)] if n == ORDER else [("follows", part.follows)]
             out = []
             for name, value in top:
@@ -137,14 +139,12 @@ class KneserNey:
     def word_ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratios of words, toxic against ordinary."""
         text, begin, n = _grams(words)
-        codes = _codes(text)
+        hashes = _hashes(_codes(text))
         p = np.full(len(begin), 1e-4)
         for k in range(1, ORDER):
-            gram, context = _cell(codes, k)
-            at = begin + ORDER - k
-            p = self._interpolate(f"{k}follows", gram[at], context[at], p)
-        gram, context = _cell(codes, ORDER)
-        toxic, ordinary = (self._interpolate(f"{ORDER}{c}", gram[begin], context[begin], p) for c in ("toxic", "ordinary"))
+            p = self._interpolate(f"{k}follows", *_cell(hashes, k, begin + ORDER - k), p)
+        top = _cell(hashes, ORDER, begin)
+        toxic, ordinary = (self._interpolate(f"{ORDER}{c}", *top, p) for c in ("toxic", "ordinary"))
         return np.add.reduceat(np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12)), np.cumsum(n) - n)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -173,22 +173,25 @@ def document_features(ratios: np.ndarray, chars: int) -> np.ndarray:
     return np.array([ratios.sum() / max(1, chars), top[0], top[:3].sum() / 3, top.sum() / 10, np.log1p(len(ratios))])
 
 
+def text_features(model: KneserNey, texts) -> np.ndarray:
+    """Features of many texts; each distinct word is looked up in the model once."""
+    codes, bounds, tokens = token_codes(texts)
+    words, at, first, n = _distinct_words(tokens)
+    ratios = model.word_ratios(words)[at] if words else np.empty(0)
+    chars = np.fromiter(map(len, words), np.int64, len(words))[at]
+    out = np.zeros((len(texts), FEATURES))
+    for k in range(len(texts)):
+        own = codes[bounds[k] : bounds[k + 1]]
+        many = n[own]
+        places = np.arange(many.sum()) + np.repeat(first[own] - np.cumsum(many) + many, many)
+        out[k] = document_features(ratios[places], int(chars[places].sum()))
+    return out
+
+
 def _features(model):
     def task(it):
-        known: dict[str, int] = {}
-        ratios = np.empty(0)
-        for pdf in it:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                lists = [_words(t) for t in part.text]
-                if len(known) > REMEMBERED:
-                    known, ratios = {}, np.empty(0)
-                new = list({w: None for words in lists for w in words if w not in known})
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    ratios = np.r_[ratios, model.value.word_ratios(new)]
-                x = [document_features(ratios[np.fromiter(map(known.__getitem__, w), np.int64, len(w))], sum(map(len, w))) for w in lists]
-                yield part, np.array(x)
+        for pdf in by_length(it):
+            yield pdf, text_features(model.value, pdf.text)
 
     return task
 
