@@ -77,7 +77,7 @@ def token_codes(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, bounds, tokens
 
 
-def by_length(it: Iterator, most: int = 1 << 24) -> Iterator:
+def by_length(it: Iterator, most: int = 1 << 23) -> Iterator:
     """Cut the pandas batches of a task into pieces of about ``most`` characters of ``text``; a longer text is a piece of its own."""
     for pdf in it:
         part = (np.cumsum([len(t) if isinstance(t, str) else 0 for t in pdf.text]) - 1) // most

@@ -136,8 +136,11 @@ class KneserNey:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(total > 0, (own + DISCOUNT * t[name + "_types"][context] * below) / np.maximum(total, 1), below)
 
-    def word_ratios(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood ratios of words, toxic against ordinary."""
+    def word_ratios(self, words: list[str], batch: int = 1 << 15) -> np.ndarray:
+        """Log-likelihood ratios of words, toxic against ordinary; arrays stay small, as ``batch`` words are scored at once."""
+        return np.concatenate([self._ratios(words[k : k + batch]) for k in range(0, len(words), batch)] or [np.empty(0)])
+
+    def _ratios(self, words: list[str]) -> np.ndarray:
         text, begin, n = _grams(words)
         hashes = _hashes(_codes(text))
         p = np.full(len(begin), 1e-4)
@@ -177,7 +180,7 @@ def text_features(model: KneserNey, texts) -> np.ndarray:
     """Features of many texts; each distinct word is looked up in the model once."""
     codes, bounds, tokens = token_codes(texts)
     words, at, first, n = _distinct_words(tokens)
-    ratios = model.word_ratios(words)[at] if words else np.empty(0)
+    ratios = model.word_ratios(words)[at]
     chars = np.fromiter(map(len, words), np.int64, len(words))[at]
     out = np.zeros((len(texts), FEATURES))
     for k in range(len(texts)):
