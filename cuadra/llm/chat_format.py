@@ -103,7 +103,8 @@ CONTROL = "</s>[INST] ok [/INST]"
 
 def op4(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    rows = rows.union(spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string"))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    rows = rows.union(spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL).alias("text")))
     done = format_conversations(rows).withColumn("read", read_turns(F.col("formatted"))).withColumn("loss", read_loss_text(F.col("formatted"), F.col("mask")))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
