@@ -23,11 +23,23 @@ from .common import BIN, LONG, STR, MinHash, connected, mix, schema, shingle_set
 BANDS, ROWS = 32, 6
 SKETCH_BITS = 512
 PERCENT = 85
-#: Estimates below the threshold by more than this, over five standard deviations, aren't confirmed.
-MARGIN = 0.15
+#: At 80 %, the general rule, (1 - 0.8 ** 5) ** 40 is about 1 in 10 million; 32 x 6 would miss 6 pairs in 100,000.
+GENERAL_PERCENT, GENERAL_BANDS, GENERAL_ROWS = 80, 40, 5
+#: Estimates below the threshold by more than this, over five standard deviations, aren't confirmed; they spread more at 80 %.
+MARGIN, GENERAL_MARGIN = 0.15, 0.18
 BLOCK = 128
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows by which a pair at the threshold shares a band but for about 1 in 10 million."""
+    if percent >= PERCENT:
+        return BANDS, ROWS
+    if percent >= GENERAL_PERCENT:
+        return GENERAL_BANDS, GENERAL_ROWS
+    rows = 4 if percent >= 60 else 3 if percent >= 40 else 2 if percent >= 20 else 1
+    return math.ceil(math.log(1e-7) / math.log1p(-((max(percent, 1) / 100) ** rows))), rows
+
+
 def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     """Fold (place, sample) pairs into a parity bitmap."""
     place = np.arange(len(samples), dtype=np.uint64) << np.uint64(32)
@@ -85,12 +97,13 @@ def confirm(pdf: pd.DataFrame, percent: int, k: int) -> list[tuple[int, int]]:
     one = bool((pdf.i == pdf.j).all())
     left = np.flatnonzero(pdf.side == 0)
     right = left if one else np.flatnonzero(pdf.side == 1)
+    margin = MARGIN if percent >= PERCENT else GENERAL_MARGIN if percent >= GENERAL_PERCENT else 1
     found = []
     for a in left:
         b = right[right > a] if one else right
         differing = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
         about = sketch_similarity(differing, k)
-        near = (about >= percent / 100 - MARGIN) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        near = (about >= percent / 100 - margin) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
         found.append(np.stack([np.full(near.sum(), a), b[near], -differing[near]], 1))
     pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
     pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
@@ -113,14 +126,17 @@ def confirm(pdf: pd.DataFrame, percent: int, k: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int | None = None, rows: int | None = None, block: int = BLOCK) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more, and label the components.
 
     Takes ``doc_id`` and ``text`` of ``docs``; other columns are ignored, whatever their names. Returns one row per input row:
     doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that one). Null, empty and wordless texts have
     no shingles and link with nothing. Rows that repeat a doc_id are one node with the links of all its texts; all of them bear
-    its label. A row with a null doc_id links with nothing and isn't kept. An empty table gives an empty one.
+    its label. A row with a null doc_id links with nothing and isn't kept. An empty table gives an empty one. Bands and rows that
+    aren't given suit ``percent``.
     """
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed_docs = spill(docs.mapInPandas(_sign(shingle, bands, rows), schema(doc_id=LONG, n_shingles=LONG, key=BIN, bands=T.ArrayType(LONG), sketch=BIN)))
     with_words = signed_docs.where("key is not null and doc_id is not null")

@@ -72,6 +72,23 @@ def test_near_duplicates_match_brute_force(spark, documents):
         assert got == sorted(near_dedup.brute_force(rows))
 
 
+def test_pipeline_links_from_80_percent(spark, documents):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(12):  # a copy with 4 words changed apart from each other: 176 of 216 shingles, 0.815
+        one = [f"{w}k{k}" for w in base]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join("x" if i in (30, 70, 110, 150) else w for i, w in enumerate(one)))]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, documents(rows), "").collect()}
+    assert got == {d for d, _, _, keep in near_dedup.brute_force(rows, percent=80) if keep} == set(range(0, 24, 2))
+    assert len([d for d, _, _, keep in near_dedup.brute_force(rows) if keep]) == 24
+    assert (1 - 0.8 ** near_dedup.banding(80)[1]) ** near_dedup.banding(80)[0] < 2e-7 and near_dedup.banding(85) == (32, 6)
+    for percent in range(1, 101):
+        bands, band_rows = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** band_rows) ** bands < 4e-7
+
+
 def test_near_duplicates_of_odd_rows(spark, documents, odd_rows):
     got = near_dedup.near_duplicates(documents(odd_rows)).collect()
     assert len(got) == len(odd_rows)
