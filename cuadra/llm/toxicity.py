@@ -3,34 +3,41 @@
 Both classes have counts of their own for character 5-grams; lower orders are continuation counts that the classes share and that
 all documents contribute to, so rare expressions are smoothed alike. A word's log-likelihood ratio is toxic against ordinary; a
 document is judged by the length-normalised ratio of all it says and of its most toxic words.
+
+Counts are kept by gram in Spark and grow with the corpus. The ratio of each distinct gram is found once; the distinct grams of
+a piece of documents are joined with these, and meet its words and documents again in one task.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DBL, INT, LONG, STR, by_length, mix, schema, spill, token_codes
+from .common import BIN, DBL, INT, LONG, STR, by_length, mix, schema, signed, spill, token_codes
 from .quality import fold
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Cells of the count tables of each order, powers of 2; tables are of fixed size, whatever the input.
-CELLS = {1: 1 << 16, 2: 1 << 17, 3: 1 << 18, 4: 1 << 20, 5: 1 << 20}
 #: Labelled rows of each class that are learnt from at most.
 SAMPLE = 15_000
 THRESHOLD = 0.7
-#: Names of the count tables; rows on their way to the driver have the place of a name.
+#: Names of the count tables, by order and kind; rows have the place of a name.
 TABLES = [f"{n}{name}{kind}" for n in range(1, ORDER + 1) for name in (("toxic", "ordinary") if n == ORDER else ("follows",)) for kind in ("", "_all", "_types")]
+KINDS = sorted({name[1:] for name in TABLES})
 #: What separates words within a line.
 BETWEEN = re.compile(r"[^\w\n]+")
 BEGIN, STOP = "\x02", "\x03"
 FEATURES = 5
+#: Distinct grams after which a piece of documents is closed.
+PIECE = 1 << 19
 
 
 def _codes(text: str) -> np.ndarray:
@@ -47,9 +54,8 @@ def _hashes(codes: np.ndarray, most: int = ORDER) -> list[np.ndarray]:
 
 
 def _cell(hashes: list[np.ndarray], n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the grams of order ``n`` that begin at ``at``, and of the contexts before their last characters."""
-    low = np.uint64(CELLS[n] - 1)
-    return (hashes[n][at] & low).astype(np.int64), (hashes[n - 1][at] & low).astype(np.int64)
+    """Hashes of the grams of order ``n`` that begin at ``at``, and of the contexts before their last characters."""
+    return signed(hashes[n][at]), signed(hashes[n - 1][at])
 
 
 def _grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -96,59 +102,77 @@ def _count(it):
 
 
 def _cells(it):
-    """Rows (gram, toxic, ordinary, follows) of any order to cells of count tables (table, cell, value)."""
+    """Rows (gram, toxic, ordinary, follows) of any order to rows of count tables (table, key, cell, value): the key is the gram or
+    its context, the cell its hash."""
     for pdf in it:
         for n, part in pdf.groupby(pdf.gram.str.len()):
             cell, context = _cell(_hashes(_codes("".join(part.gram)), int(n)), int(n), np.arange(len(part)) * int(n))
             top = [("toxic", part.toxic), ("ordinary", part.ordinary)] if n == ORDER else [("follows", part.follows)]
+            before = part.gram.str[:-1]
             out = []
             for name, value in top:
                 value = value.to_numpy()
-                for kind, where, what in (("", cell, value), ("_all", context, value), ("_types", context, (value > 0).astype(np.int64))):
-                    out.append(pd.DataFrame({"table": np.int32(TABLES.index(f"{n}{name}{kind}")), "cell": where.astype(np.int32), "value": what}))
+                for kind, key, where, what in (("", part.gram, cell, value), ("_all", before, context, value), ("_types", before, context, (value > 0).astype(np.int64))):
+                    out.append(pd.DataFrame({"table": np.int32(TABLES.index(f"{n}{name}{kind}")), "key": key.to_numpy(), "cell": where, "value": what}))
             out = pd.concat(out)
-            yield out[out.value > 0].groupby(["table", "cell"], as_index=False).value.sum()
+            yield out[out.value > 0].groupby(["table", "key", "cell"], as_index=False).value.sum()
+
+
+def _rows_of_tables(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows (n, cell, one column for each kind) to rows of count tables."""
+    out = []
+    for k, name in enumerate(TABLES):
+        kind = name[1:]
+        own = (pdf.n == int(name[0]) - ("_" in kind)) & (pdf[kind] > 0)
+        out.append(pd.DataFrame({"table": k, "cell": pdf.cell[own], "value": pdf[kind][own]}))
+    return pd.concat(out)
 
 
 class KneserNey:
-    """Count tables, with the weights that turn a document's features into a probability."""
+    """Count tables of some grams, those of a piece."""
 
     def __init__(self, cells: pd.DataFrame):
-        self.tables = {name: np.zeros(CELLS[int(name[0])], np.float32) for name in TABLES}
+        self.tables = {}
         table, cell, value = (cells[c].to_numpy() for c in ("table", "cell", "value"))
         for k, name in enumerate(TABLES):
             own = np.flatnonzero(table == k)
-            self.tables[name][cell[own]] = value[own]
-        self.weights = np.zeros(FEATURES + 1)
-        self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
+            own = own[np.argsort(cell[own])]
+            self.tables[name] = cell[own].astype(np.int64), value[own].astype(np.float64)
 
-    def __getstate__(self) -> dict:
-        """Tables hold whole numbers, most of them 0, and are packed for their way to the workers."""
-        return self.__dict__ | {"tables": {k: zlib.compress(t.astype(np.uint32).tobytes(), 1) for k, t in self.tables.items()}}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {"tables": {k: np.frombuffer(zlib.decompress(t), np.uint32).astype(np.float32) for k, t in state["tables"].items()}}
+    def _look_up(self, name: str, cell: np.ndarray) -> np.ndarray:
+        """Counts; 0 where a table has none."""
+        cells, values = self.tables[name]
+        if not len(cells):
+            return np.zeros(len(cell))
+        at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+        return np.where(cells[at] == cell, values[at], 0)
 
     def _interpolate(self, name: str, cell: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
-        t = self.tables
-        total = t[name + "_all"][context]
-        own = np.maximum(t[name][cell] - DISCOUNT, 0)
+        total = self._look_up(name + "_all", context)
+        own = np.maximum(self._look_up(name, cell) - DISCOUNT, 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(total > 0, (own + DISCOUNT * t[name + "_types"][context] * below) / np.maximum(total, 1), below)
-
-    def word_ratios(self, words: list[str], batch: int = 1 << 15) -> np.ndarray:
-        """Log-likelihood ratios of words, toxic against ordinary; arrays stay small, as ``batch`` words are scored at once."""
-        return np.concatenate([self._ratios(words[k : k + batch]) for k in range(0, len(words), batch)] or [np.empty(0)])
+            return np.where(total > 0, (own + DISCOUNT * self._look_up(name + "_types", context) * below) / np.maximum(total, 1), below)
 
-    def _ratios(self, words: list[str]) -> np.ndarray:
-        text, begin, n = _grams(words)
-        hashes = _hashes(_codes(text))
+    def ratios(self, grams: list[str]) -> np.ndarray:
+        """Log-likelihood ratios of the last characters of ``ORDER``-grams, toxic against ordinary."""
+        begin = np.arange(len(grams)) * ORDER
+        hashes = _hashes(_codes("".join(grams)))
         p = np.full(len(begin), 1e-4)
         for k in range(1, ORDER):
             p = self._interpolate(f"{k}follows", *_cell(hashes, k, begin + ORDER - k), p)
         top = _cell(hashes, ORDER, begin)
         toxic, ordinary = (self._interpolate(f"{ORDER}{c}", *top, p) for c in ("toxic", "ordinary"))
-        return np.add.reduceat(np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12)), np.cumsum(n) - n)
+        return np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12))
+
+
+class Classifier:
+    """Counts by gram, a DataFrame of (key, n, cell, one column for each kind), with the weights that turn a document's features into
+    a probability."""
+
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+        self.weights = np.zeros(FEATURES + 1)
+        self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)))
@@ -176,30 +200,89 @@ def document_features(ratios: np.ndarray, chars: int) -> np.ndarray:
     return np.array([ratios.sum() / max(1, chars), top[0], top[:3].sum() / 3, top.sum() / 10, np.log1p(len(ratios))])
 
 
-def text_features(model: KneserNey, texts) -> np.ndarray:
-    """Features of many texts; each distinct word is looked up in the model once."""
-    codes, bounds, tokens = token_codes(texts)
-    words, at, first, n = _distinct_words(tokens)
-    ratios = model.word_ratios(words)[at]
-    chars = np.fromiter(map(len, words), np.int64, len(words))[at]
-    out = np.zeros((len(texts), FEATURES))
-    for k in range(len(texts)):
-        own = codes[bounds[k] : bounds[k + 1]]
-        many = n[own]
-        places = np.arange(many.sum()) + np.repeat(first[own] - np.cumsum(many) + many, many)
-        out[k] = document_features(ratios[places], int(chars[places].sum()))
-    return out
+def _asked(it):
+    """(piece, key): all grams that the ratios of a piece of ``ORDER``-grams depend on: their shorter ends, and the contexts."""
+    for pdf in it:
+        grams, out = set(pdf.gram), set()
+        for _ in range(ORDER):
+            out |= grams
+            out.update(g[:-1] for g in grams)
+            grams = {g[1:] for g in grams}
+        yield pd.DataFrame({"piece": uuid.uuid4().int >> 65, "key": list(out)})
 
 
-def _features(model):
-    def task(it):
-        for pdf in by_length(it):
-            yield pdf, text_features(model.value, pdf.text)
+def gram_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, ratio) of distinct ``ORDER``-grams. Grams of like ends share a piece, and so most of what they ask for."""
+    end = F.reverse("gram")
+    asked = spill(grams.repartitionByRange(end).sortWithinPartitions(end).mapInPandas(_asked, schema(piece=LONG, key=STR)))
+    found = asked.join(counts, "key", "left").select("piece", "key", *[F.coalesce(c, F.lit(-1 if c == "n" else 0)).alias(c) for c in ("n", "cell", *KINDS)])
 
-    return task
+    def ratios(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.key[pdf.key.str.len() == ORDER].tolist()
+        return pd.DataFrame({"gram": own, "ratio": KneserNey(_rows_of_tables(pdf)).ratios(own)})
 
+    return found.groupBy("piece").applyInPandas(ratios, schema(gram=STR, ratio=DBL))
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> KneserNey:
+
+def _pieces(it):
+    """(piece, at, gram, documents): a row for each distinct gram of a piece, and some with its documents, whose words are numbers
+    in ascending order. A piece ends with its task, or after ``PIECE`` grams."""
+    piece, index = uuid.uuid4().int >> 65, {}
+    for pdf in by_length(it):
+        if len(index) >= PIECE:
+            piece, index = uuid.uuid4().int >> 65, {}
+        codes, bounds, tokens = token_codes(pdf.text)
+        words, at, first, n = _distinct_words(tokens)
+        grams, number, size = [], np.empty(0, np.int64), np.empty(0, np.int64)
+        if words:
+            text, begin, size = _grams(words)
+            number, distinct = pd.factorize(_hashes(_codes(text))[ORDER][begin])
+            place = np.empty(len(distinct), np.int64)
+            place[number[::-1]] = begin[::-1]
+            found, known = [text[i : i + ORDER] for i in place.tolist()], len(index)
+            number = np.array([index.setdefault(g, len(index)) for g in found])[number]
+            grams = list(islice(index, known, None))
+        many = n[codes]
+        places = at[np.arange(many.sum()) + np.repeat(first[codes] - np.cumsum(many) + many, many)]
+        said = np.repeat(np.repeat(np.arange(len(pdf)), np.diff(bounds)), many) * max(1, len(words)) + places
+        said.sort()
+        steps = np.diff(said, prepend=0).view(np.uint8).reshape(-1, 8).T.copy()  # planes of like bytes
+        held = zlib.compress(pickle.dumps((pdf.drop(columns="text").reset_index(drop=True), number.astype(np.int32), size, steps)), 1)
+        for k in range(0, len(grams), 20_000):
+            part, at = grams[k : k + 20_000], len(index) - len(grams) + k
+            yield pd.DataFrame({"piece": piece, "at": np.arange(at, at + len(part), dtype=np.int32), "gram": part, "documents": None})
+        yield pd.DataFrame({"piece": [piece], "at": np.int32(-1), "gram": [None], "documents": [held]})
+
+
+def features(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """All columns of ``docs`` but ``text``, numbers, and the features x0, x1, ... of each row."""
+    kept = [f for f in docs.schema if f.name != "text"]
+    cut = spill(docs.mapInPandas(_pieces, schema(piece=LONG, at=INT, gram=STR, documents=BIN)))
+    grams = cut.where("gram is not null").select("piece", "at", "gram")
+    found = grams.join(gram_ratios(grams.select("gram").distinct(), counts), "gram").select("piece", "at", "ratio")
+
+    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ratio = np.zeros(len(right))
+        ratio[right["at"].to_numpy()] = right.ratio
+        out = []
+        for held in left.documents:
+            rows, number, size, steps = pickle.loads(zlib.decompress(held))
+            said = np.cumsum(steps.T.copy().view(np.int64).ravel())
+            words = np.add.reduceat(ratio[number], np.cumsum(size) - size) if len(size) else np.empty(0)
+            doc, place = np.divmod(said, max(1, len(size)))
+            ends = np.searchsorted(doc, np.arange(len(rows) + 1))
+            each, chars = words[place], (size - 1)[place]
+            x = np.zeros((len(rows), FEATURES))
+            for k in range(len(rows)):
+                x[k] = document_features(each[ends[k] : ends[k + 1]], int(chars[ends[k] : ends[k + 1]].sum()))
+            out.append(pd.concat([rows, pd.DataFrame(x, columns=[f"x{k}" for k in range(FEATURES)])], axis=1))
+        return pd.concat(out)
+
+    names = schema(**{f.name: f.dataType for f in kept}, **{f"x{k}": DBL for k in range(FEATURES)})
+    return cut.where("gram is null").select(F.col("piece").alias("own"), "documents").groupBy("own").cogroup(found.groupBy("piece")).applyInPandas(join, names)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Count grams of all documents, and of at most ``sample`` labelled rows of each class, the first by the hash of their id.
 
     ``labels`` has doc_id and label; null labels don't count. A fifth of the chosen rows only calibrates.
@@ -219,32 +302,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> KneserNey
     union = orders[0]
     for x in orders[1:]:
         union = union.unionByName(x)
-    cells = union.mapInPandas(_cells, schema(table=INT, cell=INT, value=LONG)).groupBy("table", "cell").agg(F.sum("value").cast("float").alias("value"))
-    model = KneserNey(cells.toPandas())  # 18 tables of fixed size
-    held = spark.sparkContext.broadcast(model)
-    task = _features(held)
-
-    def calibration(it):
-        for part, x in task(it):
-            yield pd.DataFrame({"label": part.label.to_numpy(), **{f"x{k}": x[:, k] for k in range(FEATURES)}})
-
-    names = {f"x{k}": DBL for k in range(FEATURES)}
-    got = rows.join(F.broadcast(chosen.where("calibrates")), "doc_id").select("text", F.col("label").cast("long").alias("label")).mapInPandas(calibration, schema(label=LONG, **names)).toPandas()
-    model.calibrate(got[list(names)].to_numpy(), got.label.to_numpy(float))
+    cells = union.mapInPandas(_cells, schema(table=INT, key=STR, cell=LONG, value=LONG))
+    kinds = [F.coalesce(F.sum(F.when(F.col("table").isin([k for k, name in enumerate(TABLES) if name[1:] == kind]), F.col("value"))), F.lit(0)).alias(kind) for kind in KINDS]
+    counts = spill(cells.groupBy("key").agg(F.length("key").alias("n"), F.any_value("cell").alias("cell"), *kinds))
+    model = Classifier(counts)
+    names = [f"x{k}" for k in range(FEATURES)]
+    got = features(rows.join(F.broadcast(chosen.where("calibrates")), "doc_id").select("text", F.col("label").cast("long").alias("label")), counts).toPandas()
+    model.calibrate(got[names].to_numpy(), got.label.to_numpy(float))
     return model
 
 
-def score(docs: DataFrame, model: KneserNey) -> DataFrame:
+def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id and score of every row. Takes doc_id and text; other columns are ignored, whatever their names. Null, empty and
     wordless texts are scored too, by features of zero; repeated rows get equal scores. An empty table gives an empty one."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
-    task = _features(held)
+    weights, mean, scale = model.weights, model.mean, model.scale
 
     def scored(it):
-        for part, x in task(it):
-            yield pd.DataFrame({"doc_id": part.doc_id, "score": held.value.score(x)})
+        own = Classifier(None)
+        own.weights, own.mean, own.scale = weights, mean, scale
+        for pdf in it:
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "score": own.score(pdf[[f"x{k}" for k in range(FEATURES)]].to_numpy())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scored, schema(doc_id=LONG, score=DBL))
+    return features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.counts).mapInPandas(scored, schema(doc_id=LONG, score=DBL))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -83,6 +83,64 @@ def test_kneser_ney_sums_to_one():
     assert abs(total - 1) < 1e-6
 
 
+def test_counts_are_of_single_grams(spark, documents):
+    rng = np.random.default_rng(7)
+    texts = [" ".join("".join(chr(0x4E00 + c) for c in rng.integers(0, 20_000, rng.integers(1, 6))) for _ in range(100)) for _ in range(100)]
+    rows = list(enumerate(texts))
+    counts = [{} for _ in range(toxicity.ORDER + 1)]  # gram: [toxic, ordinary] of order 5, [follows] below
+    padded = [(d % 2, "\x02" * 4 + w + "\x03") for d, t in rows for w in t.split()]
+    for toxic, w in padded:
+        for i in range(len(w) - 4):
+            counts[5].setdefault(w[i : i + 5], [0, 0])[1 - toxic] += 1
+    for n in (4, 3, 2, 1):
+        for g in counts[n + 1]:
+            counts[n].setdefault(g[1:], [0])[0] += 1
+    frames = [pd.DataFrame([(g, *v, 0) if n == 5 else (g, 0, 0, *v) for g, v in counts[n].items()], columns=["gram", "toxic", "ordinary", "follows"]) for n in range(1, 6)]
+    model = toxicity.KneserNey(pd.concat(toxicity._cells(frames)).groupby(["table", "cell"], as_index=False).value.sum())
+    grams = list(counts[1])
+    cell, context = toxicity._cell(toxicity._hashes(toxicity._codes("".join(grams))), 1, np.arange(len(grams)))
+    total = sum(v[0] for v in counts[1].values())
+    got = model._interpolate("1follows", cell, context, np.zeros(len(grams)))
+    assert np.allclose(got, [(counts[1][g][0] - 0.75) / total for g in grams])
+
+    known = {}
+    for n in range(1, 6):
+        for g, v in counts[n].items():
+            for k, x in enumerate(v):
+                a = known.setdefault((n, k, g[:-1]), [0, 0])
+                a[0], a[1] = a[0] + x, a[1] + (x > 0)
+
+    def ratio(g):
+        p = 1e-4
+        for n in range(1, 6):
+            out = []
+            for k in range(2 if n == 5 else 1):
+                end = g[5 - n :]
+                every, types = known.get((n, k, end[:-1]), (0, 0))
+                own = max(counts[n].get(end, [0, 0])[k] - 0.75, 0)
+                out.append((own + 0.75 * types * p) / every if every else p)
+            p = out[0] if n < 5 else out
+        return np.log(p[0]) - np.log(p[1])
+
+    # What is learnt from is told by the ids; none calibrates here, so that the counts are of all rows.
+    labels = spark.createDataFrame([(d, d % 2) for d, _ in rows], "doc_id long, label int")
+    learnt = labels.where("pmod(xxhash64('fold', doc_id), 5) <> 0").toPandas()
+    for d in set(range(100)) - set(learnt.doc_id):
+        for w in (w for e, t in rows if e == d for w in t.split()):
+            w = "\x02" * 4 + w + "\x03"
+            for i in range(len(w) - 4):
+                g, k = w[i : i + 5], 1 - d % 2
+                counts[5][g][k] -= 1
+                a = known[5, k, g[:-1]]
+                a[0], a[1] = a[0] - 1, a[1] - (counts[5][g][k] == 0)
+    trained = toxicity.train(documents(rows), labels)
+    some = documents([*rows[:10], (200, "ab " + texts[0] + " \u4e00\u4e01"), (201, None)]).select("doc_id", "text")
+    for r in toxicity.features(some, trained.counts).collect():
+        words = (dict(rows) | {200: "ab " + texts[0] + " \u4e00\u4e01", 201: ""})[r.doc_id].split()
+        each = np.array([sum(ratio(("\x02" * 4 + w + "\x03")[i : i + 5]) for i in range(len(w) + 1)) for w in words])
+        assert np.allclose([r[f"x{k}"] for k in range(5)], toxicity.document_features(each, sum(map(len, words))))
+
+
 def test_tokens_are_those_of_plain_splitting():
     texts = [None, "", " \n ", "one", "  b  A\x1cC ", "Ünï ΣΑΣ a-b,c\u00a0d d", "x" * 40 + "\ty"]
     codes, bounds, tokens = token_codes(texts)
