@@ -10,11 +10,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, DBL, LONG, STR, MinHash, mix, partitions, range_buckets, schema, shingle_set, signed
+from .common import BIN, DBL, LONG, STR, MinHash, mix, partitions, range_buckets, schema, shingle_set, signed, spill
 from .near_dedup import band_hashes
 
 K = 256
@@ -48,11 +49,30 @@ def fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_fingerprints(k, shingle), schema(doc_id=LONG, fingerprint=STR))
 
 
+def membership(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and representative, the least doc_id with an equal shingle set, of all rows with words and a doc_id.
+
+    Joined with the pairs of ``similar_to`` on either side, it gives the pairs of all documents. A doc_id with several texts has a
+    row for each of their classes."""
+
+    def sign(it):
+        for pdf in it:
+            sets = [shingle_set(t, shingle) for t in pdf.text]
+            rows = [(d, xxhash.xxh3_128_digest(s.tobytes())) for d, s in zip(pdf.doc_id, sets, strict=True) if len(s)]
+            yield pd.DataFrame(rows, columns=["doc_id", "key"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, schema(doc_id=LONG, key=BIN)).distinct()
+    rows = spill(rows)
+    # Representatives are joined, not collected, so that a large class can be split.
+    return rows.join(rows.groupBy("key").agg(F.min("doc_id").alias("representative")), "key").select("doc_id", "representative")
+
+
 def similar_to(queries: DataFrame, docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 6, shingle: int = SHINGLE) -> DataFrame:
     """Documents of ``docs`` like each document of a stated query set: query_id, doc_id, jaccard >= ``similarity``.
 
     Signature bands are joined in Spark on class representatives (equal shingle sets are one class), and Jaccard similarities are
-    verified on full sets. Returns pairs of representatives, the least doc_id of their classes; see ``membership``.
+    verified on full sets. Returns pairs of representatives, the least doc_id of their classes; ``membership`` of each
+    side has the other documents of the classes.
     """
     k = bands * rows
 

@@ -5,10 +5,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cuadra.llm import decontaminate, fingerprints, near_dedup, quality, toxicity
-from cuadra.llm.common import by_length, connected, range_buckets, token_codes
+from cuadra.llm.common import by_length, connected, range_buckets, shingle_set, token_codes
 from cuadra.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -178,6 +179,21 @@ def test_similar_to_verifies(spark, documents):
     assert set(got) == {(2, 1), (2, 2)} and abs(got[2, 1] - 196 / 197) < 1e-9
 
 
+def test_similar_pairs_of_all_copies(spark, documents, odd_rows):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join(w + "v" for w in base)]
+    rows = [(20 + k, texts[k % 3]) for k in range(15)] + [(40, texts[0].upper()), *odd_rows]
+    docs = documents(rows)
+    queries = docs.where("doc_id % 2 = 0")
+    pairs = fingerprints.similar_to(queries, docs).select(F.col("query_id").alias("q"), F.col("doc_id").alias("d"))
+    of_queries = fingerprints.membership(queries).select(F.col("doc_id").alias("query_id"), F.col("representative").alias("q"))
+    of_docs = fingerprints.membership(docs).select("doc_id", F.col("representative").alias("d"))
+    got = {(r.query_id, r.doc_id) for r in pairs.join(of_queries, "q").join(of_docs, "d").collect()}
+    sets = {d: set(shingle_set(t).tolist()) for d, t in rows if d is not None}
+    assert got == {(q, d) for q in sets for d in sets if q % 2 == 0 and sets[q] and len(sets[q] & sets[d]) >= 0.8 * len(sets[q] | sets[d])}
+    assert fingerprints.membership(documents([])).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = dict(tuple(r) for r in connected(spark.createDataFrame(edges, "a long, b long")).collect())
