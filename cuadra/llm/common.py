@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -164,7 +165,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         e = checkpoint(e)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
+        if now == before or not now["n"]:
             break
         before = now
     labels = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("id"), "label")
@@ -178,6 +179,22 @@ def batches_by(it: Iterator, size: int) -> Iterator:
             yield pdf.iloc[at : at + size]
 
 
+def sorted_groups(it: Iterator, keys: list[str]) -> Iterator:
+    """Groups of the sorted rows of a task, one at a time; a group that goes on in the next batch is put together."""
+    held = None
+    for pdf in it:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if len(pdf):
+            cut = np.flatnonzero((pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(1)) + 1
+            begin = [0, *cut.tolist()]
+            for a, b in zip(begin[:-1], begin[1:], strict=True):
+                yield pdf.iloc[a:b]
+            held = pdf.iloc[begin[-1] :]
+    if held is not None and len(held):
+        yield held
+
+
 LONG, INT, STR, BIN, DBL, BOOL = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.DoubleType(), T.BooleanType()
 
 

@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }

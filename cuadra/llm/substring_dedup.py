@@ -9,7 +9,7 @@ streams them through backward search over a wavelet matrix, reporting maximal in
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ WINDOW = 35
 GRAM = 8
 #: Minimizers that occur more often are hot: their windows must also have a repeated hash before they are shipped.
 HOT = 100
+#: Words of the grams whose least hash deals out windows of hot minimizers again.
+FINE_GRAM = 24
 #: Words of segments in one index.
 INDEX_WORDS = 400_000
 #: Words of a probe: after a failure, so many are looked up before all windows that hold them are tried.
@@ -113,14 +115,14 @@ def repeated_intervals(segments: list[str], weights: list[int], window: int, pro
 
     A segment with a weight of 2 or more stands for as many occurrences: it is indexed twice, and all its windows are repeated.
     """
-    words = "\x20\x00\x20".join(segments).split("\x20")
-    text = np.fromiter(map(_Numbers({"\x00": 0}).__getitem__, words), np.int64, len(words))
-    ends = np.r_[np.flatnonzero(text == 0), len(text)]
-    begin = np.r_[0, ends[:-1] + 1]
-    size = ends - begin
+    words = [s.split("\x20") for s in segments]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(size + 1) - (size + 1)
+    # Words are numbered from 1; 0, which no word has, follows each segment.
+    text = np.zeros(int((size + 1).sum()), np.int64)
+    text[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = np.fromiter(map(_Numbers().__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
     several = np.asarray(weights) > 1
-    again = np.repeat(several, size + 1)[: len(text)]  # with the separator that follows
-    index = WaveletIndex(np.r_[0, text, 0, text[again], 0])
+    index = WaveletIndex(np.r_[0, text, text[np.repeat(several, size + 1)]])
     out: list[list[int]] = [[] for _ in segments]
     for k in np.flatnonzero((size >= window) & several):
         out[k] = [0, int(size[k])]
@@ -202,20 +204,21 @@ def _cut(window: int):
     return task
 
 
-def _narrow(window: int):
-    """Hot segments, cut down to the runs of windows with repeated hashes."""
+def _narrow(window: int, fine: int):
+    """Hot segments, cut down to the runs of windows with repeated hashes, and dealt out by a second minimizer of longer grams, so
+    that a phrase in very many passages doesn't bring them all to one shard. Equal windows have equal second minimizers too."""
 
     def task(it):
         for pdf in it:
             rows = []
             for d, t, fp, s, x, places in zip(pdf.doc_id, pdf.th, pdf.fp, pdf.start, pdf.segment, pdf.places, strict=True):
-                at = sorted(places)
+                at = np.unique(places)
                 words = x.split("\x20")
-                first = at[0]
-                for k, p in enumerate(at):
-                    if k + 1 == len(at) or at[k + 1] > p + 1:
-                        rows.append((d, t, fp, s + first, "\x20".join(words[first : p + window])))
-                        first = at[k + 1] if k + 1 < len(at) else 0
+                cut = np.flatnonzero(np.diff(at) > 1) + 1
+                for run in np.split(at, cut):
+                    part = words[run[0] : run[-1] + window]
+                    for m, f, n in zip(*minimizer_runs([w.encode() for w in part], window, fine), strict=True):
+                        rows.append((d, t, int(signed(m ^ np.uint64(fp % (1 << 64)))), s + int(run[0] + f), "\x20".join(part[f : f + n + window - 1])))
             yield pd.DataFrame(rows, columns=["doc_id", "th", "fp", "start", "segment"])
 
     return task
@@ -268,7 +271,7 @@ def _remove(it):
         yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, index_words: int = INDEX_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, index_words: int = INDEX_WORDS, fine: int = FINE_GRAM) -> DataFrame:
     """Remove every word covered by a window of words that also starts anywhere else.
 
     Takes ``doc_id`` and ``text`` of ``docs``; other columns are ignored, whatever their names. Returns one row per input row:
@@ -295,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     # A row that appears twice has each place twice.
     places = hashes.join(twice, "wh", "left_semi").groupBy("doc_id", "th", "start").agg(F.collect_set("place").alias("places"))
     narrowed = part.select("doc_id", "th", "fp", "start", "segment").join(places, ["doc_id", "th", "start"])
-    narrowed = spill(narrowed.select("doc_id", "th", "fp", "start", "segment", "places").mapInPandas(_narrow(window), schema(doc_id=LONG, th=LONG, fp=LONG, start=INT, segment=STR)))
+    narrowed = spill(narrowed.select("doc_id", "th", "fp", "start", "segment", "places").mapInPandas(_narrow(window, min(fine, window)), schema(doc_id=LONG, th=LONG, fp=LONG, start=INT, segment=STR)))
     segments = segments.where("not hot").select("doc_id", "th", "fp", "start", "segment").union(narrowed).withColumn("sh", F.xxhash64("segment"))
 
     rows = segments.select("fp", "sh", "segment", F.lit(1).cast("long").alias("weight")).mapInPandas(_combine, schema(fp=LONG, sh=LONG, segment=STR, weight=LONG))
@@ -310,6 +313,19 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, p, array_to_string(w[p:p + 34], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)
+), twice AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1
+), gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM windows SEMI JOIN twice USING (x)
+), words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d
+), kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY q) AS t FROM words ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:
     """The same by counting all windows in memory, for tests."""
     from collections import Counter

@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 
 from cuadra.llm import near_dedup, substring_dedup
 
@@ -20,8 +22,8 @@ def _texts(seed=3):
 
 def _check(rows, got):
     want = substring_dedup.brute_force([t for _, t in rows])
-    have = sorted(((r.doc_id is None, r.doc_id, r.n_words, r.n_removed) for r in got), key=str)
-    assert have == sorted(((d is None, d, n, m) for (d, _), (n, m, _) in zip(rows, want, strict=True)), key=str)
+    have = sorted(((r.doc_id is None, r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=str)
+    assert have == sorted(((d is None, d, *w) for (d, _), w in zip(rows, want, strict=True)), key=str)
 
 
 def test_repeats_match_brute_force(spark, documents):
@@ -37,6 +39,26 @@ def test_repeats_of_odd_rows(spark, documents, odd_rows):
     assert substring_dedup.remove_repeats(documents([])).count() == 0
 
 
+def test_repeats_with_nul_words(spark, documents):
+    rng = random.Random(9)
+    part = [rng.choice(["\x00", "\x00\x00", "a\x00b", "c", "d", "e"]) for _ in range(90)]
+    other = [rng.choice("xyz\x00") for _ in range(50)]
+    rows = [(1, " ".join(part)), (2, " ".join(other + part[10:80] + ["\x00"])), (3, "\x00 " * 80), (4, "\x00"), (5, " ".join(part[:34]))]
+    for hot in (1, 100):
+        got = substring_dedup.remove_repeats(documents(rows), hot=hot).collect()
+        _check(rows, got)
+        assert {r.doc_id for r in got if r.n_removed} == {1, 2, 3}
+
+
+def test_hot_phrase_is_dealt_out_again(spark, documents):
+    rng = random.Random(4)
+    phrase = [f"p{i}" for i in range(8)]
+    passages = [[f"w{rng.randrange(10**6)}" for _ in range(30)] + phrase + [f"w{rng.randrange(10**6)}" for _ in range(30)] for _ in range(40)]
+    rows = [(k, " ".join(passages[k % 40])) for k in range(80)]
+    for fine in (8, 24, 35):
+        _check(rows, substring_dedup.remove_repeats(documents(rows), hot=10, index_words=200, fine=fine).collect())
+
+
 def test_index_counts():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 4, 400)
@@ -105,6 +127,55 @@ def test_texts_of_one_id_are_one_node(spark, documents):
     assert label == {1}
 
 
+def test_texts_of_one_id_lose_no_links(spark, documents):
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 160, 4):  # texts a and b under one id; near copies of each under ids of their own
+        a, b = ([f"{c}{rng.randrange(10**6)}" for _ in range(130)] for c in "ab")
+        near = lambda w: " ".join([*w[:60], "other", *w[61:]])
+        rows += [(k, " ".join(a)), (k, " ".join(b)), (k + 1, near(a)), (k + 2, near(b)), (k + 3, None), (k + 2, "")]
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(documents(rows)).collect())
+    assert got == sorted(near_dedup.brute_force(rows))
+    assert {c for _, _, c, _ in got} == {k + j for k in range(0, 160, 4) for j in (0, 3)}
+    # Judged by their texts alone, the two texts of an id both stay.
+    kept = near_dedup.drop_near_duplicates(documents(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(k + j for k in range(0, 160, 4) for j in (0, 0, 2, 3))
+    assert kept.columns == documents([]).columns
+
+
+def test_classes_below_the_threshold_that_share_bands(spark, documents):
+    # Half of each text is common: classes share bands, few are links, so that blocks of bands must meet.
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(100)]
+    own = [[f"o{rng.randrange(10**6)}" for _ in range(30 + k % 7)] for k in range(60)]
+    rows = [(k, " ".join(common + own[k % 60] + (["end"] if k >= 60 else []))) for k in range(90)]
+    for block in (4, 128):
+        got = sorted(tuple(r) for r in near_dedup.near_duplicates(documents(rows), block=block).collect())
+        assert got == sorted(near_dedup.brute_force(rows))
+
+
+def test_connected_copies_meet_no_more():
+    rng = np.random.default_rng(3)
+    sketch = [rng.bytes(64) for _ in range(50)]
+    group = pd.DataFrame({"band": 1, "c": 0, "i": 0, "d": 0, "j": 0, "side": 0, "node": range(50), "label": 7, "n": 100, "sketch": sketch})
+    assert not list(near_dedup._survivors(85, 192)(iter([group])))
+    group.loc[:, "sketch"] = [sketch[0]] * 50
+    assert not list(near_dedup._survivors(85, 192)(iter([group])))
+    group.loc[3, "label"] = 8
+    assert len(pd.concat(near_dedup._survivors(85, 192)(iter([group[:20], group[20:]])))) == 50
+
+
+def test_drop_near_duplicates_of_odd_rows(spark, documents, odd_rows):
+    docs = documents(odd_rows)
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()))
+    want = [(d is None, d or 0, t or "") for d, t in odd_rows if d not in (6, 7, 9)]
+    want.remove((False, 5, odd_rows[5][1]))  # repeated row
+    assert got == sorted(want)
+    assert near_dedup.drop_near_duplicates(documents([])).count() == 0
+
+
 def test_sketches_estimate():
     from cuadra.llm.common import MinHash
 
