@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset and there
+    are no executors elsewhere (tests)."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if at is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(at)
     return at
@@ -131,17 +136,19 @@ def signed(x: np.ndarray) -> np.ndarray:
 def range_buckets(df: DataFrame, key: str, rows_per_bucket: int = 500) -> tuple[DataFrame, int]:
     """Add ``bucket``: contiguous ranges of the integer ``key``, in ascending order, of about equal numbers of rows.
 
-    Only cut points reach the driver: one number for each bucket, 20,000 at most, from approximate quantiles of the narrow
-    key column. Null keys are in bucket 0. Returns the frame and the number of buckets.
+    Only cut points reach the driver: approximate quantiles of the narrow key column, one for each bucket, of which there are 16 for
+    each shuffle partition at most. Null keys are in bucket 0. Returns the frame and the number of buckets.
     """
-    n = max(1, min(20_000, -(-df.count() // rows_per_bucket)))
+    n = max(1, min(16 * partitions(df.sparkSession), -(-df.count() // rows_per_bucket)))
     cuts: list[int] = []
     if n > 1:
-        cuts = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
+        cuts = sorted({float(c) for c in df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n)).first()[0] or []})
     if not cuts:
         return df.withColumn("bucket", F.lit(0)), 1
-    below = F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c < `{key}`))")
-    return df.withColumn("bucket", F.when(F.col(key).isNull(), 0).otherwise(below)), len(cuts) + 1
+    # A search among the cut points. Large keys are rounded to doubles, which keeps their order.
+    rounded = df.withColumn("_key", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
+    found = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_bucket").transform(rounded)
+    return found.withColumn("bucket", F.col("_bucket").cast("int")).drop("_key", "_bucket"), len(cuts) + 1
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -126,11 +126,13 @@ def _compare(k: int, n: int):
         bucket, now = None, None
         for pdf in it:
             out = []
-            for b, d, t in zip(pdf.bucket, pdf.doc_id, pdf.text, strict=True):
+            for b, d, t, guest in zip(pdf.bucket, pdf.doc_id, pdf.text, pdf.guest, strict=True):
+                if guest and (b != bucket or now is None):  # only the first one follows
+                    continue
                 this = (None if pd.isna(d) else int(d), t or "", fingerprint(hashes, t or "", n))
                 if now is not None and b == bucket:
                     out.append(row(now, this))
-                bucket, now = b, this
+                bucket, now = b, None if guest else this
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     return task
@@ -150,18 +152,16 @@ def compare_with_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> D
     ranged, n = range_buckets(docs, "doc_id")
     none = F.lit(-(1 << 63))
     ranged = ranged.select((n - 1 - F.col("bucket")).alias("bucket"), F.coalesce("doc_id", none).alias("doc_id"), "text")
-    # A repeated doc_id is in one range; its greatest text comes first, found by hash where ids tie.
     first = ranged.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).sort("bucket").collect()
-    before = {r["doc_id"]: first[k - 1]["bucket"] for k, r in enumerate(first)}
-    if not before:
+    if not first:
         return docs.mapInPandas(_none, _RESULT)
-    guests = ranged.where(F.col("doc_id").isin(list(before)))
-    guests = guests.groupBy("doc_id").agg(F.max("text").alias("text")) if guests.count() > len(before) else guests.select("doc_id", "text")
-    to = docs.sparkSession.createDataFrame([(int(d), int(b)) for d, b in before.items()], "doc_id long, bucket int")
-    guests = guests.join(F.broadcast(to), "doc_id").select("bucket", "doc_id", "text", F.lit(1).alias("guest"))
-    every = ranged.select(F.col("bucket").cast("int").alias("bucket"), "doc_id", "text", F.lit(0).alias("guest")).union(guests)
+    # The first rows of buckets, a row of two numbers for each bucket, also go to the bucket before.
+    to = docs.sparkSession.createDataFrame([(int(r["doc_id"]), int(first[k - 1]["bucket"])) for k, r in enumerate(first)], "doc_id long, goes_to int")
+    own = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("guest"))
+    both = F.when(F.col("goes_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("goes_to").alias("bucket"), F.lit(1).alias("guest"))))
+    every = ranged.join(F.broadcast(to), "doc_id", "left").select("doc_id", "text", F.explode(both).alias("at")).select("at.*", "doc_id", "text")
     ordered = every.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), F.desc("text"))
-    out = ordered.select("bucket", "doc_id", "text").mapInPandas(_compare(k, shingle), _RESULT)
+    out = ordered.select("bucket", "doc_id", "text", "guest").mapInPandas(_compare(k, shingle), _RESULT)
     return out.withColumn("doc_id", F.nullif("doc_id", none))
 
 

@@ -2,13 +2,14 @@
 
 Packing depends on lengths alone, of which there are at most as many as a sequence has tokens. The driver gets the histogram of
 lengths, never rows: for each bin, a bitset subset-sum dynamic programme over the lengths left finds the fullest combination,
-which is removed as often as the histogram allows. Pieces then find their places by their rank within their length.
+which is removed as often as the histogram allows. Pieces then find their places by their rank within their length. Bins that
+keep room are emptied, with some others, and packed again by the same programme.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
-from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -20,19 +21,19 @@ from .common import INT, LONG, schema, spill
 from .tokens import END, encoder, vocabulary_path
 
 CAPACITY = 1024
-#: Shares of all bins that may be packed again.
-REPACKED = [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5]
-#: Ranks within a length are counted in so many parts.
-PARTS = 64
+#: How often bins are packed again, and the share of full ones among them.
+REPACKS, REPACKED = 6, 0.3
+#: Ranks within a length are counted in parts: 65,536 in all, and one more for each length, or fewer, of 1,000 pieces at least.
+PARTS, PART_ROWS = 1 << 16, 1000
 
 
-def fullest(left: dict[int, int], capacity: int) -> list[int]:
+def fullest(left: dict[int, int], capacity: int, order) -> list[int]:
     """The fullest combination of lengths within ``capacity`` that has the largest length left: one bin of minimum slack."""
     largest = max(left)
     sums = 1 << largest
     steps: list[tuple[int, int]] = []  # a length and the sums before it
     target = largest
-    for length in sorted(left, reverse=True):
+    for length in order(left):
         copies = min(left[length] - (length == largest), (capacity - largest) // length)
         for _ in range(copies):
             steps.append((length, sums))
@@ -53,14 +54,20 @@ def fullest(left: dict[int, int], capacity: int) -> list[int]:
 
 
 Bins = list[tuple[list[int], int]]
+#: In which order the programme adds lengths: of equally full combinations it prefers those of lengths that come early.
+ORDERS = [
+    lambda left: sorted(left, reverse=True),
+    lambda left: sorted(left),
+    lambda left: sorted(left, key=lambda n: (-left[n] * n, n)),
+]
 
 
-def minimum_slack(histogram: dict[int, int], capacity: int) -> Bins:
+def minimum_slack(histogram: dict[int, int], capacity: int, order=ORDERS[0]) -> Bins:
     """(lengths of a bin, number of such bins), each bin the fullest one at its time."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out = []
     while left:
-        bin_ = fullest(left, capacity)
+        bin_ = fullest(left, capacity, order)
         uses = Counter(bin_)
         times = min(left[n] // k for n, k in uses.items())
         for n, k in uses.items():
@@ -71,59 +78,30 @@ def minimum_slack(histogram: dict[int, int], capacity: int) -> Bins:
     return out
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
-    """Best fit, longest first, for equal bins at once."""
-    spaces: dict[int, Bins] = {}
-
-    def put(space: int, lengths: list[int], times: int) -> None:
-        if times:
-            if space not in spaces:
-                insort(keys, space)
-            spaces.setdefault(space, []).append((lengths, times))
-
-    keys: list[int] = []
-    for n in sorted(histogram, reverse=True):
-        left = histogram[n]
-        while left:
-            at = bisect_left(keys, n)
-            if at == len(keys):
-                space, lengths, times = capacity, [], left
-            else:
-                space = keys[at]
-                lengths, times = spaces[space].pop()
-            # The fullest bin that has room takes as many as it can hold.
-            k = min(space // n, left)
-            used = min(times, left // k)
-            put(space - k * n, lengths + [n] * k, used)
-            left -= k * used
-            if at < len(keys) and space < capacity:
-                put(space, lengths, times - used)
-                if not spaces[space]:
-                    del spaces[space]
-                    keys.remove(space)
-    return [x for bins in spaces.values() for x in bins]
+def number(bins: Bins) -> int:
+    return sum(times for _, times in bins)
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> Bins:
-    """Minimum slack, until every piece has its bin. The last bins are left with lengths that don't go together; a share of all
-    bins, from the last back, is packed best fit instead where that takes fewer."""
-    bins = minimum_slack(histogram, capacity)
-    total = sum(times for _, times in bins)
-    best, fewest = bins, total
-    for share in REPACKED:
-        head, tail, again = [], Counter(), int(total * share)
-        for lengths, times in reversed(bins):
-            k = min(times, again)
-            again -= k
+    """Minimum slack in each order, the fewest bins. Then bins with room, and a share of the full ones, are emptied and packed again,
+    by the same programme, as long as there are more bins than tokens ask for."""
+    bins = min((minimum_slack(histogram, capacity, order) for order in ORDERS), key=number)
+    fewest = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    chance = random.Random(1)
+    for k in range(REPACKS):
+        if number(bins) <= fewest:
+            break
+        kept, emptied = [], Counter()
+        for lengths, times in bins:
+            again = times if capacity - sum(lengths) > capacity // 256 else int(times * REPACKED + chance.random())
             for n in lengths:
-                tail[n] += k
-            if times > k:
-                head.append((lengths, times - k))
-        new = head[::-1] + best_fit({n: c for n, c in tail.items() if c}, capacity)
-        number = sum(times for _, times in new)
-        if number < fewest:
-            best, fewest = new, number
-    return best
+                emptied[n] += again
+            if times > again:
+                kept.append((lengths, times - again))
+        new = kept + minimum_slack(emptied, capacity, ORDERS[k % len(ORDERS)])
+        if number(new) <= number(bins):
+            bins = new
+    return bins
 
 
 def _pieces(path: str, capacity: int):
@@ -155,9 +133,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Tokenized once: the histogram and the places both read the narrow rows.
     pieces = spill(docs.mapInPandas(_pieces(path or vocabulary_path(), capacity), schema(doc_id=LONG, piece=INT, start=LONG, length=LONG, ids_crc32=LONG)))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    counts = spill(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length
+    # Full pieces are sequences of their own; the others share.
+    whole, shared = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    histogram.pop(capacity, None)
+    rows_each = max(PART_ROWS, -(-sum(histogram.values()) // PARTS))
+    parts = spark.createDataFrame([(n, -(-c // rows_each)) for n, c in histogram.items()], schema(length=LONG, parts=LONG))
+    # Both broadcasts below are bounded: a row for each length, and for each part.
+    shared = shared.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts").cast("int")).drop("parts")
+    counts = spill(shared.groupBy("length", "part").agg(F.count("*").alias("n")))
     starts = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
 
     # One row for each length of each pattern: ranks from, of which each of its bins takes ``k``, bins from, place of the first.
@@ -175,10 +159,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     places = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "last", "k", "bin", "at"))).alias("ranges"))
 
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("rank", rank).join(F.broadcast(starts), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = shared.withColumn("rank", rank).join(F.broadcast(starts), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(places), "length").withColumn("r", F.filter("ranges", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["last"]))[0])
     nth = F.col("rank") - F.col("r.first")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("r.bin") + F.floor(nth / F.col("r.k"))).cast("long").alias("sequence_id"), (F.col("r.at") + nth % F.col("r.k") * F.col("length")).cast("long").alias("offset"))
+    alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("r.bin") + F.floor(nth / F.col("r.k"))).cast("long").alias("sequence_id"), (F.col("r.at") + nth % F.col("r.k") * F.col("length")).cast("long").alias("offset"))
+    return placed.union(alone)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -19,13 +19,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, INT, LONG, partitions, range_buckets, schema, shared_dir
+from .common import BIN, INT, LONG, schema, shared_dir
 from .tokens import END, encoder, vocabulary_path
 
 MAGIC = b"DAC1"
 CHUNK = 8
 #: Tokens in one file, about; a document isn't split over files.
 FILE_TOKENS = 1_000_000
+#: Tokens that are looked up at once.
+READ = 1 << 16
+#: Each bit of a word, and the bits below it.
+BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+BELOW = BIT - np.uint64(1)
 
 
 def write_codes(ids: np.ndarray, offsets: np.ndarray) -> bytes:
@@ -67,13 +72,21 @@ class Codes:
         if len(places) and (places.min() < 0 or places.max() >= self.tokens):
             raise IndexError("no such token")
         out = np.zeros(len(places), np.uint32)
-        who = np.arange(len(places))
+        who = None
         for j, (chunks, bits, directory) in enumerate(self.levels):
-            out[who] |= chunks[places].astype(np.uint32) << np.uint32(CHUNK * j)
-            word, bit = bits[places >> 6], (places & 63).astype(np.uint64)
-            goes_on = (word >> bit & np.uint64(1)).astype(bool)
-            before = directory[places >> 6] + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
-            who, places = who[goes_on], before[goes_on].astype(np.int64)
+            if who is None:
+                out[:] = chunks[places]
+            else:
+                out[who] |= chunks[places].astype(np.uint32) << np.uint32(CHUNK * j)
+            if j + 1 == len(self.levels):
+                break
+            at = places >> 6
+            word, bit = bits[at], places & 63
+            below = word & BELOW[bit]
+            goes_on = np.flatnonzero(word & BIT[bit])
+            # The rank of an id among those that go on is its place in the next level.
+            places = (directory[at] + np.bitwise_count(below))[goes_on].astype(np.int64)
+            who = goes_on if who is None else who[goes_on]
             if not len(who):
                 break
         return out
@@ -81,49 +94,44 @@ class Codes:
     def __getitem__(self, i: int) -> int:
         return int(self.at(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        """Every token, level by level, without ranks."""
-        below = None
-        for j, (chunks, bits, _) in reversed(list(enumerate(self.levels))):
-            x = chunks.astype(np.uint32) << np.uint32(CHUNK * j)
-            if below is not None and len(below):
-                goes_on = np.unpackbits(bits.view(np.uint8), bitorder="little")[: len(chunks)].astype(bool)
-                x[goes_on] |= below
-            below = x
-        return below
+    def between(self, first: int, last: int) -> np.ndarray:
+        """Tokens from ``first`` up to ``last``, without it."""
+        return np.concatenate([self.at(np.arange(k, min(k + READ, last))) for k in range(first, last, READ)] or [np.empty(0, np.uint32)])
 
     def document(self, k: int) -> np.ndarray:
-        return self.at(np.arange(self.offsets[k], self.offsets[k + 1]))
+        return self.between(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
 def _write(path: str, file_tokens: int):
     def task(it):
-        def file(bucket, number, held):
+        def file(bucket, number, before, held):
             lengths = np.array([len(x) for _, x in held])
             ids = np.concatenate([x for _, x in held])
-            return {"bucket": bucket, "number": number, "documents": [d for d, _ in held], "tokens": len(ids), "codes": write_codes(ids, np.r_[0, np.cumsum(lengths)])}
+            return {"bucket": bucket, "number": number, "before": before, "documents": [d for d, _ in held], "tokens": len(ids), "codes": write_codes(ids, np.r_[0, np.cumsum(lengths)])}
 
-        bucket, number, held, tokens = None, 0, [], 0
+        number, before, held, tokens = 0, 0, [], 0
+        bucket = None
         for pdf in it:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 files = []
                 for b, d, ids in zip(part.bucket, part.doc_id, encoder(path).encode(part.text.tolist()), strict=True):
-                    if held and (b != bucket or tokens >= file_tokens):
-                        files.append(file(bucket, number, held))
-                        number, held, tokens = (number + 1 if b == bucket else 0), [], 0
                     bucket = b
+                    if held and tokens >= file_tokens:
+                        files.append(file(bucket, number, before, held))
+                        number, before, held, tokens = number + 1, before + tokens, [], 0
                     held.append((None if pd.isna(d) else int(d), np.append(ids, np.uint32(END))))
                     tokens += len(ids) + 1
                 if files:
                     yield pd.DataFrame(files)
         if held:
-            yield pd.DataFrame([file(bucket, number, held)])
+            yield pd.DataFrame([file(bucket, number, before, held)])
 
     return task
 
 
-FILES = schema(bucket=INT, number=INT, documents=T.ArrayType(LONG), tokens=LONG, codes=BIN)
+#: ``bucket`` and ``number`` give the order of files; ``before`` are the tokens of the files before it in its bucket.
+FILES = schema(bucket=INT, number=INT, before=LONG, documents=T.ArrayType(LONG), tokens=LONG, codes=BIN)
 
 
 def write_token_files(docs: DataFrame, to: str, path: str | None = None, file_tokens: int = FILE_TOKENS) -> None:
@@ -134,31 +142,28 @@ def write_token_files(docs: DataFrame, to: str, path: str | None = None, file_to
     their order), so that any store Spark writes to will do. An empty table gives an empty folder.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged, _ = range_buckets(docs, "doc_id")
-    ordered = ranged.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    ordered.select("bucket", "doc_id", "text").mapInPandas(_write(path or vocabulary_path(), file_tokens), FILES).write.option("compression", "uncompressed").parquet(to)
+    ordered = docs.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ordered.select(F.spark_partition_id().alias("bucket"), "doc_id", "text").mapInPandas(_write(path or vocabulary_path(), file_tokens), FILES).write.option("compression", "uncompressed").parquet(to)
 
 
 def _read(it):
     for pdf in it:
         for start, documents, blob in zip(pdf.start, pdf.documents, pdf.codes, strict=True):
             codes = Codes(blob)
-            ids = codes.all().astype("<u4")
             o = codes.offsets
-            rows = [(d, start + a, b - a, zlib.crc32(ids[a:b].tobytes())) for d, a, b in zip(documents, o[:-1].tolist(), o[1:].tolist(), strict=True)]
+            ids = codes.between(0, codes.tokens).astype("<u4")  # each by its ranks
+            rows = [(d, start + a, b - a, zlib.crc32(ids[a:b])) for d, a, b in zip(documents, o[:-1].tolist(), o[1:].tolist(), strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
 
 
 def read_token_files(spark, at: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     files = spark.read.schema(FILES).parquet(at)
-    # Offsets of files, then of documents within: bucket totals are one narrow row for each of at most 20,000 buckets.
-    sizes = files.select("bucket", "number", "tokens")
-    buckets = sizes.groupBy("bucket").agg(F.sum("tokens").alias("n"))
-    before = buckets.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
-    within = sizes.select("bucket", "number", (F.sum("tokens").over(Window.partitionBy("bucket").orderBy("number")) - F.col("tokens")).alias("inside"))
-    starts = within.join(F.broadcast(before), "bucket").select("bucket", "number", (F.col("before") + F.col("inside")).alias("start"))
-    return files.join(starts, ["bucket", "number"]).select("start", "documents", "codes").mapInPandas(_read, schema(doc_id=LONG, start=LONG, n_tokens=LONG, ids_crc32=LONG))
+    # Files know the tokens before them in their bucket; totals of buckets, of which there are as many as tasks wrote, are broadcast.
+    buckets = files.groupBy("bucket").agg(F.sum("tokens").alias("n"))
+    before = buckets.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
+    placed = files.join(F.broadcast(before), "bucket").select((F.col("start") + F.col("before")).alias("start"), "documents", "codes")
+    return placed.mapInPandas(_read, schema(doc_id=LONG, start=LONG, n_tokens=LONG, ids_crc32=LONG))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

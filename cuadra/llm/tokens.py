@@ -69,7 +69,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library cuts out of a text before anything else, such as the end mark. None holds a blank.
+        self.cut_out = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose first byte is a blank
         self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -123,7 +124,7 @@ class Encoder:
         for t in texts:
             if not t:
                 parts.append((None, empty))
-            elif OTHER_SPACE.search(t):
+            elif OTHER_SPACE.search(t) or any(c in t for c in self.cut_out):
                 parts.append((None, np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)))
             elif has_loose_space(t):
                 parts.append((self.pieces, self.pieces.numbers(PIECES.findall(t))))

@@ -14,7 +14,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -25,7 +24,8 @@ def test_encoder_is_the_tokenizer(plain, text):
 
 
 def test_encoder_keeps_known_words(plain):
-    texts = ["the cat  sat\n\n on", None, "", "the cat"] * 3
+    texts = ["the cat  sat\n\n on", None, "", "the cat", "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b c", "<|endoftext|"] * 3
+    assert plain("a <|endoftext|> b") == [64, 220, 50256, 275]
     assert [x.tolist() for x in encoder(vocabulary_path()).encode(texts)] == [plain(t) for t in texts]
 
 
@@ -41,8 +41,36 @@ def test_patterns_use_every_length_once(histogram):
 
 
 def test_fullest_is_fullest():
-    assert sum(packing.fullest({40: 1, 30: 1, 24: 1, 7: 3}, 64)) == 64
-    assert sorted(packing.fullest({50: 2, 9: 1, 8: 1}, 64)) == [9, 50]
+    for order in packing.ORDERS:
+        assert sum(packing.fullest({40: 1, 30: 1, 24: 1, 7: 3}, 64, order)) == 64
+        assert sorted(packing.fullest({50: 2, 9: 1, 8: 1}, 64, order)) == [9, 50]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 3), min_size=1, max_size=7), st.integers(24, 40))
+def test_fullest_by_brute_force(histogram, capacity):
+    from itertools import product
+
+    rest = {n: c - (n == max(histogram)) for n, c in histogram.items()}
+    sums = {sum(n * k for n, k in zip(rest, ks, strict=True)) + max(histogram) for ks in product(*(range(c + 1) for c in rest.values()))}
+    for order in packing.ORDERS:
+        assert sum(packing.fullest(histogram, capacity, order)) == max(s for s in sums if s <= capacity)
+
+
+def test_few_bins():
+    from collections import Counter
+
+    import duckdb
+
+    for sf in ("sf0.01", "sf0.1"):
+        lengths = Counter()
+        texts = [r[0] for r in duckdb.sql(f"select text from '/root/testdata/{sf}/documents.parquet'").fetchall()]
+        for ids in encoder(vocabulary_path()).encode(texts):
+            full, rest = divmod(len(ids) + 1, 1024)
+            lengths[1024] += full
+            lengths[rest] += rest > 0
+        bins = packing.number(packing.patterns(+lengths, 1024))
+        assert bins <= 1.005 * -(-sum(n * c for n, c in lengths.items()) // 1024)
 
 
 def test_packing(spark, documents, odd_rows, plain):
@@ -91,7 +119,7 @@ def test_codes_give_random_access(lists):
     ids = np.array([x for part in lists for x in part], np.uint32)
     offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
     codes = token_files.Codes(token_files.write_codes(ids, offsets))
-    assert codes.all().tolist() == ids.tolist()
+    assert codes.between(0, len(ids)).tolist() == ids.tolist()
     assert codes.at(np.arange(len(ids))).tolist() == ids.tolist()
     assert [codes[i] for i in range(len(ids))] == ids.tolist()
     assert [codes.document(k).tolist() for k in range(len(lists))] == lists
