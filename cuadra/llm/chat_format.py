@@ -50,25 +50,20 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     a part of unknown type is kept as a ``document``. A null conv_id is a conversation of its own. The mask covers what
     assistants say, placeholders included, nothing between. An empty table gives an empty one.
     """
-    has_parts = "parts" in turns.columns
-    content = F.col("parts").cast(PARTS) if has_parts else F.col("text")
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), content.alias("content"))
-    if has_parts:
-        rows = rows.withColumn("content", F.coalesce("content", F.array().cast(PARTS)))
-    else:
-        rows = rows.withColumn("content", F.coalesce("content", F.lit("")))
+    if "parts" in turns.columns:
+        parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS))
+    else:  # a text is one part
+        text = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in PARTS.elementType.fields[2:]])
+        parts = F.array(text)
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), parts.alias("content"))
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "content")
     rows = rows.withColumn("k", F.row_number().over(order) - 1)
-    if has_parts:
-        kind = lambda p: F.when(p["type"].isin("text", "image", "audio"), p["type"]).otherwise("document")
-        name = lambda p, i: F.concat(F.lit("<|"), kind(p), F.lit(" "), F.col("k"), F.lit("."), i, F.lit("|>"))
-        visited = F.transform("content", lambda p, i: F.struct(kind(p).alias("type"), F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(name(p, i)).alias("out"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-        rows = rows.withColumn("visited", visited)
-        body = F.array_join(F.transform("visited", lambda v: v["out"]), "")
-        attached = F.transform(F.filter("visited", lambda v: v["type"] != "text"), lambda v: F.struct(v["out"].alias("placeholder"), v["type"].alias("type"), v["ref"].alias("ref"), v["tokens"].alias("tokens")))
-    else:
-        body = escape(F.col("content"))
-        attached = F.array().cast("array<struct<placeholder:string,type:string,ref:string,tokens:bigint>>")
+    kind = lambda p: F.when(p["type"].isin("text", "image", "audio"), p["type"]).otherwise("document")
+    name = lambda p, i: F.concat(F.lit("<|"), kind(p), F.lit(" "), F.col("k"), F.lit("."), i, F.lit("|>"))
+    visited = F.transform("content", lambda p, i: F.struct(kind(p).alias("type"), F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(name(p, i)).alias("out"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
+    rows = rows.withColumn("visited", visited)
+    body = F.array_join(F.transform("visited", lambda v: v["out"]), "")
+    attached = F.transform(F.filter("visited", lambda v: v["type"] != "text"), lambda v: F.struct(v["out"].alias("placeholder"), v["type"].alias("type"), v["ref"].alias("ref"), v["tokens"].alias("tokens")))
     head = F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n"))
     rows = rows.select("conv_id", "turn", "role", "content", "k", head.alias("head"), body.alias("body"), attached.alias("attached"))
     size = F.length("head") + F.length("body") + len(END)

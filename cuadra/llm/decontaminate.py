@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spill
+
 WINDOW = 10
-#: More windows than this are joined by a shuffle instead: they take 100 MB at most when broadcast.
-BROADCAST_WINDOWS = 400_000
+#: Windows with their words and item ids beyond so many bytes are joined by a shuffle instead of broadcast.
+BROADCAST_BYTES = 64 << 20
 
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a text before A-Z are lowered; there they are no delimiters.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,7 +45,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.groupBy("h").agg(F.collect_list(F.struct("n", F.array_join("gram", " ").alias("gram"), "items")).alias("found"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, text, n_words, hits (array of place, n and items of each verified occurrence, by place).
 
     Takes ``doc_id`` and ``text``, and ``item_id`` and ``text`` of ``benchmark``; other columns are ignored, whatever their
@@ -51,10 +55,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     """
     none = F.lit(-(1 << 63))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
-    wanted = benchmark_windows(benchmark.where("item_id is not null"), window)
-    sizes = wanted.select(F.explode("found").alias("f")).groupBy("f.n").count().collect()  # a row for each length, at most ``window``
+    wanted = spill(benchmark_windows(benchmark.where("item_id is not null"), window))  # found once, read by both uses
+    # Per length of windows, of which there are ``window`` at most: the bytes of their words and ids, and 64 for each.
+    of_items = F.size("f.items") * 16 + F.length(F.array_join(F.transform("f.items", lambda i: i.cast("string")), ""))
+    sizes = wanted.select(F.explode("found").alias("f")).groupBy("f.n").agg(F.sum(F.octet_length("f.gram") + of_items + 64).alias("bytes")).collect()
     lengths = sorted(r["n"] for r in sizes)
-    if sum(r["count"] for r in sizes) <= broadcast_windows:
+    if sum(r["bytes"] for r in sizes) <= broadcast_bytes:
         wanted = F.broadcast(wanted)
     split = docs.select("doc_id", "th", words(F.col("text")).alias("w"))
     windows = F.concat(*[_windows(F.col("w"), n) for n in lengths or [window]])
@@ -87,6 +93,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     return docs.join(bad, same, "left_anti")
 
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs``, all rows and columns, without the words that lie in benchmark windows. What stands before and after a removed span
+    stays; ``n_chars`` follows where there is one. Texts without hits, null ones included, stay as they are."""
+    bad = find_hits(docs, benchmark, window).where(F.size("hits") > 0)
+    hit = F.flatten(F.transform("hits", lambda x: F.sequence(x["place"], x["place"] + x["n"] - 1)))
+    bad = bad.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.xxhash64("text").alias("_th"), hit.alias("_hit")).dropDuplicates(["_id", "_th"])
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_th"])
+    rows = docs.join(bad, same, "left")
+    # A word goes together with the delimiters after it.
+    rows = rows.withColumn("_between", F.when(F.col("_hit").isNotNull(), F.split("text", WORDS, -1))).withColumn("_words", F.when(F.col("_hit").isNotNull(), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_words") - 1), F.col("_hit"))
+    clean = F.concat(F.get("_between", F.lit(0)), F.array_join(F.transform(kept, lambda i: F.concat(F.get("_words", i), F.get("_between", i + 1))), ""))
+    rows = rows.withColumn("text", F.when(F.col("_hit").isNotNull(), clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_hit").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return report(find_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 

@@ -34,6 +34,8 @@ GENERAL_PERCENT, GENERAL_BANDS, GENERAL_ROWS = 80, 40, 5
 MARGIN, GENERAL_MARGIN = 0.15, 0.18
 #: Classes in a block of a band, and classes that meet a hub in one task.
 BLOCK, STAR = 128, 256
+#: Classes, of 48 bytes each, that are broadcast to fetch their texts, 48 MB at most; more of them are joined by a shuffle.
+FEW = 1_000_000
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -252,6 +254,7 @@ def classes_of(docs: DataFrame, shingle: int, percent: int, bands: int | None, r
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = spill(heads.join(nodes, "node", "left_semi").select("node", "key", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")))
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
         return spill(docs.join(wanted, ["doc_id", "th"]).select("node", "key", "text").mapInPandas(_sets(shingle), schema(node=LONG, members=BIN)))
 
     banded = heads.select("node", F.explode("bands").alias("band"))
@@ -282,7 +285,8 @@ def classes_of(docs: DataFrame, shingle: int, percent: int, bands: int | None, r
     rest = spill(labelled.join(spill(open_), "band").join(sketches, "node").select("band", "node", "label", "n", "sketch"))
     met = _blocks(rest, percent, block).repartition(shards, *GROUP).sortWithinPartitions(*GROUP)
     met = spill(met.select(_BLOCKS.names).mapInPandas(_survivors(percent, k), _BLOCKS))
-    full = met.join(sets_of(met.select("node")), "node").repartition(shards, *GROUP).sortWithinPartitions(*GROUP)
+    missing = met.select("node").distinct().join(sets, "node", "left_anti")
+    full = met.join(sets.union(sets_of(missing)), "node").repartition(shards, *GROUP).sortWithinPartitions(*GROUP)
     more = full.select(*_BLOCKS.names, "members").mapInPandas(_confirmed(percent, k), schema(a=LONG, b=LONG))
     again = connected(more).toDF("label", "joined")
     named = named.join(again, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,13 +148,16 @@ def fold(mod: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
-    """Fit on at most ``sample`` of the labelled rows (doc_id, label), the first by the hash of their id; null labels don't count.
+    """Fit on at most ``sample`` of the labelled rows (doc_id, label), the first by the hash of their id; null labels don't count, and of
+    rows that repeat a doc_id one does, the one of the greatest text.
 
     Without rows of both labels, every score is the share of label 1 (a half without any row).
     """
     chosen = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most ``sample`` rows of two numbers.
-    rows = _input(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", "n_chars")
+    # At most ``sample`` rows of two numbers. One row of those that repeat a doc_id, so that no more rows reach the driver.
+    rows = _input(docs).join(F.broadcast(chosen), "doc_id")
+    one = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("text"), F.desc_nulls_last("n_chars"))
+    rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("doc_id", "label", "text", "n_chars")
     got = rows.mapInPandas(_features, schema(label=T.IntegerType(), at=T.ArrayType(T.IntegerType()), x=T.ArrayType(T.FloatType()))).toPandas()
     model = FactorisationMachine()
     y = got.label.to_numpy(np.float32)

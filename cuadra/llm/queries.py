@@ -26,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_near_dedup": near_dedup.OP2_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op9_secret_scan": secret_scan.OP9_SQL,
 }

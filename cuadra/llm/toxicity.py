@@ -1,70 +1,36 @@
-"""Toxicity by class-conditional Kneser-Ney models of characters within words.
+"""Toxicity by class-conditional Kneser-Ney models of words.
 
-Both classes have counts of their own for character 5-grams; lower orders are continuation counts that the classes share and that
-all documents contribute to, so rare expressions are smoothed alike. A word's log-likelihood ratio is toxic against ordinary; a
-document is judged by the length-normalised ratio of all it says and of its most toxic words.
+Each class has a bigram model of its own, counted in labelled rows, with modified Kneser-Ney discounts: bigrams, then continuation
+counts of the class (in how many contexts a word follows), then counts that both classes share (in how many documents of the whole
+corpus a word occurs), so that rare expressions are smoothed alike. A document is judged by its length-normalised log-likelihood
+ratio, toxic against ordinary, and by the ratios of its most toxic words in the lower order, where single sightings weigh little.
 
-Counts are kept by gram in Spark and grow with the corpus. The ratio of each distinct gram is found once; the distinct grams of
-a piece of documents are joined with these, and meet its words and documents again in one task.
+The shared counts are a table of all words of all documents, kept in Spark; it grows with the corpus. Only its rows for words of
+the labelled sample enter the model: for any other word both classes back off to the same shared count, which cancels out.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
-import uuid
-import zlib
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BIN, DBL, INT, LONG, STR, by_length, mix, schema, signed, spill, token_codes
+from .common import DBL, INT, LONG, STR, by_length, schema, signed, spill, token_codes, word_hashes
 from .quality import fold
 
-ORDER = 5
-DISCOUNT = 0.75
-#: Labelled rows of each class that are learnt from at most.
-SAMPLE = 15_000
+#: Labelled rows of each class that are learnt from, at most, and their characters; no row may have over an eighth of these.
+SAMPLE, SAMPLE_CHARS = 15_000, 2_000_000
+#: Each labelled row is calibrated on by a model that hasn't seen its fold.
+FOLDS = 4
 THRESHOLD = 0.7
-#: Names of the count tables, by order and kind; rows have the place of a name.
-TABLES = [f"{n}{name}{kind}" for n in range(1, ORDER + 1) for name in (("toxic", "ordinary") if n == ORDER else ("follows",)) for kind in ("", "_all", "_types")]
-KINDS = sorted({name[1:] for name in TABLES})
+FEATURES = 5
 #: What separates words within a line.
 BETWEEN = re.compile(r"[^\w\n]+")
-BEGIN, STOP = "\x02", "\x03"
-FEATURES = 5
-#: Distinct grams after which a piece of documents is closed.
-PIECE = 1 << 19
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-
-
-def _hashes(codes: np.ndarray, most: int = ORDER) -> list[np.ndarray]:
-    """Hashes of every n consecutive characters, for n from 0 to ``most``; each is made from the one before."""
-    out = [np.full(len(codes), 1, np.uint64)]
-    for n in range(1, most + 1):
-        size = max(0, len(codes) - n + 1)
-        out.append(mix(out[-1][:size] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :][:size] + np.uint64(1)))
-    return out
-
-
-def _cell(hashes: list[np.ndarray], n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams of order ``n`` that begin at ``at``, and of the contexts before their last characters."""
-    return signed(hashes[n][at]), signed(hashes[n - 1][at])
-
-
-def _grams(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """Padded words in one string, the places where their ``ORDER``-grams begin, and how many each word has."""
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    text = "".join(BEGIN * (ORDER - 1) + w + STOP for w in words)
-    begin = np.cumsum(n + ORDER - 1) - (n + ORDER - 1)
-    ends = np.cumsum(n)
-    return text, np.arange(ends[-1]) + np.repeat(begin - ends + n, n), n
+#: The context of a document's first word; not a word itself.
+BEGIN = "\x02"
 
 
 def _words(tokens: list[str]) -> list[list[str]]:
@@ -72,105 +38,128 @@ def _words(tokens: list[str]) -> list[list[str]]:
     return [x.split() for x in BETWEEN.sub(" ", "\n".join(tokens).lower()).split("\n")] if tokens else []
 
 
-def _distinct_words(tokens: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of tokens, their places in the order of the tokens, and for each token its first place and how many follow."""
+def sequences(texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of many texts, the words of all texts by their places among these, and where each text begins and the last ends."""
+    codes, bounds, tokens = token_codes(texts)
     found = _words(tokens)
     index: dict[str, int] = {}
     at = np.array([index.setdefault(w, len(index)) for x in found for w in x], np.int64)
     n = np.fromiter(map(len, found), np.int64, len(found))
-    return list(index), at, np.cumsum(n) - n, n
+    first, many = np.cumsum(n) - n, n[codes]
+    ends = np.cumsum(many)
+    said = at[np.arange(many.sum()) + np.repeat(first[codes] - ends + many, many)]
+    return list(index), said, np.r_[0, ends][bounds]
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return signed(word_hashes([w.encode() for w in words]))
+
+
+def _vocabulary(it):
+    """(word, hash, documents): in how many rows each word occurs."""
+    for pdf in by_length(it):
+        words, said, bounds = sequences(pdf.text)
+        doc = np.repeat(np.arange(len(pdf)), np.diff(bounds))
+        each = np.unique(doc * max(1, len(words)) + said) % max(1, len(words))
+        if words:
+            yield pd.DataFrame({"word": words, "hash": _hashes(words), "documents": np.bincount(each, minlength=len(words))})
 
 
-def _count(it):
-    """(gram, toxic, ordinary): counts in labelled rows, of every gram that occurs in any row."""
+def _bigrams(it):
+    """(v, w, label, fold, n): counts of word w after v, by their hashes."""
+    begin = _hashes([BEGIN])[0]
     for pdf in by_length(it):
-        codes, bounds, tokens = token_codes(pdf.text)
-        words, at, first, n = _distinct_words(tokens)
-        if not words:
-            continue
-        label = np.repeat(pdf.label.to_numpy(), np.diff(bounds))
-        text, begin, size = _grams(words)
-        number, distinct = pd.factorize(_hashes(_codes(text))[ORDER][begin])
-        place = np.empty(len(distinct), np.int64)
-        place[number[::-1]] = begin[::-1]
-        counts = {}
-        for name, k in (("toxic", 1), ("ordinary", 0)):
-            of_tokens = np.bincount(codes[label == k], minlength=len(tokens))
-            of_words = np.bincount(at, np.repeat(of_tokens, n), len(words))
-            counts[name] = np.bincount(number, np.repeat(of_words, size), len(distinct)).astype(np.int64)
-        yield pd.DataFrame({"gram": [text[i : i + ORDER] for i in place.tolist()], **counts})
-
-
-def _cells(it):
-    """Rows (gram, toxic, ordinary, follows) of any order to rows of count tables (table, key, cell, value): the key is the gram or
-    its context, the cell its hash."""
-    for pdf in it:
-        for n, part in pdf.groupby(pdf.gram.str.len()):
-            cell, context = _cell(_hashes(_codes("".join(part.gram)), int(n)), int(n), np.arange(len(part)) * int(n))
-            top = [("toxic", part.toxic), ("ordinary", part.ordinary)] if n == ORDER else [("follows", part.follows)]
-            before = part.gram.str[:-1]
-            out = []
-            for name, value in top:
-                value = value.to_numpy()
-                for kind, key, where, what in (("", part.gram, cell, value), ("_all", before, context, value), ("_types", before, context, (value > 0).astype(np.int64))):
-                    out.append(pd.DataFrame({"table": np.int32(TABLES.index(f"{n}{name}{kind}")), "key": key.to_numpy(), "cell": where, "value": what}))
-            out = pd.concat(out)
-            yield out[out.value > 0].groupby(["table", "key", "cell"], as_index=False).value.sum()
-
-
-def _rows_of_tables(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (n, cell, one column for each kind) to rows of count tables."""
-    out = []
-    for k, name in enumerate(TABLES):
-        kind = name[1:]
-        own = (pdf.n == int(name[0]) - ("_" in kind)) & (pdf[kind] > 0)
-        out.append(pd.DataFrame({"table": k, "cell": pdf.cell[own], "value": pdf[kind][own]}))
-    return pd.concat(out)
+        words, said, bounds = sequences(pdf.text)
+        w = _hashes(words)[said]
+        v = np.r_[begin, w[:-1]] if len(w) else w
+        v[bounds[:-1][np.diff(bounds) > 0]] = begin
+        rows = np.repeat(np.arange(len(pdf)), np.diff(bounds))
+        yield pd.DataFrame({"v": v, "w": w, "label": pdf.label.to_numpy()[rows], "fold": pdf.fold.to_numpy()[rows]}).groupby(["v", "w", "label", "fold"], as_index=False).size().rename(columns={"size": "n"})
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in a sorted array; -1 for what it doesn't hold."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What is taken from each count: less than the count, by how many counts of one to four there are, for one, two and more."""
+    one, two, three, four = np.maximum(1, np.bincount(np.minimum(n, 5), minlength=6)[1:5])
+    y = one / (one + 2 * two)
+    d = np.clip([1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three], 0.1, [1, 2, 3])
+    return np.append(0.0, d)[np.minimum(n, 3)]
 
 
 class KneserNey:
-    """Count tables of some grams, those of a piece."""
-
-    def __init__(self, cells: pd.DataFrame):
-        self.tables = {}
-        table, cell, value = (cells[c].to_numpy() for c in ("table", "cell", "value"))
-        for k, name in enumerate(TABLES):
-            own = np.flatnonzero(table == k)
-            own = own[np.argsort(cell[own])]
-            self.tables[name] = cell[own].astype(np.int64), value[own].astype(np.float64)
-
-    def _look_up(self, name: str, cell: np.ndarray) -> np.ndarray:
-        """Counts; 0 where a table has none."""
-        cells, values = self.tables[name]
-        if not len(cells):
-            return np.zeros(len(cell))
-        at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
-        return np.where(cells[at] == cell, values[at], 0)
-
-    def _interpolate(self, name: str, cell: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
-        total = self._look_up(name + "_all", context)
-        own = np.maximum(self._look_up(name, cell) - DISCOUNT, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(total > 0, (own + DISCOUNT * self._look_up(name + "_types", context) * below) / np.maximum(total, 1), below)
-
-    def ratios(self, grams: list[str]) -> np.ndarray:
-        """Log-likelihood ratios of the last characters of ``ORDER``-grams, toxic against ordinary."""
-        begin = np.arange(len(grams)) * ORDER
-        hashes = _hashes(_codes("".join(grams)))
-        p = np.full(len(begin), 1e-4)
-        for k in range(1, ORDER):
-            p = self._interpolate(f"{k}follows", *_cell(hashes, k, begin + ORDER - k), p)
-        top = _cell(hashes, ORDER, begin)
-        toxic, ordinary = (self._interpolate(f"{ORDER}{c}", *top, p) for c in ("toxic", "ordinary"))
-        return np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12))
+    """Both classes' models, of counts (v, w, toxic, ordinary) and of the shared ones: ``documents`` of sorted ``words``, ``total``."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray, counts: list[np.ndarray], words: np.ndarray, documents: np.ndarray, total: int):
+        self.words = np.unique(np.concatenate([v, w]))
+        size = len(self.words)
+        at_v, at_w = np.searchsorted(self.words, v), np.searchsorted(self.words, w)
+        keys = at_v * size + at_w
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        known = _find(words, self.words)
+        shared = np.where(known >= 0, documents[known] if len(documents) else 0, 1) / max(1, total)
+        # By class: discounted bigrams; what contexts leave to lower orders; words without a context; what these leave to shared counts.
+        self.own, self.left, self.below, self.unseen = [], [], [], []
+        for n in counts:
+            taken = discounts(n)
+            context = np.bincount(at_v, n, size)
+            before = np.bincount(at_w[n > 0], minlength=size)
+            pairs = max(1, int(before.sum()))
+            unseen = discounts(before).sum() / pairs if before.any() else 1.0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                self.left.append(np.where(context > 0, np.bincount(at_v, taken, size) / context, 1.0))
+                self.own.append(np.where(n > 0, (n - taken) / context[at_v], 0.0)[order])
+            self.below.append((before - discounts(before)) / pairs + unseen * shared)
+            self.unseen.append(unseen)
+
+    def probabilities(self, at_v: np.ndarray, at_w: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of words after others, and of words alone, toxic and ordinary; by their places, -1 for a word that neither class has. The
+        shared factor of such a word, which cancels out, is left out."""
+        both = np.flatnonzero((at_v >= 0) & (at_w >= 0))
+        key = _find(self.keys, at_v[both] * len(self.words) + at_w[both])
+        both, key = both[key >= 0], key[key >= 0]
+        after, alone = [], []
+        for own, left, below, unseen in zip(self.own, self.left, self.below, self.unseen, strict=True):
+            # The last entry of each is taken for -1.
+            alone.append(np.append(below, unseen)[at_w])
+            after.append(np.append(left, 1.0)[at_v] * alone[-1])
+            after[-1][both] += own[key]
+        return after, alone
+
+    def ratios(self, words: list[str], said: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood ratios of all words of texts, as ``sequences`` gives them: after others, and alone."""
+        at_w = _find(self.words, _hashes(words))[said]
+        at_v = np.r_[-1, at_w[:-1]] if len(at_w) else at_w
+        at_v[bounds[:-1][np.diff(bounds) > 0]] = _find(self.words, _hashes([BEGIN]))[0]
+        after, alone = (np.log(np.maximum(p, 1e-300)) for p in self.probabilities(at_v, at_w))
+        return after[0] - after[1], alone[0] - alone[1]
+
+    def features(self, texts) -> np.ndarray:
+        words, said, bounds = sequences(texts)
+        after, alone = self.ratios(words, said, bounds)
+        return np.array([document_features(after[a:b], alone[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]).reshape(-1, FEATURES)
+
+
+def document_features(after: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Mean ratio of words after others, of the top one, three and ten words alone, and length; zeros without words."""
+    if not len(after):
+        return np.zeros(FEATURES)
+    top = -np.sort(-np.partition(alone, max(0, len(alone) - 10))[-10:])
+    return np.array([after.mean(), top[0], top[:3].sum() / 3, top.sum() / 10, np.log1p(len(after))])
 
 
 class Classifier:
-    """Counts by gram, a DataFrame of (key, n, cell, one column for each kind), with the weights that turn a document's features into
-    a probability."""
+    """The models, with the weights that turn a document's features into a probability."""
 
-    def __init__(self, counts: DataFrame):
-        self.counts = counts
+    def __init__(self, model: KneserNey):
+        self.model = model
         self.weights = np.zeros(FEATURES + 1)
         self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
 
@@ -192,138 +181,66 @@ class Classifier:
         self.weights = w
 
 
-def document_features(ratios: np.ndarray, chars: int) -> np.ndarray:
-    """Mean ratio per character, of the text and of its top word; means over the top three and ten words; length."""
-    if not len(ratios):
-        return np.zeros(FEATURES)
-    top = -np.sort(-np.partition(ratios, max(0, len(ratios) - 10))[-10:])
-    return np.array([ratios.sum() / max(1, chars), top[0], top[:3].sum() / 3, top.sum() / 10, np.log1p(len(ratios))])
-
-
-def _asked(it):
-    """(piece, key): all grams that the ratios of a piece of ``ORDER``-grams depend on: their shorter ends, and the contexts."""
-    for pdf in it:
-        grams, out = set(pdf.gram), set()
-        for _ in range(ORDER):
-            out |= grams
-            out.update(g[:-1] for g in grams)
-            grams = {g[1:] for g in grams}
-        yield pd.DataFrame({"piece": uuid.uuid4().int >> 65, "key": list(out)})
-
-
-def gram_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(gram, ratio) of distinct ``ORDER``-grams. Grams of like ends share a piece, and so most of what they ask for."""
-    end = F.reverse("gram")
-    asked = spill(grams.repartitionByRange(end).sortWithinPartitions(end).mapInPandas(_asked, schema(piece=LONG, key=STR)))
-    found = asked.join(counts, "key", "left").select("piece", "key", *[F.coalesce(c, F.lit(-1 if c == "n" else 0)).alias(c) for c in ("n", "cell", *KINDS)])
-
-    def ratios(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.key[pdf.key.str.len() == ORDER].tolist()
-        return pd.DataFrame({"gram": own, "ratio": KneserNey(_rows_of_tables(pdf)).ratios(own)})
-
-    return found.groupBy("piece").applyInPandas(ratios, schema(gram=STR, ratio=DBL))
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, chars: int) -> DataFrame:
+    """(doc_id, text, label, fold) of the first labelled rows by the hash of their id: at most ``sample`` a class, which have at most
+    ``chars`` characters in all, and none over an eighth of that. One row of those that repeat a doc_id, the least text."""
+    labels = labels.where("label is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("label") > 0).cast("int").alias("label"))
+    chosen = [labels.where(f"label = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    chosen = spill(chosen[0].union(chosen[1]))  # two numbers for each row of the sample
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.where(F.length("text") <= chars // 8)
+    one = Window.partitionBy("doc_id").orderBy("text")
+    rows = spill(rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = rows.select("doc_id", "label", F.length("text").alias("n")).withColumn("n", F.sum("n").over(order)).where(F.col("n") <= chars)
+    folds = sized.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    return rows.join(F.broadcast(folds), "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Classifier:
+    """Count words of all documents, and bigrams of the labelled sample, whose bounds are ``sample`` rows and ``chars`` characters of
+    each class. ``labels`` has doc_id and label; null labels don't count."""
+    rows = spill(labelled_sample(docs, labels, sample, chars))
+    vocabulary = docs.select("text").mapInPandas(_vocabulary, schema(word=STR, hash=LONG, documents=LONG))
+    vocabulary = spill(vocabulary.groupBy("word").agg(F.any_value("hash").alias("hash"), F.sum("documents").alias("documents")))
+    grams = spill(rows.select("text", "label", "fold").mapInPandas(_bigrams, schema(v=LONG, w=LONG, label=INT, fold=INT, n=LONG)).groupBy("v", "w", "label", "fold").agg(F.sum("n").alias("n")))
+    total = vocabulary.agg(F.sum("documents")).first()[0] or 0
+    # What reaches the driver is of the bounded sample: a bigram has two characters or more.
+    shared = vocabulary.join(grams.select(F.col("w").alias("hash")).distinct(), "hash", "left_semi").groupBy("hash").agg(F.sum("documents").alias("documents")).toPandas().sort_values("hash")
+    counted = grams.toPandas()
+
+    def model(without: int | None) -> KneserNey:
+        part = counted[counted.fold != without] if without is not None else counted
+        each = part.assign(toxic=part.n * part.label, ordinary=part.n * (1 - part.label)).groupby(["v", "w"], as_index=False)[["toxic", "ordinary"]].sum()
+        return KneserNey(each.v.to_numpy(), each.w.to_numpy(), [each.toxic.to_numpy(), each.ordinary.to_numpy()], shared["hash"].to_numpy(), shared.documents.to_numpy(), total)
+
+    out = Classifier(model(None))
+    folds = docs.sparkSession.sparkContext.broadcast([model(k) for k in range(FOLDS)])
+
+    def calibration(it):
+        for pdf in by_length(it):
+            for k, part in pdf.groupby("fold"):
+                yield pd.DataFrame(folds.value[k].features(part.text), columns=_NAMES).assign(label=part.label.to_numpy())
+
+    got = rows.mapInPandas(calibration, schema(**dict.fromkeys(_NAMES, DBL), label=INT)).toPandas().sort_values([*_NAMES, "label"])
+    out.calibrate(got[_NAMES].to_numpy(), got.label.to_numpy(float))
+    folds.unpersist()
+    return out
 
 
-def _pieces(it):
-    """(piece, at, gram, documents): a row for each distinct gram of a piece, and some with its documents, whose words are numbers
-    in ascending order. A piece ends with its task, or after ``PIECE`` grams."""
-    piece, index = uuid.uuid4().int >> 65, {}
-    for pdf in by_length(it):
-        if len(index) >= PIECE:
-            piece, index = uuid.uuid4().int >> 65, {}
-        codes, bounds, tokens = token_codes(pdf.text)
-        words, at, first, n = _distinct_words(tokens)
-        grams, number, size = [], np.empty(0, np.int64), np.empty(0, np.int64)
-        if words:
-            text, begin, size = _grams(words)
-            number, distinct = pd.factorize(_hashes(_codes(text))[ORDER][begin])
-            place = np.empty(len(distinct), np.int64)
-            place[number[::-1]] = begin[::-1]
-            found, known = [text[i : i + ORDER] for i in place.tolist()], len(index)
-            number = np.array([index.setdefault(g, len(index)) for g in found])[number]
-            grams = list(islice(index, known, None))
-        many = n[codes]
-        places = at[np.arange(many.sum()) + np.repeat(first[codes] - np.cumsum(many) + many, many)]
-        said = np.repeat(np.repeat(np.arange(len(pdf)), np.diff(bounds)), many) * max(1, len(words)) + places
-        said.sort()
-        steps = np.diff(said, prepend=0).view(np.uint8).reshape(-1, 8).T.copy()  # planes of like bytes
-        held = zlib.compress(pickle.dumps((pdf.drop(columns="text").reset_index(drop=True), number.astype(np.int32), size, steps)), 1)
-        for k in range(0, len(grams), 20_000):
-            part, at = grams[k : k + 20_000], len(index) - len(grams) + k
-            yield pd.DataFrame({"piece": piece, "at": np.arange(at, at + len(part), dtype=np.int32), "gram": part, "documents": None})
-        yield pd.DataFrame({"piece": [piece], "at": np.int32(-1), "gram": [None], "documents": [held]})
-
-
-def features(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """All columns of ``docs`` but ``text``, numbers, and the features x0, x1, ... of each row."""
-    kept = [f for f in docs.schema if f.name != "text"]
-    cut = spill(docs.mapInPandas(_pieces, schema(piece=LONG, at=INT, gram=STR, documents=BIN)))
-    grams = cut.where("gram is not null").select("piece", "at", "gram")
-    found = grams.join(gram_ratios(grams.select("gram").distinct(), counts), "gram").select("piece", "at", "ratio")
-
-    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ratio = np.zeros(len(right))
-        ratio[right["at"].to_numpy()] = right.ratio
-        out = []
-        for held in left.documents:
-            rows, number, size, steps = pickle.loads(zlib.decompress(held))
-            said = np.cumsum(steps.T.copy().view(np.int64).ravel())
-            words = np.add.reduceat(ratio[number], np.cumsum(size) - size) if len(size) else np.empty(0)
-            doc, place = np.divmod(said, max(1, len(size)))
-            ends = np.searchsorted(doc, np.arange(len(rows) + 1))
-            each, chars = words[place], (size - 1)[place]
-            x = np.zeros((len(rows), FEATURES))
-            for k in range(len(rows)):
-                x[k] = document_features(each[ends[k] : ends[k + 1]], int(chars[ends[k] : ends[k + 1]].sum()))
-            out.append(pd.concat([rows, pd.DataFrame(x, columns=[f"x{k}" for k in range(FEATURES)])], axis=1))
-        return pd.concat(out)
-
-    names = schema(**{f.name: f.dataType for f in kept}, **{f"x{k}": DBL for k in range(FEATURES)})
-    return cut.where("gram is null").select(F.col("piece").alias("own"), "documents").groupBy("own").cogroup(found.groupBy("piece")).applyInPandas(join, names)
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Count grams of all documents, and of at most ``sample`` labelled rows of each class, the first by the hash of their id.
-
-    ``labels`` has doc_id and label; null labels don't count. A fifth of the chosen rows only calibrates.
-    """
-    spark = docs.sparkSession
-    labels = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
-    chosen = [labels.where(f"label = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    chosen = chosen[0].union(chosen[1]).withColumn("calibrates", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 0)
-    chosen = spill(chosen)  # at most 30,000 rows of two numbers and a boolean
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = rows.join(F.broadcast(chosen.where("not calibrates")), "doc_id", "left").select("text", F.coalesce("label", F.lit(-1)).alias("label"))
-    top = spill(counted.mapInPandas(_count, schema(gram=STR, toxic=LONG, ordinary=LONG)).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    every, orders = top, [top.where("toxic + ordinary > 0").withColumn("follows", F.lit(0).cast("long"))]
-    for n in range(ORDER - 1, 0, -1):  # how many characters go before a shorter gram
-        every = every.groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("follows"))
-        orders.append(every.select("gram", F.lit(0).cast("long").alias("toxic"), F.lit(0).cast("long").alias("ordinary"), "follows"))
-    union = orders[0]
-    for x in orders[1:]:
-        union = union.unionByName(x)
-    cells = union.mapInPandas(_cells, schema(table=INT, key=STR, cell=LONG, value=LONG))
-    kinds = [F.coalesce(F.sum(F.when(F.col("table").isin([k for k, name in enumerate(TABLES) if name[1:] == kind]), F.col("value"))), F.lit(0)).alias(kind) for kind in KINDS]
-    counts = spill(cells.groupBy("key").agg(F.length("key").alias("n"), F.any_value("cell").alias("cell"), *kinds))
-    model = Classifier(counts)
-    names = [f"x{k}" for k in range(FEATURES)]
-    got = features(rows.join(F.broadcast(chosen.where("calibrates")), "doc_id").select("text", F.col("label").cast("long").alias("label")), counts).toPandas()
-    model.calibrate(got[names].to_numpy(), got.label.to_numpy(float))
-    return model
+_NAMES = [f"x{k}" for k in range(FEATURES)]
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id and score of every row. Takes doc_id and text; other columns are ignored, whatever their names. Null, empty and
     wordless texts are scored too, by features of zero; repeated rows get equal scores. An empty table gives an empty one."""
-    weights, mean, scale = model.weights, model.mean, model.scale
+    held = docs.sparkSession.sparkContext.broadcast(model)  # tables of the bounded sample
 
-    def scored(it):
-        own = Classifier(None)
-        own.weights, own.mean, own.scale = weights, mean, scale
-        for pdf in it:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "score": own.score(pdf[[f"x{k}" for k in range(FEATURES)]].to_numpy())})
+    def task(it):
+        for pdf in by_length(it):
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "score": held.value.score(held.value.model.features(pdf.text))})
 
-    return features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.counts).mapInPandas(scored, schema(doc_id=LONG, score=DBL))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(task, schema(doc_id=LONG, score=DBL))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
