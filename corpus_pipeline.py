@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuadra.llm import decontaminate, near_dedup, packing, quality, secret_scan
@@ -20,12 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group, the one with the smallest doc_id; one row of it where rows repeat.
-    Rows without a doc_id stay. Groups are linked by the general rule: five words, similarity 0.8 or more."""
-    kept = near_dedup.near_duplicates(docs, percent=near_dedup.GENERAL_PERCENT).where("kept").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1").select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """Keep one document of each group, the one with the smallest doc_id; one row of it where rows repeat. Different texts under one
+    doc_id are judged apart. Rows without a doc_id stay. Groups are linked by the general rule: five words, similarity 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
