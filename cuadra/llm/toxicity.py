@@ -22,7 +22,7 @@ from .common import DBL, INT, LONG, STR, by_length, schema, signed, spill, token
 from .quality import fold
 
 #: Labelled rows of each class that are learnt from, at most, and their characters; no row may have over an eighth of these.
-SAMPLE, SAMPLE_CHARS = 15_000, 2_000_000
+SAMPLE, SAMPLE_CHARS = 15_000, 800_000
 #: Each labelled row is calibrated on by a model that hasn't seen its fold.
 FOLDS = 4
 THRESHOLD = 0.7
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
 
     got = rows.mapInPandas(calibration, schema(**dict.fromkeys(_NAMES, DBL), label=INT)).toPandas().sort_values([*_NAMES, "label"])
     out.calibrate(got[_NAMES].to_numpy(), got.label.to_numpy(float))
-    folds.unpersist()
+    folds.destroy()
     return out
 
 
