@@ -46,7 +46,7 @@ def fold_header(text: Column) -> Column:
     return collapse(F.translate(F.lower(F.coalesce(text, F.lit(""))), "áéíóúñ", "aeioun"))
 
 
-#: A run of digits, dots and commas; an amount as Argentina writes it.
+#: Fixed: a run of digits, dots and commas; an amount as Argentina writes it.
 NUMBER = r"([0-9][0-9\.\,]*)"
 AR_AMOUNT = r"([0-9]{1,3}(?:[.\s][0-9]{3})*,[0-9]{2})"
 
@@ -85,16 +85,21 @@ def after(text: Column, label: str, n: int, until: str | None = None) -> Column:
     return F.when(cut > 1, F.substr(window, F.lit(1), cut - 1)).otherwise(window)
 
 
+#: Fixed: a date, a voucher's branch and number, and a number alone, within a file's name.
+DATE = r"\b(\d{1,2}[-_/]\d{1,2}(?:[-_/]\d{2,4})?)\b"
+VOUCHER, LONG_NUMBER = r"\b(\d{1,4}\s*[-_/]\s*\d{4,8})\b", r"\b(\d{8,14})\b"
+
+
 def date_token(name: Column) -> Column:
     """A date within a file name, with dashes; null without one."""
-    found = F.regexp_extract(name, r"\b(\d{1,2}[-_/]\d{1,2}(?:[-_/]\d{2,4})?)\b", 1)
+    found = F.regexp_extract(name, DATE, 1)
     return F.translate(F.nullif(found, F.lit("")), "_/", "--")
 
 
 def voucher_token(name: Column) -> Column:
     """Branch and number of a voucher, or 8 to 14 digits; null without one."""
-    pair = F.nullif(F.regexp_extract(name, r"\b(\d{1,4}\s*[-_/]\s*\d{4,8})\b", 1), F.lit(""))
-    return F.coalesce(F.translate(F.regexp_replace(pair, r"\s+", ""), "_/", "--"), F.nullif(F.regexp_extract(name, r"\b(\d{8,14})\b", 1), F.lit("")))
+    pair = F.nullif(F.regexp_extract(name, VOUCHER, 1), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_replace(pair, r"\s+", ""), "_/", "--"), F.nullif(F.regexp_extract(name, LONG_NUMBER, 1), F.lit("")))
 
 
 #: Fixed: words for kinds of documents, which are no part of a provider's name.
@@ -114,12 +119,12 @@ def detail_headers(raw: Column, notes: Column) -> Column:
     """Column titles after ``detalle:`` in the raw voucher, else in the notes, as an array."""
     found = lambda c: F.nullif(F.regexp_extract(c, r"(?i)\bdetalle\s*:\s*([^\n\r]+)", 1), F.lit(""))
     parts = F.split(F.coalesce(found(raw), found(notes)), r"[,|;]+")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def expected_items(*fields: Column) -> Column:
-    """N of ``cantidad de items: N``, from the first field that has one."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(f, r"(?i)cantidad\s+de\s+items\s*:\s*(\d+)", 1), F.lit("")).try_cast("int") for f in fields])
+    """N of ``cantidad de items: N``, from the first field that has one; the colon may be a dash or missing."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(f, r"(?i)cantidad\s+de\s+items\s*[:\-]?\s*(\d+)", 1), F.lit("")).try_cast("int") for f in fields])
 
 
 def truncate_concept(text: Column, n: int = 50) -> Column:

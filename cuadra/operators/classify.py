@@ -67,7 +67,7 @@ def first_match_case(concept: Column, rules: list[tuple[str, str]] = DEFAULT_RUL
 def first_match_join(rows: DataFrame, concept: str, rules: DataFrame, bank: str | None = None) -> DataFrame:
     """``rows`` with ``category`` from a rule book of rows: the least ``ord`` that matches wins, null where none does.
 
-    Each distinct concept is matched once against the whole book, which is a hand-written table, broadcast by its size.
+    Each distinct concept is matched once against the whole book; Spark broadcasts that where it is small.
     """
     keys = ([bank] if bank else []) + [concept]
     distinct = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
@@ -75,17 +75,21 @@ def first_match_join(rows: DataFrame, concept: str, rules: DataFrame, bank: str
     hit = ((F.col("mode") == "regex") & F.regexp_like(text, F.concat(F.lit("(?iu)"), F.col("pattern")))) | ((F.col("mode") == "contains") & F.contains(norm_text(text), norm_text(F.col("pattern"))))
     if bank:
         hit = hit & (F.col("_k0") == F.col("_bank"))
-    book = F.broadcast(rules.select(F.col("bank").alias("_bank"), "ord", "mode", "pattern", F.col("category").alias("_category")))
+    book = rules.select(F.col("bank").alias("_bank"), "ord", "mode", "pattern", F.col("category").alias("_category"))
     found = distinct.join(book, hit).groupBy(*distinct.columns).agg(F.min_by("_category", "ord").alias("_rule"))
     joined = rows.join(found, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").drop(*distinct.columns)
     return joined.withColumn("category", F.when(is_vat_perception(F.col(concept)), "RET_IVA").otherwise(F.col("_rule"))).drop("_rule")
 
 
 def without_excluded(rows: DataFrame, concept: str, exclusions: DataFrame, bank: str | None = None) -> DataFrame:
-    """Rows whose normalized concept contains no exclusion (of its bank)."""
-    book = F.broadcast(exclusions.select(F.col("bank").alias("_bank"), norm_text(F.col("pattern")).alias("_pattern")))
-    hit = F.contains(norm_text(rows[concept]), F.col("_pattern"))
-    return rows.join(book, hit & (rows[bank] == F.col("_bank")) if bank else hit, "left_anti")
+    """Rows whose normalized concept contains no exclusion (of its bank). Each distinct concept is tested once."""
+    keys = ([bank] if bank else []) + [concept]
+    names = [f"_k{i}" for i in range(len(keys))]
+    distinct = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).distinct()
+    book = exclusions.select(F.col("bank").alias("_bank"), norm_text(F.col("pattern")).alias("_pattern"))
+    hit = F.contains(norm_text(F.col(names[-1])), F.col("_pattern"))
+    out = distinct.join(book, hit & (F.col("_k0") == F.col("_bank")) if bank else hit, "left_semi")
+    return rows.join(out, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "left_anti")
 
 
 def clamp_category(category: Column, known: list[str]) -> Column:
@@ -209,7 +213,7 @@ def bank_of_name(name: Column) -> Column:
 
 def bank_label(name: Column) -> Column:
     t = norm_text(name)
-    return F.when(F.contains(t, F.lit("NACION")), "BANCO NACION").when(F.contains(t, F.lit("PATAGONIA")), "BANCO PATAGONIA").when(t.startswith("BANCO"), t).otherwise(F.concat(F.lit("BANCO "), t))
+    return F.when(F.contains(t, F.lit("NACION")), "BANCO NACION").when(F.contains(t, F.lit("PATAGONIA")), "BANCO PATAGONIA").when(t.startswith("BANCO "), t).otherwise(F.trim(F.concat(F.lit("BANCO "), t)))
 
 
 def route_task(kind: Column, automatic: Column) -> Column:
@@ -217,22 +221,38 @@ def route_task(kind: Column, automatic: Column) -> Column:
     return F.when(automatic & (kind == "tarjetas"), "AUTOMATICO_LIQUIDACION").when(automatic & (kind == "compras"), "AUTOMATICO_FACTURA").otherwise(F.lit("MANUAL"))
 
 
-#: Fixed: titles of a voucher's detail columns, by what they contain, in order.
-DETAIL_COLUMNS = [("codigo", "Codigo"), ("cod", "Codigo"), ("descripcion", "Descripcion"), ("detalle", "Descripcion"), ("articulo", "Descripcion"), ("cantidad", "Cantidad"), ("cant", "Cantidad"), ("bultos", "Bl/Pq"), ("bl/pq", "Bl/Pq"), ("iva", "IVA"), ("imp. int", "Imp_Internos"), ("lista", "Importe_Lista"), ("precio", "Importe_Lista"), ("unitario", "Importe_Lista"), ("total", "Total"), ("importe", "Total")]
+#: Fixed: detail columns of a voucher, in the order in which they are tried: what a title contains, and what it is as a whole.
+DETAIL_COLUMNS = [
+    ("Cantidad", ["cant"], []),
+    ("Codigo_Articulo", ["artic", "cod", "producto"], []),
+    ("Descripcion", ["descripcion"], ["desc"]),
+    ("UD", [], ["ud", "unidad", "u."]),
+    ("% Dto", ["dto", "descuento", "%"], []),
+    ("Importe_Lista", ["lista"], []),
+    ("Importe_Neto", ["neto", "precio"], []),
+    ("IVA", ["iva"], []),
+    ("Impuestos internos", ["impuestos internos", "imp internos"], []),
+    ("Bl/Pq", ["bl/pq", "bulto"], []),
+    ("Moneda", ["moneda"], []),
+    ("Total", ["total"], []),
+    ("AuxNroLote", ["lote"], []),
+    ("AuxNroSerie", ["serie"], []),
+]
 
 
 def detail_columns(titles: Column) -> Column:
-    """Canonical columns for an array of titles; the first discount is Dto1, all later ones Dto2; unknown titles go."""
+    """Canonical columns for an array of titles; the first discount is % Dto1, all later ones % Dto2; unknown titles go."""
     def named(title):
         t = fold_header(title)
-        case = F.when(_any(t, ["dto", "desc.", "descuento", "bonif"]), "Dto")
-        for word, name in DETAIL_COLUMNS:
-            case = case.when(F.contains(t, F.lit(word)), name)
+        case = F
+        for name, parts, wholes in DETAIL_COLUMNS:
+            tests = ([_any(t, parts)] if parts else []) + ([t.isin(wholes)] if wholes else [])
+            case = case.when(tests[0] if len(tests) == 1 else tests[0] | tests[1], name)
         return case
 
     found = F.filter(F.transform(titles, named), lambda x: x.isNotNull())
-    earlier = lambda i: F.size(F.filter(F.slice(found, 1, i), lambda y: y == "Dto"))
-    return F.array_distinct(F.transform(found, lambda x, i: F.when(x != "Dto", x).when(earlier(i) == 0, "Dto1").otherwise("Dto2")))
+    earlier = lambda i: F.size(F.filter(F.slice(found, 1, i), lambda y: y == "% Dto"))
+    return F.array_distinct(F.transform(found, lambda x, i: F.when(x != "% Dto", x).when(earlier(i) == 0, "% Dto1").otherwise("% Dto2")))
 
 
 def auto_tuning(pages: Column, kind: str) -> Column:

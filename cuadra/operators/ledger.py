@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MONEY, close_to, deviates, money
+from ..functions.text import truncate_concept
 from .classify import NET, SALES
 
 
@@ -36,22 +37,29 @@ def filled_categories(totals: DataFrame, by: list, categories: list[str], amount
     return every.join(totals, [*by, category], "left").withColumn(amount, F.coalesce(F.col(amount), F.lit(0)).cast(MONEY))
 
 
-def concept_control(rows: DataFrame, keys: list, amount: str = "amount") -> DataFrame:
-    """Count and sum per concept, by falling absolute sum."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(money(F.col(amount))).cast(MONEY).alias(amount)).orderBy(F.abs(amount).desc(), *keys)
+def concept_control(rows: DataFrame, keys: list, amount: str = "amount", order: str | None = None) -> DataFrame:
+    """Count and sum per concept, by falling absolute sum; ties by first appearance in ``order``, or by key where none is given."""
+    first = [F.min(order).alias("_first")] if order else []
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(money(F.col(amount))).cast(MONEY).alias(amount), *first)
+    return out.orderBy(F.abs(amount).desc(), *(["_first"] if order else []), *keys).drop("_first")
 
 
-def top_unknown(rows: DataFrame, keys: list, n: int = 20) -> DataFrame:
-    """The ``n`` most frequent; ties by key."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(n)
+def top_unknown(rows: DataFrame, keys: list, n: int = 20, order: str | None = None) -> DataFrame:
+    """The ``n`` most frequent; ties by first appearance in ``order``, or by key where none is given."""
+    first = [F.min(order).alias("_first")] if order else []
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *first)
+    return out.orderBy(F.desc("n"), *(["_first"] if order else []), *keys).drop("_first").limit(n)
 
 
-def control_sheet(rows: DataFrame, row_keys: list, label: str, amount: str, labels: list[str], sales: str = SALES, net: str = NET) -> DataFrame:
-    """A column for each label, the sum of charges, ``check`` = sales - (net + charges), and a TOTAL row (keys null)."""
+def control_sheet(rows: DataFrame, row_keys: list, label: str, amount: str, labels: list[str], sales: str = SALES, net: str = NET, by: list | None = None) -> DataFrame:
+    """A column for each label, the sum of charges, ``check`` = sales - (net + charges), and a TOTAL row (keys null), one for each
+    ``by`` where given."""
     wide = rows.groupBy(*row_keys).pivot(label, labels).agg(F.sum(money(F.col(amount))))
     zero = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast(MONEY)
     wide = wide.select(*row_keys, *[zero(c).alias(c) for c in labels])
-    total = wide.agg(*[F.sum(f"`{c}`").cast(MONEY).alias(c) for c in labels]).select(*[F.lit(None).cast(wide.schema[k].dataType).alias(k) for k in row_keys], *[F.col(f"`{c}`") for c in labels])
+    by = by or []
+    total = wide.groupBy(*by).agg(*[F.sum(f"`{c}`").cast(MONEY).alias(c) for c in labels])
+    total = total.select(*[F.col(k) if k in by else F.lit(None).cast(wide.schema[k].dataType).alias(k) for k in row_keys], *[F.col(f"`{c}`") for c in labels])
     both = wide.unionByName(total)
     charges = [F.col(f"`{c}`") for c in labels if c not in (sales, net)]
     charge = sum(charges[1:], charges[0]) if charges else F.lit(0)
@@ -105,6 +113,14 @@ def ledger_text(lines: DataFrame, by: list, header: str | None = None, category:
     return parts.select(*by, F.concat(*([F.coalesce("_h", F.lit(""))] if header else []), "body", F.lit("\n")).alias("text"))
 
 
+def document_header(prefix: str, bank: Column, subject: Column, period: Column, short_bank: Column, short_subject: Column | None = None) -> Column:
+    """The five lines before a ledger's entries: bank, subject, period, a concept of at most 50 characters and the titles."""
+    words = [F.lit(prefix), period, *([] if short_subject is None else [short_subject]), short_bank]
+    concept = truncate_concept(F.array_join(F.array(*[F.coalesce(w, F.lit("")) for w in words]), " "))
+    lines = [F.trim(F.coalesce(x, F.lit(""))) for x in (bank, subject, period)] + [concept, F.lit("CONCEPTO|IMPORTE"), F.lit("")]
+    return F.array_join(F.array(*lines), "\n")
+
+
 def last_per_category(lines: DataFrame, by: list, category: str, amount: str, order: str) -> DataFrame:
     """A later line of a category replaces an earlier one."""
     return lines.groupBy(*by, category).agg(F.max_by(amount, order).alias(amount))

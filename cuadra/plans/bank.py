@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_date
+from ..functions.dates import parse_date, period_of_name
 from ..functions.numbers import MONEY, money, parse_ar, signed_amount, vat_control
 from ..functions.text import norm_text
-from ..operators.classify import BANK_CATEGORIES, clamp_category, first_match_join, without_excluded
-from ..operators.ledger import filled_categories, sums_by, with_contra
+from ..operators.classify import BANK_CATEGORIES, bank_label, clamp_category, first_match_join, without_excluded
+from ..operators.ledger import document_header, filled_categories, sums_by, with_contra
 
 #: Fixed: titles of the columns by bank, and what their sheets are called.
 COLUMNS = {
@@ -20,6 +20,10 @@ REQUIRED = {"BNA": ["Fecha", "Comprobante", "Concepto", "Importe"], "BPAT": ["Fe
 SHEETS = {"BNA": ["HOJA1 - TABLE", "HOJA1"], "BPAT": ["VERTVERT"]}
 
 
+#: Unknown concepts that a control sheet lists.
+UNKNOWN = 20
+
+
 def has_all(cells: Column, titles: list[str]) -> Column:
     """Every title is within some cell."""
     normal = F.transform(cells, norm_text)
@@ -47,7 +51,7 @@ def detect_bank(cells: DataFrame) -> DataFrame:
         sheet = F.lit(False)
         for s in SHEETS[bank]:
             sheet = sheet | F.contains(names, norm_text(F.lit(s)))
-        by_rules.append(F.min(F.when(sheet & has_all(F.col("cells"), titles), F.lit(bank))))
+        by_rules.append(F.when(F.max(sheet & has_all(F.col("cells"), titles)), F.lit(bank)))
     text = norm_text(F.array_join(F.slice("cells", 1, 8), " "))
     nacion, patagonia = F.contains(text, F.lit("NACION")), F.contains(text, F.lit("PATAGONIA"))
     first = F.col("row_no") <= 80
@@ -55,7 +59,7 @@ def detect_bank(cells: DataFrame) -> DataFrame:
     heads = heads.when(F.contains(name, F.lit("NACION")) | F.contains(name, F.lit("BNA")), "BNA").when(F.contains(name, F.lit("PATAGONIA")) | F.contains(name, F.lit("BPAT")), "BPAT")
     told = told.when(F.max(first & nacion), "BNA").when(F.max(first & patagonia), "BPAT")
     header = [F.min(F.when(has_all(F.col("cells"), t), F.col("row_no"))).alias(f"head_{b}") for b, t in REQUIRED.items()]
-    found = cells.groupBy("file").agg(F.coalesce(*by_rules, F.min(heads), told).alias("bank"), *header)
+    found = cells.groupBy("file").agg(F.coalesce(*by_rules, F.first(heads, ignorenulls=True), told).alias("bank"), *header)
     at = F
     for b in REQUIRED:
         at = at.when(F.col("bank") == b, F.col(f"head_{b}"))
@@ -102,6 +106,38 @@ def ledger(rows: DataFrame) -> DataFrame:
     return filled_categories(closed, ["file"], BANK_CATEGORIES)
 
 
+#: Fixed: names of the banks in headers and ledgers.
+NAMES = {"BNA": "BANCO DE LA NACION ARGENTINA", "BPAT": "BANCO PATAGONIA"}
+
+
+def ledger_lines(entries: DataFrame, banks: DataFrame) -> DataFrame:
+    """``entries`` with BANCO named by the bank of its file."""
+    named = entries.join(banks.select("file", bank_label(_by_bank({b: F.lit(n) for b, n in NAMES.items()})).alias("_label")), "file", "left")
+    return named.withColumn("category", F.when(F.col("category") == "BANCO", F.coalesce("_label", "category")).otherwise(F.col("category"))).drop("_label")
+
+
+def header_lines(banks: DataFrame, today: Column) -> DataFrame:
+    """file and header: bank, subject, month end of the file's name (of today without one) and the concept of the ledger."""
+    name = _by_bank({b: F.lit(n) for b, n in NAMES.items()})
+    return banks.select("file", document_header("GB", name, F.lit("GASTOS BANCARIOS"), period_of_name(F.col("file"), today), name).alias("header"))
+
+
+def control_sheets(rows: DataFrame) -> DataFrame:
+    """Rows of every file's control sheet: section (CONCEPTOS, IVA, ANALISIS, SIN REGLA), ord, concept, category, n and amount."""
+    c = controls(rows)
+    order = lambda *by: F.row_number().over(Window.partitionBy("file").orderBy(*by))
+    none = lambda kind: F.lit(None).cast(kind)
+    section = lambda df, name, ord_, concept, category, n, amount: df.select("file", F.lit(name).alias("section"), ord_.cast("int").alias("ord"), concept.alias("concept"), category.alias("category"), n.cast("long").alias("n"), amount.cast(MONEY).alias("amount"))
+    concepts = section(c["concepts"], "CONCEPTOS", order(F.abs("amount").desc(), "first_row", "concept"), F.col("concept"), F.col("category"), F.col("n"), F.col("amount"))
+    figures = ["base", "vat", "vat_theory", "vat_diff", "base_adjustment", "base_adjusted", "vat_adjusted", "vat_diff_adjusted"]
+    vat = c["vat"].select("file", F.posexplode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in figures])).alias("k", "f"))
+    vat = section(vat, "IVA", F.col("k") + 1, F.col("f.name"), none("string"), none("long"), F.col("f.x"))
+    counts = c["counts"].select("file", F.posexplode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("x")) for n in ("analyzed", "matched")])).alias("k", "f"))
+    counts = section(counts, "ANALISIS", F.col("k") + 1, F.col("f.name"), none("string"), F.col("f.x"), none("double"))
+    unknown = c["unknown"].withColumn("o", order(F.desc("n"), "first_row", "concept")).where(F.col("o") <= UNKNOWN)
+    return concepts.union(vat).union(counts).union(section(unknown, "SIN REGLA", F.col("o"), F.col("concept"), none("string"), F.col("n"), none("double")))
+
+
 def controls(rows: DataFrame) -> dict[str, DataFrame]:
     """Concepts by absolute sum, the VAT control of each file, rows analyzed and matched, and unknown concepts by number."""
     known = rows.where("category is not null and abs(amount) >= 0.005")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import block_date, page_period
+from ..functions.dates import block_date, page_period, period_to_date
 from ..functions.numbers import MONEY, parse_zero, vat_or_theory
 from ..functions.text import after, ar_amounts, clean_label, is_noise, last_number, section_label, split_pipe
-from ..operators.classify import CARD_CATEGORIES, LEDGER_ORDER, NET, SALES, card_of_name, card_of_text, card_phrase, classify_concept, is_generic_card, is_nacion, is_patagonia, line_label, paying_bank, positional_category
+from ..operators.classify import CARD_CATEGORIES, LEDGER_ORDER, NET, SALES, SHEET_ORDER, card_of_name, card_of_text, card_phrase, classify_concept, is_generic_card, is_nacion, is_patagonia, line_label, paying_bank, positional_category
 from ..operators.frames import block_amounts, carry_forward, crop, drop_covered, keep_first, line_windows
-from ..operators.ledger import complete_or_all, filled_categories, honour_net, last_per_category, two_largest, with_residual
+from ..operators.ledger import complete_or_all, control_sheet, document_header, filled_categories, honour_net, last_per_category, two_largest, with_residual
 
 #: Fixed: amounts on a page, by name; each pattern's capture is one amount.
 PAGE_SUMS = {
@@ -44,7 +44,7 @@ def patagonia_header(text: Column) -> Column:
     """[total, discount, balance] of a Patagonia header: by its three titles, near the total, else by lines, else by section."""
     titles = r"(?i)TOTAL\s+PRESENTADO\s*\$\s*([0-9.,]+)\s*[\r\n ]+TOTAL\s+DESCUENTO\s*\$\s*([0-9.,]+)\s*[\r\n ]+SALDO\s*\$\s*([0-9.,]+)"
     named = F.when(text.rlike(titles), F.array(*[parse_zero(F.regexp_extract(text, titles, k)) for k in (1, 2, 3)]))
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     at = F.array_position(F.transform(lines, lambda x: x.rlike(r"(?i)TOTAL\s+PRESENTADO\s*\$")), F.lit(True)).cast("int")
     by_lines = F.when(at > 0, ar_amounts(F.array_join(F.slice(lines, F.greatest(at, F.lit(1)), F.lit(12)), "\n")))
     return F.coalesce(named, _three(ar_amounts(after(text, "TOTAL PRESENTADO", 500))), _three(by_lines), _three(ar_amounts(after(text, "RIO NEGRO", 500, "FECHA DE PAGO"))))
@@ -97,7 +97,7 @@ def anchored_blocks(pages: DataFrame) -> DataFrame:
     sales = line_windows(lines, by, order, "line", F.col("line").rlike(SALES_LINE), 2, 9).withColumn("kind", F.lit(1))
     windows = nets.unionByName(sales).withColumn("block", F.array_join("window", "\n"))
     windows = keep_first(windows, [*by, F.left("block", F.lit(200))], ["kind", "line_no"])
-    cut = windows.select("doc", "pos", "kind", block_date(F.col("block")).alias("date"), crop(F.transform("window", F.trim), SALES_LINE, NET_LINE).alias("lines")).where("lines is not null")
+    cut = windows.select("doc", "pos", "kind", block_date(F.col("block")).alias("date"), crop(F.transform("window", lambda x: F.trim(x)), SALES_LINE, NET_LINE).alias("lines")).where("lines is not null")
     long = cut.select("doc", "pos", "kind", "date", F.posexplode("lines").alias("k", "line")).where(F.contains("line", F.lit("$")))
     amounts = long.select("doc", "pos", "kind", "date", "k", line_label(F.col("line")).alias("label"), parse_zero(last_number(F.col("line"))).alias("amount")).where("label is not null and amount > 0")
     amounts = amounts.groupBy("doc", "pos", "kind", "date", "label").agg(F.max_by("amount", "k").alias("amount"))
@@ -174,5 +174,16 @@ def ledger(pages: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def header_lines(facts: DataFrame) -> DataFrame:
-    """doc and header: bank, card and period, a line each."""
-    return facts.select("doc", F.concat_ws("\n", F.concat(F.lit("BANCO: "), F.coalesce("bank_name", F.lit(""))), F.concat(F.lit("TARJETA: "), F.coalesce("card_name", F.lit(""))), F.concat(F.lit("PERIODO: "), F.coalesce("period", F.lit(""))), F.lit("")).alias("header"))
+    """doc and header: bank, card, period as a date, and the concept of the ledger."""
+    bank, card = F.coalesce("bank_name", F.lit("")), F.trim(F.coalesce("card_name", F.lit("")))
+    short_bank = F.when(bank.rlike(r"(?i)BANCO\s+DE\s+LA\s+NACION\s+ARGENTINA"), "BANCO NACION").otherwise(F.trim(bank))
+    short_card = F.coalesce(F.nullif(F.trim(F.replace(card, F.lit("TARJETA DE "), F.lit(""))), F.lit("")), card)
+    period = F.coalesce(period_to_date(F.col("period")), F.lit(""))
+    return facts.select("doc", document_header("LIQ", bank, card, period, short_bank, short_card).alias("header"))
+
+
+def daily_sheet(pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """The control sheet of documents of Banco Nación: a row for each block, and a TOTAL row of each doc (``block`` null), with
+    SHEET_ORDER's columns, the sum of charges and the check."""
+    blocks = sequential_blocks(pages).join(facts.where("nacion").select("doc"), "doc", "left_semi")
+    return control_sheet(blocks, ["doc", "block"], "label", "amount", SHEET_ORDER, by=["doc"])

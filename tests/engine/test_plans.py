@@ -68,20 +68,52 @@ def test_patagonia(spark):
 
 
 def test_invoices(spark):
-    row = lambda code, total: {"Codigo": code, "Descripcion": "x", "Cantidad": "2", "Total": total}
+    row = lambda code, total: {"Codigo_Articulo": code, "Descripcion": "x", "Cantidad": "2", "Bl/Pq": "1 un", "Total": total}
     pages = [("i", 1, "texto " + json.dumps({"CAB": {"Nombre": "", "CUIT": "1"}, "ROWS": [row("a", "4,00"), row("a", "4,00"), "malo"], "TOTALES": {"Total": "10"}, "meta": {"comprobante_raw": "Detalle: Codigo, Dto, Total\ncantidad de items: 2"}})[:-1] + ",} fin"), ("i", 2, json.dumps({"CAB": {"Nombre": "LA VIRGINIA SA", "CUIT": "2"}, "ROWS": [row("b", "6,00")], "TOTALES": {"Total": ""}})), ("j", 1, "nada")]
     got = invoice.normalize(spark.createDataFrame(pages, "doc string, page_no int, text string")).cache()
     assert got.where("bad").count() == 1
     docs = invoice.merge(got).cache()
     d = docs.first()
-    assert (d.CAB_Nombre, d.CAB_CUIT, d.TOTALES_Total) == ("LA VIRGINIA SA", "1", "10")
+    assert (d.CAB["Nombre"], d.CAB["CUIT"], d.TOTALES["Total"]) == ("LA VIRGINIA SA", "1", "10")
+    assert set(invoice.HEAD) <= set(d.CAB) and set(invoice.TOTALS) <= set(d.TOTALES) and set(invoice.META) <= set(d.meta) and [tuple(o) for o in d.others] == [("", "")]
     rows = invoice.detail_rows(docs)
-    assert [(r.Codigo, r.price) for r in rows.orderBy("pos").collect()] == [("a", 2.0), ("b", 3.0)]
+    assert [(r.Codigo_Articulo, r.price, r.Importe_Lista) for r in rows.orderBy("pos").collect()] == [("a", 2.0, "2,000"), ("b", 3.0, "3,000")]
     q = invoice.checked(docs, rows).first()
     assert q.good and q.row_total == 10.0 and q.expected == 2 and not q.flagged
-    assert docs.select(invoice.column_order(docs)).first()[0] == ["Codigo", "Dto1", "Total"]
-    plain = docs.withColumn("meta_comprobante_raw", F.lit(""))
-    assert plain.select(invoice.column_order(plain)).first()[0] == ["Codigo", "Descripcion", "Cantidad", "Total"]
+    assert docs.select(invoice.column_order(docs)).first()[0] == ["Codigo_Articulo", "% Dto1", "Total"]
+    plain = docs.withColumn("meta", F.create_map(F.lit("comprobante_raw"), F.lit("")))
+    assert plain.select(invoice.column_order(plain)).first()[0] == invoice.COMMON
+    listed = docs.withColumn("order_columns", F.array(F.lit("Total")))
+    assert listed.select(invoice.column_order(listed)).first()[0] == ["Total"]
+
+
+def test_invoice_keeps_every_field(spark):
+    body = {"CAB": {"Proveedor": "P", "CAE": "7", "Raro": None, "IDPROVINCIA": 4}, "ROWS": [{"Codigo_Articulo": "a", "Total": 1.5, "Tot.Imp.Int": "9"}, {"Codigo_Articulo": "a", "Importe_Neto": "2"}, {}], "TOTALES": {"IVA 21%": "3", "Otros": [{"Etiqueta": "flete", "Importe_Neto": "4"}, "x", {"Etiqueta": "b"}]}, "meta": {"orden_columnas": ["Total", "UD"]}}
+    pages = [("i", 1, json.dumps(body)), ("i", 2, json.dumps({"ROWS": "nada", "TOTALES": []})), ("k", 1, "{}")]
+    docs = invoice.merge(invoice.normalize(spark.createDataFrame(pages, "doc string, page_no int, text string")))
+    i, k = docs.orderBy("doc").collect()
+    assert (i.CAB["Proveedor"], i.CAB["CAE"], i.CAB["Raro"], i.CAB["IDPROVINCIA"], i.TOTALES["IVA 21%"], i.TOTALES["Exento"]) == ("P", "7", "", "4", "3", "")
+    assert [tuple(o) for o in i.others] == [("flete", "4"), ("b", "")] and i.order_columns == ["Total", "UD"]
+    assert len(i.rows) == 3 and i.rows[0]["Tot.Imp.Int"] == "9" and i.rows[0]["UD"] == "" and k.rows == []
+    rows = invoice.detail_rows(docs).orderBy("pos").collect()
+    assert [(r.Codigo_Articulo, r.Importe_Neto, r.Total) for r in rows] == [("a", "", "1.5"), ("a", "2", "")]
+
+
+def test_headers_and_control_sheets(spark):
+    rules, out = classify.read_rules(spark)
+    cells = _sheet(spark)
+    rows = bank.classified(bank.statement_rows(cells), rules, out)
+    banks = bank.detect_bank(cells)
+    assert bank.header_lines(banks, F.lit("2020-02-03").cast("date")).first().header == "BANCO DE LA NACION ARGENTINA\nGASTOS BANCARIOS\n31-01-2025\nGB 31-01-2025 BANCO DE LA NACION ARGENTINA\nCONCEPTO|IMPORTE\n"
+    assert bank.ledger_lines(bank.ledger(rows), banks).where("ord = 0").first().category == "BANCO NACION"
+    sheet = {(r.section, r.ord): (r.concept, r.n, r.amount and float(r.amount)) for r in bank.control_sheets(rows).collect()}
+    assert sheet["CONCEPTOS", 1] == ("COMISION MANTENIMIENTO", 1, -1000.0) and sheet["ANALISIS", 1][1] == 5 and sheet["SIN REGLA", 1][0] == "PAGO SERVICIO LUZ"
+    assert sheet["IVA", 5] == ("base_adjustment", None, 200.0)
+    text = "Entidad Pagadora\nBANCO DE LA NACION ARGENTINA\nTARJETA DE CREDITO VISA\nENERO 2025\n" + "\n".join(LINES)
+    facts = settlement.document_facts(spark.createDataFrame([("d", "d.pdf", 1, text)], PAGE))
+    assert settlement.header_lines(facts).first().header.split("\n") == ["BANCO DE LA NACION ARGENTINA", "TARJETA VISA", "31-01-2025", "LIQ 31-01-2025 TARJETA VISA BANCO NACION", "CONCEPTO|IMPORTE", ""]
+    day, total = settlement.daily_sheet(spark.createDataFrame([("d", "d.pdf", 1, text)], PAGE), facts).orderBy(F.col("block").isNull()).collect()
+    assert (day.block, float(day.charges), float(day.check)) == (0, 21.78, 0.0) and total.doc == "d" and float(total["ARANCEL"]) == 18.0
 
 
 def test_incremental_run(spark):

@@ -1,5 +1,6 @@
 import pytest
 
+import cuadra.document_queries  # registers its queries
 from cuadra.queries import ORACLE_SQL, QUERIES
 
 
