@@ -473,3 +473,11 @@ def json_with_faults(spark, sf_dir):
 def preferred_columns(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(frames.ordered_columns(F.collect_set("role"), ["zz", "user"]).alias("c"))
     return rows.select("conv_id", F.array_join("c", ",").alias("columns"))
+
+
+@query("""
+SELECT c_custkey, '{' || CASE c_custkey % 3 WHEN 0 THEN '"task":"AUTO","opcion":"AUTO",' ELSE '' END || '"idcliente":"' || c_custkey || '"' || CASE WHEN c_custkey % 2 = 0 THEN ',"source_filename":"' || c_name || '","archivo_nombre":"' || c_name || '","filename":"' || c_name || '","archivoNombre":"' || c_name || '","file_name":"' || c_name || '"' ELSE '' END || '}' AS body FROM customer
+""")
+def request_bodies(spark, sf_dir):
+    pairs = jsontext.request_names(_picked(_K, " auto", "", None), _K.cast("string"), F.when(_K % 2 == 0, F.col("c_name")).otherwise(" "))
+    return _customers(spark, sf_dir, jsontext.request(*pairs).alias("body"))

@@ -110,3 +110,15 @@ def image_tiles(images: DataFrame, height: str, n: int) -> DataFrame:
     rows = images.select("*", k)
     pad = overlap if n > 1 else F.lit(0)
     return rows.withColumn("top", F.greatest(F.lit(0), F.col("k") * band - pad)).withColumn("bottom", F.least(h, (F.col("k") + 1) * band + pad)).where("top < bottom")
+
+
+#: Fixed: how many files a run of a kind takes.
+MOST_FILES = {"compras": 5, "tarjetas": 100, "bancos": 1}
+
+
+def checked_count(files: DataFrame, most: int) -> DataFrame:
+    """``files``, or an error where there are none or more than ``most``; one more than these are counted."""
+    n = files.limit(most + 1).count()
+    if not 1 <= n <= most:
+        raise ValueError(f"from 1 to {most} files are needed, not {'none' if not n else 'more'}")
+    return files

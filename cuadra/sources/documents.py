@@ -42,16 +42,19 @@ def page_counts(files: DataFrame, pages: DataFrame) -> DataFrame:
     return files.join(pages.groupBy("file").agg(F.count("*").alias("n")), "file", "left").select("file", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("pages"))
 
 
-def sheet_cells(spark: SparkSession, folder: str, read_rows: Callable[[bytes], Iterable[tuple[str, list]]], max_rows: int = 12_000, max_cells: int = 12) -> DataFrame:
-    """file, sheet_name, row_no, cells (text) and nums (numbers among them), of the first rows and cells of each sheet."""
+def sheet_cells(spark: SparkSession, folder: str, read_rows: Callable[[bytes], Iterable[tuple[str, list]]], max_rows: int | None = None, max_cells: int | None = None) -> DataFrame:
+    """file, sheet_name, row_no (from 1 in each sheet), cells (text) and nums (numbers among them). All rows and cells are read unless
+    ``max_rows`` and ``max_cells`` of a sheet are given; the rows of a sheet follow each other."""
 
     def task(it):
         for pdf in it:
             rows = []
             for name, content in zip(pdf.file, pdf.content, strict=True):
-                for k, (sheet, values) in enumerate(read_rows(bytes(content)), 1):
-                    if k > max_rows:
-                        break
+                last, k = None, 0
+                for sheet, values in read_rows(bytes(content)):
+                    last, k = sheet, k + 1 if sheet == last else 1
+                    if max_rows is not None and k > max_rows:
+                        continue
                     values = list(values)[:max_cells]
                     number = [float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None for v in values]
                     rows.append((name, sheet, k, ["" if v is None else str(v).strip() for v in values], number))
@@ -115,3 +118,11 @@ def source_name(blocks: Column) -> Column:
 def clients_table(spark: SparkSession, url: str, table: str, id_column: str, route: str, **options: str) -> DataFrame:
     """Clients and routes of a database, with the filter pushed to it."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(id_column, route).where(F.col(route).isNotNull())
+
+
+def sql_server(server: str, database: str, user: str = "", password: str = "") -> dict[str, str]:
+    """JDBC options for ``clients_table``: with a user and password where both are given, else by the account that runs Spark."""
+    if not server or not database:
+        raise ValueError("a server and a database are needed")
+    url = f"jdbc:sqlserver://{server};databaseName={database};trustServerCertificate=true"
+    return {"url": url, "user": user, "password": password} if user and password else {"url": f"{url};integratedSecurity=true"}

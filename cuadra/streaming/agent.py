@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,7 @@ def closed_blocks(lines: DataFrame, timeout: str = "1 hour") -> DataFrame:
             state.remove()
             return
         block, held = state.get if state.exists else (0, "{}")
-        held = dict(pd.read_json(held, typ="series")) if held != "{}" else {}
+        held = json.loads(held)
         out = []
         for pdf in batches:
             for row in pdf.sort_values("pos").itertuples():
@@ -53,7 +54,7 @@ def closed_blocks(lines: DataFrame, timeout: str = "1 hour") -> DataFrame:
                     if row.terminal:
                         out += [(key[0], block, k, v) for k, v in held.items()]
                         block, held = block + 1, {}
-        state.update((block, pd.Series(held, dtype=float).to_json()))
+        state.update((block, json.dumps(held)))
         state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["doc", "block", "label", "amount"])
 

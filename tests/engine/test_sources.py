@@ -88,3 +88,28 @@ def test_streamed_blocks(spark, tmp_path):
     q = agent.closed_blocks(lines).writeStream.format("memory").queryName("blocks").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("blocks").collect()} == {("d", 0, "a", 2.0), ("d", 0, "net", 3.0)}
+
+
+def test_counts_and_connections(spark):
+    import pytest
+
+    from cuadra.operators.ingest import MOST_FILES, checked_count
+    from cuadra.sources.documents import sql_server
+
+    assert checked_count(spark.range(5), MOST_FILES["compras"]).count() == 5
+    for n in (0, 6):
+        with pytest.raises(ValueError):
+            checked_count(spark.range(n), MOST_FILES["compras"])
+    assert sql_server("s", "d", "u", "p")["user"] == "u" and sql_server("s", "d", "u")["url"].endswith("integratedSecurity=true")
+    with pytest.raises(ValueError):
+        sql_server("", "d")
+
+
+def test_rows_are_numbered_in_each_sheet(spark, tmp_path):
+    from cuadra.sources.documents import sheet_cells
+
+    (tmp_path / "a.xls").write_bytes(b"x")
+    read = lambda _: [("one", [1, "a"]), ("one", [None, " b "]), ("two", ["c"]), ("two", ["d"]), ("two", ["e"])]
+    got = [(r.sheet_name, r.row_no, list(r.cells)) for r in sheet_cells(spark, str(tmp_path), read).orderBy("sheet_name", "row_no").collect()]
+    assert got == [("one", 1, ["1", "a"]), ("one", 2, ["", "b"]), ("two", 1, ["c"]), ("two", 2, ["d"]), ("two", 3, ["e"])]
+    assert sheet_cells(spark, str(tmp_path), read, max_rows=1, max_cells=1).count() == 2
