@@ -96,19 +96,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs``, all rows and columns, without the words that lie in benchmark windows. What stands before and after a removed span
     stays; ``n_chars`` follows where there is one. Texts without hits, null ones included, stay as they are."""
+    none = F.lit(-(1 << 63))
     bad = find_hits(docs, benchmark, window).where(F.size("hits") > 0)
     hit = F.flatten(F.transform("hits", lambda x: F.sequence(x["place"], x["place"] + x["n"] - 1)))
-    bad = bad.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.xxhash64("text").alias("_th"), hit.alias("_hit")).dropDuplicates(["_id", "_th"])
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_th"])
-    rows = docs.join(bad, same, "left")
+    bad = bad.select(F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("th"), hit.alias("hit")).dropDuplicates(["id", "th"])
+    # Columns of ``docs`` stay together, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64("text").alias("th")).join(bad, ["id", "th"], "left")
+    text = F.when(F.col("hit").isNotNull(), F.col("row.text"))
+    rows = rows.select("row", "hit", F.split(text, WORDS, -1).alias("between"), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("words"))
     # A word goes together with the delimiters after it.
-    rows = rows.withColumn("_between", F.when(F.col("_hit").isNotNull(), F.split("text", WORDS, -1))).withColumn("_words", F.when(F.col("_hit").isNotNull(), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_words") - 1), F.col("_hit"))
-    clean = F.concat(F.get("_between", F.lit(0)), F.array_join(F.transform(kept, lambda i: F.concat(F.get("_words", i), F.get("_between", i + 1))), ""))
-    rows = rows.withColumn("text", F.when(F.col("_hit").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_hit").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+    kept = F.array_except(F.sequence(F.lit(0), F.size("words") - 1), F.col("hit"))
+    clean = F.concat(F.get("between", F.lit(0)), F.array_join(F.transform(kept, lambda i: F.concat(F.get("words", i), F.get("between", i + 1))), ""))
+    rows = rows.select("row", F.when(F.col("hit").isNotNull(), clean).alias("clean"))
+    new = {"text": F.coalesce("clean", "row.text"), "n_chars": F.coalesce(F.length("clean"), F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

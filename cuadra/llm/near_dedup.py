@@ -324,11 +324,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = GENER
     """
     found, classes = classes_of(docs, shingle, percent, None, None, BLOCK, tied=False)
     same = F.col("first").isNull() | (F.struct("doc_id", "th") == F.col("first"))
-    kept = found.where("doc_id is not null").join(classes, "key", "left").where(same).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64("text")})
-    once = Window.partitionBy("_id", "_th").orderBy(F.col("text"))
-    named = marked.join(kept, ["_id", "_th"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = found.where("doc_id is not null").join(classes, "key", "left").where(same).select("doc_id", "th").distinct()
+    # Columns of ``docs`` stay together, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    once = Window.partitionBy("doc_id", "th").orderBy("row.text")
+    named = rows.join(kept, ["doc_id", "th"], "left_semi").withColumn("n", F.row_number().over(once)).where("n = 1")
+    return named.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

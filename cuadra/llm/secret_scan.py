@@ -132,13 +132,15 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, threshold: int = THR
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: int = THRESHOLD) -> DataFrame:
     """``docs``, all rows and columns, with each secret in ``text`` replaced by ``mark``; n_chars follows where there is one."""
-    rows = scan(docs, threshold=threshold)
+    # Columns of ``docs`` stay together, so that no name of theirs can clash.
+    rows = scan(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text"), threshold=threshold)
     # What is put before the end of each secret: the text since the last one, and the mark, unless it overlaps that one.
     step = lambda at, x: F.struct(F.greatest(at, x["end"]).alias("s"), F.when(x["start"] >= at, F.concat(F.substr("text", at + 1, x["start"] - at), F.lit(mark))).otherwise("").alias("out"))
     last = F.array_max(F.transform("secrets", lambda x: x["end"]))
     clean = F.concat(F.array_join(_running(F.col("secrets"), F.lit(0), step, "string"), ""), F.substr("text", last + 1))
-    rows = rows.withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))).drop("secrets")
-    return rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else rows
+    rows = rows.select("row", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text")).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -217,6 +217,19 @@ def test_buckets_are_ranges(spark):
     assert [k for _, k in rows] == list(range(5000)) and rows[-1][0] == n - 1 and n > 10
 
 
+def test_stages_take_odd_rows(spark, documents, odd_rows):
+    by_name = dict(corpus_pipeline.STAGES)
+    for rows in (odd_rows, []):
+        docs = documents(rows).withColumns({c: F.lit(c) for c in ("row", "secrets", "hit", "id", "n", "_id", "_th", "key", "node", "words")})
+        for name in ("quality_classifier", "near_dedup", "decontamination", "secret_scan"):
+            out = by_name[name](spark, docs, "/root/testdata/sf0.001")
+            assert out.columns == docs.columns
+            n = out.count()
+            assert (n == len(rows)) if name == "secret_scan" else n <= len(rows)
+        packed = by_name["packing"](spark, docs, "/root/testdata/sf0.001").collect()
+        assert sorted(str(r.doc_id) for r in packed if r.piece == 0) == sorted(str(d) for d, _ in rows)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -92,7 +92,7 @@ def test_decontamination(spark, documents, odd_rows):
 def test_spans_are_removed(spark, documents, odd_rows):
     bench = spark.createDataFrame([(1, "one two three"), (2, "LAST words")], "item_id long, text string")
     texts = ["Keep. One, two (THREE)! rest", "one two three", "xone two three", None, "a last words; last words b", "last words last", ""]
-    docs = documents([*enumerate(texts), *[(100, t) for _, t in odd_rows]])
+    docs = documents([*enumerate(texts), *[(100, t) for _, t in odd_rows]]).withColumns({c: F.lit(c) for c in ("row", "hit", "between", "words")})
     df = decontaminate.remove_spans(docs, bench)
     _no_python(df)
     got = {r.doc_id: (r.text, r.n_chars, r.source) for r in df.collect() if r.doc_id < 100}
