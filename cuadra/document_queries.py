@@ -275,7 +275,8 @@ def patagonia_plan(spark, sf_dir):
 
 # Functions on texts, over names and notes made from customers' and events' numbers, faulty ones among them.
 
-_K = F.col("c_custkey")
+def _key():
+    return F.col("c_custkey")
 
 
 def _customers(spark, sf_dir, *columns) -> DataFrame:
@@ -289,9 +290,9 @@ SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN d || '-' || m WHEN 1 THEN d ||
   CASE c_custkey % 4 WHEN 3 THEN 'PROVEEDOR' ELSE 'ACME SA' END AS provider FROM x
 """)
 def file_name_tokens(spark, sf_dir):
-    d, m = (_K % 28 + 1).cast("string"), (_K % 12 + 1).cast("string")
-    number = (700000 + _K).cast("string")
-    name = F.when(_K % 4 == 0, F.concat(F.lit("Factura ACME S.A "), d, F.lit("-"), m, F.lit(" 0-"), number)).when(_K % 4 == 1, F.concat(F.lit("acme sa nota CREDITO "), d, F.lit("-"), m, F.lit("-24 0000-"), number)).when(_K % 4 == 2, F.concat(F.lit("ACME SA comprobante "), (3000000000 + _K).cast("string"))).otherwise(F.lit("proveedor OK"))
+    d, m = (_key() % 28 + 1).cast("string"), (_key() % 12 + 1).cast("string")
+    number = (700000 + _key()).cast("string")
+    name = F.when(_key() % 4 == 0, F.concat(F.lit("Factura ACME S.A "), d, F.lit("-"), m, F.lit(" 0-"), number)).when(_key() % 4 == 1, F.concat(F.lit("acme sa nota CREDITO "), d, F.lit("-"), m, F.lit("-24 0000-"), number)).when(_key() % 4 == 2, F.concat(F.lit("ACME SA comprobante "), (3000000000 + _key()).cast("string"))).otherwise(F.lit("proveedor OK"))
     return _customers(spark, sf_dir, text.date_token(name).alias("date"), text.voucher_token(name).alias("voucher"), F.replace(text.provider_key(name), F.lit("ACME S A"), F.lit("ACME SA")).alias("provider"))
 
 
@@ -301,9 +302,9 @@ SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN strftime(last_day(make_date(202
 FROM (SELECT c_custkey, CAST(c_custkey % 12 + 1 AS INT) AS m FROM customer)
 """)
 def periods_of_names(spark, sf_dir):
-    m = F.lpad((_K % 12 + 1).cast("string"), 2, "0")
-    word = F.element_at(F.array(*[F.lit(x) for x in dates.MONTHS if x != "SETIEMBRE"]), (_K % 12 + 1).cast("int"))
-    name = F.when(_K % 4 == 0, F.concat(F.lit("liq 2025-"), m, F.lit("-17 x"))).when(_K % 4 == 1, F.concat(F.lit("2023"), m, F.lit("09"))).when(_K % 4 == 2, F.concat(F.lit("Resumen "), F.lower(word), F.lit(" de 2022"))).otherwise(F.lit("13-2020 x"))
+    m = F.lpad((_key() % 12 + 1).cast("string"), 2, "0")
+    word = F.element_at(F.array(*[F.lit(x) for x in dates.MONTHS if x != "SETIEMBRE"]), (_key() % 12 + 1).cast("int"))
+    name = F.when(_key() % 4 == 0, F.concat(F.lit("liq 2025-"), m, F.lit("-17 x"))).when(_key() % 4 == 1, F.concat(F.lit("2023"), m, F.lit("09"))).when(_key() % 4 == 2, F.concat(F.lit("Resumen "), F.lower(word), F.lit(" de 2022"))).otherwise(F.lit("13-2020 x"))
     return _customers(spark, sf_dir, dates.period_of_dated_name(name).alias("period"), dates.period_of_name(name, F.lit("2020-05-09").cast("date")).alias("named"))
 
 
@@ -313,9 +314,9 @@ SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'MARZO 2024' WHEN 1 THEN '07/02
   CASE c_custkey % 5 WHEN 0 THEN '29-02-2024' WHEN 1 THEN '31-12-2024' WHEN 2 THEN '05-06-2024' WHEN 3 THEN 'sin periodo' ELSE '30-09-2024' END AS period_date FROM customer
 """)
 def dates_on_pages(spark, sf_dir):
-    page = _picked(_K, "periodo marzo   2024, 01", "el 07/02/2024 y 08/02/2024", "1/2/24", "01/01/2023 F. Pres 02/02/2023 y 03/03/2023", None)
+    page = _picked(_key(), "periodo marzo   2024, 01", "el 07/02/2024 y 08/02/2024", "1/2/24", "01/01/2023 F. Pres 02/02/2023 y 03/03/2023", None)
     block = F.coalesce(page, F.lit("el día 05/05/2021 y 06/06/2021"))
-    period = _picked(_K, " febrero 2024", "12-2024", "05/06/2024", "sin periodo", "Setiembre 2024")
+    period = _picked(_key(), " febrero 2024", "12-2024", "05/06/2024", "sin periodo", "Setiembre 2024")
     return _customers(spark, sf_dir, dates.page_period(page).alias("page_period"), dates.block_date(block).alias("block_date"), dates.period_to_date(period).alias("period_date"))
 
 
@@ -324,7 +325,7 @@ SELECT c_custkey, {_sql_picked('c_custkey', 'Cantidad,Codigo_Articulo,Total', 'U
   CASE c_custkey % 6 WHEN 0 THEN 3 WHEN 1 THEN 12 WHEN 2 THEN 7 END AS items FROM customer
 """)
 def voucher_notes(spark, sf_dir):
-    note = _picked(_K, "x\nDETALLE: Cant. ; Código de artículo | Total final\nCantidad de items: 3", "detalle:Unidad,Dto. 1,descuento 2,% 3,Bultos\ncantidad  de items 12", "Detalle: P. Lista, Precio unitario; IVA, Imp internos\nCANTIDAD DE ITEMS - 7", "detalle : Moneda|Nro lote|N. serie|otra", None, "Detalle: desc,descripción")
+    note = _picked(_key(), "x\nDETALLE: Cant. ; Código de artículo | Total final\nCantidad de items: 3", "detalle:Unidad,Dto. 1,descuento 2,% 3,Bultos\ncantidad  de items 12", "Detalle: P. Lista, Precio unitario; IVA, Imp internos\nCANTIDAD DE ITEMS - 7", "detalle : Moneda|Nro lote|N. serie|otra", None, "Detalle: desc,descripción")
     columns = F.coalesce(F.array_join(classify.detail_columns(text.detail_headers(F.lit(""), note)), ","), F.lit(""))
     return _customers(spark, sf_dir, columns.alias("columns"), text.expected_items(F.lit(None).cast("string"), note).alias("items"))
 
@@ -335,10 +336,10 @@ SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'c:\a\b ' || c_custkey WHEN 1 T
 FROM customer
 """.replace("\\\\", "\\"))
 def paths_and_names(spark, sf_dir):
-    raw = F.when(_K % 4 == 0, F.concat(F.lit('"C:/a//B '), _K.cast("string"), F.lit('/"'))).when(_K % 4 == 1, F.lit("'C:\\a'")).when(_K % 4 == 2, F.lit("")).otherwise(F.lit(None).cast("string"))
-    bare = F.when(_K % 4 == 0, F.concat(F.lit('"C:/a//B '), _K.cast("string"), F.lit('"'))).when(_K % 4 == 1, F.lit("'C:\\a'")).when(_K % 4 == 2, F.lit("")).otherwise(F.lit(None).cast("string"))
-    odd = _picked(_K, "///", " x y ", None, "__")
-    return _customers(spark, sf_dir, text.norm_path(raw).alias("path"), text.unquote(bare).alias("bare"), text.safe_name(odd, "x").alias("safe"), text.clean_control(_picked(_K, "a\tb\nc", "abc", "abc", "abc")).alias("clean"))
+    raw = F.when(_key() % 4 == 0, F.concat(F.lit('"C:/a//B '), _key().cast("string"), F.lit('/"'))).when(_key() % 4 == 1, F.lit("'C:\\a'")).when(_key() % 4 == 2, F.lit("")).otherwise(F.lit(None).cast("string"))
+    bare = F.when(_key() % 4 == 0, F.concat(F.lit('"C:/a//B '), _key().cast("string"), F.lit('"'))).when(_key() % 4 == 1, F.lit("'C:\\a'")).when(_key() % 4 == 2, F.lit("")).otherwise(F.lit(None).cast("string"))
+    odd = _picked(_key(), "///", " x y ", None, "__")
+    return _customers(spark, sf_dir, text.norm_path(raw).alias("path"), text.unquote(bare).alias("bare"), text.safe_name(odd, "x").alias("safe"), text.clean_control(_picked(_key(), "a\tb\nc", "abc", "abc", "abc")).alias("clean"))
 
 
 @query("""
@@ -347,7 +348,7 @@ SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Arancel' WHEN 1 THEN '' WHEN 4
   CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS number, repeat('uno dos ', 6) || 'x' AS short FROM customer
 """)
 def answer_lines(spark, sf_dir):
-    line = _picked(_K, " Arancel | 1,00 | x", "| 2", "  ", "** Titulo **", "a|")
+    line = _picked(_key(), " Arancel | 1,00 | x", "| 2", "  ", "** Titulo **", "a|")
     parts = text.split_pipe(line)
     cut = text.truncate_concept(F.concat(F.repeat(F.lit("uno  dos\n"), 6), F.lit("xy")), 49)
     return _customers(spark, sf_dir, parts["concept"].alias("concept"), parts["total"].alias("total"), text.is_noise(line).alias("noise"), text.clean_label(line).alias("label"), text.first_int(line).alias("number"), cut.alias("short"))
@@ -360,8 +361,8 @@ SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 1234.56 WHEN 1 THEN 1234.56 WHE
   CASE c_custkey % 6 WHEN 0 THEN '1.234,56' WHEN 3 THEN NULL WHEN 5 THEN '10,50' END AS amounts FROM customer
 """)
 def amounts_with_garbage(spark, sf_dir):
-    raw = _picked(_K, "$ 1.234,56", "1,234.56", "1.234.567", None, "$ -10,5", "(10,5)")
-    found = F.array_join(text.ar_amounts(_picked(_K, "a 1.234,56 b", "1,2", "x", None, "12,3 4", "de 10,50")), ";")
+    raw = _picked(_key(), "$ 1.234,56", "1,234.56", "1.234.567", None, "$ -10,5", "(10,5)")
+    found = F.array_join(text.ar_amounts(_picked(_key(), "a 1.234,56 b", "1,2", "x", None, "12,3 4", "de 10,50")), ";")
     return _customers(spark, sf_dir, numbers.parse_nullable(raw).alias("nullable"), numbers.parse_zero(raw).alias("zero"), numbers.parse_ar(raw).alias("ar"), F.nullif(found, F.lit("")).alias("amounts"))
 
 
@@ -371,13 +372,13 @@ SELECT c_custkey, {_sql_picked('c_custkey', 'TARJETA AMEX', 'TARJETA VISA', 'TAR
   CASE c_custkey % 3 WHEN 0 THEN 5.0 WHEN 1 THEN -3.0 ELSE 0 END::DOUBLE AS signed FROM customer
 """)
 def cards_banks_and_tasks(spark, sf_dir):
-    body = _picked(_K, "pago American  Express", "su Visa.", "CABAL", "mastercard", "Naranja", "visado")
-    name = _picked(_K, "american.pdf", "miVISA1.pdf", "cabal.pdf", "masterX.pdf", "x.pdf", "y.pdf")
-    generic = classify.is_generic_card(_picked(_K, "Tarjeta de crédito", "TARJETA VISA"))
-    banks = _picked(_K, "Banco de la Nación", "patagonia s.a.", "Banco del Sur", "bancor")
-    kind, automatic = _picked(_K, "tarjetas", "compras", "bancos"), F.lit(True)
-    signed = numbers.ledger_sign(_picked(_K, "TARJETA", "GASTO", "OTROS"), _picked(_K, -5.0, 3.0, 0.001))
-    return _customers(spark, sf_dir, classify.card_of_text(body).alias("by_text"), classify.card_of_name(name).alias("by_name"), generic.alias("generic"), classify.bank_label(banks).alias("label"), classify.bank_of_name(_picked(_K, "extracto BNA", "Banco Patagonia", "otro", None)).alias("bank"), classify.route_task(kind, automatic).alias("task"), signed.cast("double").alias("signed"))
+    body = _picked(_key(), "pago American  Express", "su Visa.", "CABAL", "mastercard", "Naranja", "visado")
+    name = _picked(_key(), "american.pdf", "miVISA1.pdf", "cabal.pdf", "masterX.pdf", "x.pdf", "y.pdf")
+    generic = classify.is_generic_card(_picked(_key(), "Tarjeta de crédito", "TARJETA VISA"))
+    banks = _picked(_key(), "Banco de la Nación", "patagonia s.a.", "Banco del Sur", "bancor")
+    kind, automatic = _picked(_key(), "tarjetas", "compras", "bancos"), F.lit(True)
+    signed = numbers.ledger_sign(_picked(_key(), "TARJETA", "GASTO", "OTROS"), _picked(_key(), -5.0, 3.0, 0.001))
+    return _customers(spark, sf_dir, classify.card_of_text(body).alias("by_text"), classify.card_of_name(name).alias("by_name"), generic.alias("generic"), classify.bank_label(banks).alias("label"), classify.bank_of_name(_picked(_key(), "extracto BNA", "Banco Patagonia", "otro", None)).alias("bank"), classify.route_task(kind, automatic).alias("task"), signed.cast("double").alias("signed"))
 
 
 _WORDS = [["Arancel", "IVA", "Retención", "Percepción", "Impuesto", "Gasto", "Neto de pagos", "Tarjeta"], ["", "crédito", "ganancias", "s/arancel", "ing. brutos", "fiscal cred"], ["", "SIRTAC", "RG 2408", "comisión", "ret_gan"]]
@@ -411,14 +412,14 @@ def positional_categories(spark, sf_dir):
 
 @query("SELECT c_custkey % 100 AS id, arg_max(c_name, c_custkey) AS route FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 GROUP BY 1")
 def last_routes(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.when(_K % 7 == 0, "x9").otherwise((_K % 100).cast("string")).alias("idcliente"), F.when(_K % 5 == 0, " ").otherwise(F.col("c_name")).alias("ruta"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.when(_key() % 7 == 0, "x9").otherwise((_key() % 100).cast("string")).alias("idcliente"), F.when(_key() % 5 == 0, " ").otherwise(F.col("c_name")).alias("ruta"))
     return ingest.last_route(rows, "idcliente", "ruta", "c_custkey")
 
 
 @query("SELECT 'K' || c_custkey AS key, CASE c_custkey % 3 WHEN 0 THEN 'a=b' ELSE c_name END AS value FROM customer WHERE c_custkey % 4 <> 3")
 def env_lines(spark, sf_dir):
-    value = F.when(_K % 3 == 0, "'a=b'").otherwise(F.concat(F.lit('"'), "c_name", F.lit('"')))
-    line = F.when(_K % 8 == 3, "# K=1").when(_K % 8 == 7, "sin valor").otherwise(F.concat(F.lit(" K"), _K.cast("string"), F.lit(" = "), value))
+    value = F.when(_key() % 3 == 0, "'a=b'").otherwise(F.concat(F.lit('"'), "c_name", F.lit('"')))
+    line = F.when(_key() % 8 == 3, "# K=1").when(_key() % 8 == 7, "sin valor").otherwise(F.concat(F.lit(" K"), _key().cast("string"), F.lit(" = "), value))
     return ingest.env_entries(read(spark, sf_dir, "customer").select(line.alias("value")))
 
 
@@ -431,7 +432,7 @@ def status_lines(spark, sf_dir):
 @query("SELECT c_nationkey AS id, count(DISTINCT c_custkey % 10) AS n FROM customer GROUP BY 1")
 def path_lists(spark, sf_dir):
     """Paths of several spellings; each once, without its kind of documents."""
-    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), (_K % 10).cast("string").alias("p")).groupBy("id").agg(F.array_join(F.collect_list(F.concat(F.lit('"C:/Datos/'), "p", F.lit('";c:\\\\datos\\'), "p", F.lit("\\"))), "\n").alias("list"))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), (_key() % 10).cast("string").alias("p")).groupBy("id").agg(F.array_join(F.collect_list(F.concat(F.lit('"C:/Datos/'), "p", F.lit('";c:\\\\datos\\'), "p", F.lit("\\"))), "\n").alias("list"))
     return ingest.split_paths(rows, ["list"], ["id"]).groupBy("id").agg(F.count("*").cast("long").alias("n"))
 
 
@@ -441,9 +442,9 @@ SELECT CAST(c_custkey AS VARCHAR) || '.pdf' AS name, CASE WHEN c_custkey % 4 = 1
 def incremental_plan(spark, sf_dir):
     """Kinds of files: no entry, OK, ERROR, and an OK that has expired; every fifth is still too young."""
     now = F.lit("2025-01-10 12:00:00").cast("timestamp")
-    name = F.concat(_K.cast("string"), F.lit(".pdf"))
-    files = _customers(spark, sf_dir, name.alias("name"), F.lit(5).cast("long").alias("length"), F.when(_K % 5 == 0, now - F.expr("interval 10 seconds")).otherwise(now - F.expr("interval 5 minutes")).alias("modificationTime")).drop("c_custkey")
-    entries = read(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(name.alias("name"), _picked(_K, "x", "OK", "ERROR", "OK").alias("status"), F.when(_K % 4 == 3, now - F.expr("interval 8 days")).otherwise(now - F.expr("interval 1 day")).alias("ts"))
+    name = F.concat(_key().cast("string"), F.lit(".pdf"))
+    files = _customers(spark, sf_dir, name.alias("name"), F.lit(5).cast("long").alias("length"), F.when(_key() % 5 == 0, now - F.expr("interval 10 seconds")).otherwise(now - F.expr("interval 5 minutes")).alias("modificationTime")).drop("c_custkey")
+    entries = read(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(name.alias("name"), _picked(_key(), "x", "OK", "ERROR", "OK").alias("status"), F.when(_key() % 4 == 3, now - F.expr("interval 8 days")).otherwise(now - F.expr("interval 1 day")).alias("ts"))
     return agent.plan_run(files, entries, now).select("name", "outcome")
 
 
@@ -479,5 +480,5 @@ def preferred_columns(spark, sf_dir):
 SELECT c_custkey, '{' || CASE c_custkey % 3 WHEN 0 THEN '"task":"AUTO","opcion":"AUTO",' ELSE '' END || '"idcliente":"' || c_custkey || '"' || CASE WHEN c_custkey % 2 = 0 THEN ',"source_filename":"' || c_name || '","archivo_nombre":"' || c_name || '","filename":"' || c_name || '","archivoNombre":"' || c_name || '","file_name":"' || c_name || '"' ELSE '' END || '}' AS body FROM customer
 """)
 def request_bodies(spark, sf_dir):
-    pairs = jsontext.request_names(_picked(_K, " auto", "", None), _K.cast("string"), F.when(_K % 2 == 0, F.col("c_name")).otherwise(" "))
+    pairs = jsontext.request_names(_picked(_key(), " auto", "", None), _key().cast("string"), F.when(_key() % 2 == 0, F.col("c_name")).otherwise(" "))
     return _customers(spark, sf_dir, jsontext.request(*pairs).alias("body"))
