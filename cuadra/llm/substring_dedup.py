@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, BOOL, INT, LONG, STR, gram_hashes, partitions, schema, signed, spill, word_hashes
+from .common import BIN, BOOL, INT, LONG, STR, gram_hashes, partitions, schema, signed, spill, token_codes, word_hashes
 
 WINDOW = 35
 GRAM = 8
@@ -210,16 +210,24 @@ def _narrow(window: int, fine: int):
 
     def task(it):
         for pdf in it:
-            rows = []
-            for d, t, fp, s, x, places in zip(pdf.doc_id, pdf.th, pdf.fp, pdf.start, pdf.segment, pdf.places, strict=True):
-                at = np.unique(places)
-                words = x.split("\x20")
-                cut = np.flatnonzero(np.diff(at) > 1) + 1
-                for run in np.split(at, cut):
-                    part = words[run[0] : run[-1] + window]
-                    for m, f, n in zip(*minimizer_runs([w.encode() for w in part], window, fine), strict=True):
-                        rows.append((d, t, int(signed(m ^ np.uint64(fp % (1 << 64)))), s + int(run[0] + f), "\x20".join(part[f : f + n + window - 1])))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "fp", "start", "segment"])
+            if not len(pdf):
+                continue
+            # All segments of a batch in one row of words; places of windows are counted through it.
+            codes, bounds, tokens = token_codes(pdf.segment)
+            raw = [t.encode() for t in tokens]
+            grams = gram_hashes(word_hashes(raw)[codes], fine)
+            at = np.unique(np.concatenate([b + p for b, p in zip(bounds[:-1], pdf.places, strict=True)]))
+            row = np.searchsorted(bounds, at, "right") - 1
+            least = at + np.lib.stride_tricks.sliding_window_view(grams, window - fine + 1)[at].argmin(1)
+            first = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(row) > 0) | (np.diff(least) != 0)])
+            last = at[np.r_[first[1:], len(at)] - 1] + window - 1
+            least, row, first = least[first], row[first], at[first]
+            line = "\x20".join(pdf.segment).encode()
+            size = np.fromiter(map(len, raw), np.int64, len(raw))[codes]
+            end = np.cumsum(size + 1) - 1
+            parts = [line[i:j].decode() for i, j in zip((end - size)[first].tolist(), end[last].tolist(), strict=True)]
+            fp = signed(grams[least] ^ pdf.fp.to_numpy()[row].view(np.uint64))
+            yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy()[row], "th": pdf.th.to_numpy()[row], "fp": fp, "start": (pdf.start.to_numpy()[row] + first - bounds[row]).astype(np.int32), "segment": parts})
 
     return task
 
