@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, near_dedup, packing, quality, secret_scan, substring_dedup, token_files, toxicity
+from . import chat_format, decontaminate, fingerprints, hard_negatives, near_dedup, packing, periodic_runs, quality, secret_scan, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": token_files.op8,
     "op9_secret_scan": secret_scan.op9,
     "op10_fingerprints": fingerprints.op10,
+    "op11_hard_negatives": hard_negatives.op11,
+    "op12_periodic_runs": periodic_runs.op12,
+    "op13_url_filter": url_filter.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op13_url_filter": url_filter.OP13_SQL,
 }
