@@ -161,7 +161,7 @@ def bank_control_sheets(spark, sf_dir):
 @query(f"""
 SELECT {_FILE_SQL} AS file, CASE WHEN user_id % 2 = 0 THEN 'BNA' ELSE 'BPAT' END AS bank, -1 AS header_row,
   concat_ws(chr(10), b, 'GASTOS BANCARIOS', p, rtrim(left('GB ' || p || ' ' || b, 50)), 'CONCEPTO|IMPORTE', '') AS header
-FROM (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'BANCO DE LA NACION ARGENTINA' ELSE 'BANCO PATAGONIA' END AS b, strftime(last_day(make_date(2024, CAST(user_id % 12 + 1 AS INT), 1)), '%d-%m-%Y') AS p FROM events)
+FROM (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'BANCO DE LA NACION ARGENTINA' ELSE 'BANCO PATAGONIA S.A.' END AS b, strftime(last_day(make_date(2024, CAST(user_id % 12 + 1 AS INT), 1)), '%d-%m-%Y') AS p FROM events)
 """)
 def bank_headers(spark, sf_dir):
     banks = bank.detect_bank(_cells(spark, sf_dir))

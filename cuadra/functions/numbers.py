@@ -1,6 +1,6 @@
 """Amounts: three parsers, formatting, signs, and the control arithmetic.
 
-Ledger amounts are decimals rounded half up; the reference's binary floats round some ties the other way.
+Ledger amounts are decimals. Figures that are computed from doubles are rounded by their binary value, as ``cents`` says.
 """
 
 from __future__ import annotations
@@ -53,6 +53,11 @@ def money(x: Column) -> Column:
     return x.cast(MONEY)
 
 
+def cents(x: Column, places: int = 2) -> Column:
+    """A double rounded by its exact binary value, ties to even: 0.21 * 41092.50 is a little less than 8629.425, so 8629.42."""
+    return F.replace(F.format_number(x.cast("double"), places), F.lit(",")).try_cast("double")
+
+
 def clamp(x: Column, below: float = 0.005) -> Column:
     return F.when(F.abs(x) < below, F.lit(0)).otherwise(x)
 
@@ -68,16 +73,16 @@ def signed_amount(amount: Column, debit: Column, credit: Column) -> Column:
 
 def vat_control(base: Column, vat: Column, rate: float = VAT) -> dict[str, Column]:
     """What VAT of ``base`` would be, how far ``vat`` is from it, and the base that would explain it."""
-    theory = F.round(base * rate, 2)
-    adjust = F.when(vat > 0, clamp(F.round(vat / rate - base, 2), 0.01)).otherwise(F.lit(0.0))
-    theory2 = F.round((base + adjust) * rate, 2)
+    theory = cents(base * rate)
+    adjust = F.when(vat > 0, clamp(cents(vat / rate - base), 0.01)).otherwise(F.lit(0.0))
+    theory2 = cents((base + adjust) * rate)
     return {
         "vat_theory": theory,
-        "vat_diff": F.round(vat - theory, 2),
+        "vat_diff": cents(vat - theory),
         "base_adjustment": adjust,
-        "base_adjusted": F.round(base + adjust, 2),
+        "base_adjusted": cents(base + adjust),
         "vat_adjusted": theory2,
-        "vat_diff_adjusted": F.round(vat - theory2, 2),
+        "vat_diff_adjusted": cents(vat - theory2),
         "alert": F.abs(vat - theory) > 1,
     }
 
@@ -93,7 +98,7 @@ def close_to(a: Column, target: Column, least: float = 1.0, share: float = 0.002
 
 def vat_or_theory(fees: Column, vat: Column, rate: float = VAT) -> Column:
     """VAT as read, or as it should be where fees are known and it is missing or more than 0.05 off."""
-    theory = F.round(fees * rate, 2)
+    theory = cents(fees * rate)
     return F.when((fees > 0) & ((vat <= 0) | (F.abs(vat - theory) > 0.05)), theory).otherwise(vat)
 
 

@@ -74,8 +74,11 @@ def tables_with(columns: DataFrame, wanted: list[str], preferred: str) -> DataFr
 
 
 def retained(ledger: DataFrame, now: Column, days: int = 7, ts: str = "ts") -> DataFrame:
-    """Entries of the last days. Files whose entry goes are processed again if they are still there."""
-    return ledger.where(F.col(ts) >= now - F.expr(f"interval {days} days"))
+    """Entries of the last days. Files whose entry goes are processed again if they are still there. Of a ledger in folders by
+    ``day``, only the folders of those days are read."""
+    since = now - F.expr(f"interval {days} days")
+    kept = ledger.where(F.col(ts) >= since)
+    return kept.where(F.col("day") >= F.to_date(since)) if "day" in ledger.columns else kept
 
 
 def status_of_log(text: Column) -> Column:

@@ -107,7 +107,7 @@ def ledger(rows: DataFrame) -> DataFrame:
 
 
 #: Fixed: names of the banks in headers and ledgers.
-NAMES = {"BNA": "BANCO DE LA NACION ARGENTINA", "BPAT": "BANCO PATAGONIA"}
+NAMES = {"BNA": "BANCO DE LA NACION ARGENTINA", "BPAT": "BANCO PATAGONIA S.A."}
 
 
 def ledger_lines(entries: DataFrame, banks: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
 import cuadra.document_queries  # registers its queries
+import cuadra.stream_queries
 from cuadra.queries import ORACLE_SQL, QUERIES
 
 
