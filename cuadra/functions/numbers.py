@@ -97,8 +97,12 @@ def close_to(a: Column, target: Column, least: float = 1.0, share: float = 0.002
 
 
 def vat_or_theory(fees: Column, vat: Column, rate: float = VAT) -> Column:
-    """VAT as read, or as it should be where fees are known and it is missing or more than 0.05 off."""
-    theory = cents(fees * rate)
+    """VAT as read, or as it should be where fees are known and it is missing or more than 0.05 off.
+
+    The theory is rounded in hundredths, as SQL's ``round`` of a double is, and not by its binary value: of 0.21 * 34582.50, a little
+    below 7262.325 but 726232.5 in hundredths, that is 7262.33.
+    """
+    theory = F.round(fees * rate * 100) / 100
     return F.when((fees > 0) & ((vat <= 0) | (F.abs(vat - theory) > 0.05)), theory).otherwise(vat)
 
 

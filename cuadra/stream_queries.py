@@ -9,7 +9,7 @@ from .sources.scratch import shared_folder
 from .streaming import agent
 
 BATCHES = 4
-_LINES_SQL = "SELECT CAST(l_suppkey AS VARCHAR) AS doc, l_orderkey * 8 + l_linenumber AS pos, l_returnflag AS label, l_extendedprice AS amount, l_returnflag = 'R' AS terminal FROM lineitem WHERE l_extendedprice > 0"
+_LINES_SQL = "SELECT CAST(l_suppkey AS VARCHAR) AS doc, (l_orderkey * 8 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS pos, l_returnflag AS label, l_extendedprice AS amount, l_returnflag = 'R' AS terminal FROM lineitem WHERE l_extendedprice > 0"
 
 
 @query(f"""
@@ -19,7 +19,7 @@ SELECT doc, CAST(block AS BIGINT) AS block, label, arg_max(amount, pos) AS amoun
 def streamed_blocks(spark, sf_dir):
     """Lines of lineitem by supplier, which come in four batches and up to a fiftieth of the table out of order."""
     lines = read(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("doc"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("pos"), F.col("l_returnflag").alias("label"), F.col("l_extendedprice").alias("amount"), (F.col("l_returnflag") == "R").alias("terminal")
+        F.col("l_suppkey").cast("string").alias("doc"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("pos"), F.col("l_returnflag").alias("label"), F.col("l_extendedprice").alias("amount"), (F.col("l_returnflag") == "R").alias("terminal")
     )
     lines = lines.join(lines.groupBy("doc").agg(F.count("*").alias("lines")), "doc")
     last = lines.agg(F.max("pos")).first()[0] or 1
