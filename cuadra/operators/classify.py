@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_header, norm_text, norm_upper
+from .matching import first_category
 
 #: Fixed: categories of the two ledgers, in the order they are printed.
 BANK_CATEGORIES = ["BANCO", "GASTO", "NETO GRAVADO POR AJUSTE IVA", "IDC_A_COMPUTAR", "IVA_CREDITO", "RET_IVA", "RET_IIBB", "RET_GAN", "OTROS"]
@@ -64,30 +65,54 @@ def first_match_case(concept: Column, rules: list[tuple[str, str]] = DEFAULT_RUL
     return case
 
 
+#: A book is sent to all tasks up to so many bytes of patterns, counted before; a larger one is joined.
+BOOK_BYTES = 32 << 20
+
+
+def _shared_book(rows: DataFrame, book: DataFrame):
+    """(bank, mode, pattern, category) in order, as a broadcast; null where the book is too large."""
+    size = book.agg(F.sum(F.length("_pattern") + F.coalesce(F.length("_category"), F.lit(0)) + 100)).first()[0] or 0
+    if size > BOOK_BYTES:
+        return None
+    entries = book.orderBy("_ord").select("_bank", "_mode", F.when(F.col("_mode") == "contains", norm_text(F.col("_pattern"))).otherwise(F.col("_pattern")), "_category").collect()
+    return rows.sparkSession.sparkContext.broadcast([tuple(r) for r in entries])
+
+
 def first_match_join(rows: DataFrame, concept: str, rules: DataFrame, bank: str | None = None) -> DataFrame:
     """``rows`` with ``category`` from a rule book of rows: the least ``ord`` that matches wins, null where none does.
 
-    Each distinct concept is matched once against the whole book; Spark broadcasts that where it is small.
+    The book goes to all tasks as an automaton, so rows aren't shuffled and meet only the rules they may match; its regular
+    expressions are Python's. A book of more than BOOK_BYTES is joined to the distinct concepts instead, with Spark's expressions.
     """
+    book = rules.select((F.col("bank") if bank else F.lit(None).cast("string")).alias("_bank"), F.col("ord").alias("_ord"), F.col("mode").alias("_mode"), F.col("pattern").alias("_pattern"), F.col("category").alias("_category"))
+    shared = _shared_book(rows, book)
+    vat = F.when(is_vat_perception(F.col(concept)), "RET_IVA")
+    if shared is not None:
+        found = first_category(shared, F.col(bank) if bank else F.lit(None).cast("string"), F.col(concept), norm_text(F.col(concept)))
+        return rows.withColumn("category", F.coalesce(vat, found))
     keys = ([bank] if bank else []) + [concept]
     distinct = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
     text = F.col(f"_k{len(keys) - 1}")
-    hit = ((F.col("mode") == "regex") & F.regexp_like(text, F.concat(F.lit("(?iu)"), F.col("pattern")))) | ((F.col("mode") == "contains") & F.contains(norm_text(text), norm_text(F.col("pattern"))))
+    hit = ((F.col("_mode") == "regex") & F.regexp_like(text, F.concat(F.lit("(?iu)"), F.col("_pattern")))) | ((F.col("_mode") == "contains") & F.contains(norm_text(text), norm_text(F.col("_pattern"))))
     if bank:
         hit = hit & (F.col("_k0") == F.col("_bank"))
-    book = rules.select(F.col("bank").alias("_bank"), "ord", "mode", "pattern", F.col("category").alias("_category"))
-    found = distinct.join(book, hit).groupBy(*distinct.columns).agg(F.min_by("_category", "ord").alias("_rule"))
+    found = distinct.join(book, hit).groupBy(*distinct.columns).agg(F.min_by("_category", "_ord").alias("_rule"))
     joined = rows.join(found, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left").drop(*distinct.columns)
-    return joined.withColumn("category", F.when(is_vat_perception(F.col(concept)), "RET_IVA").otherwise(F.col("_rule"))).drop("_rule")
+    return joined.withColumn("category", F.coalesce(vat, "_rule")).drop("_rule")
 
 
 def without_excluded(rows: DataFrame, concept: str, exclusions: DataFrame, bank: str | None = None) -> DataFrame:
-    """Rows whose normalized concept contains no exclusion (of its bank). Each distinct concept is tested once."""
+    """Rows whose normalized concept contains no exclusion (of its bank). The exclusions go to all tasks as an automaton; more than
+    BOOK_BYTES of them are joined to the distinct concepts instead."""
+    book = exclusions.select((F.col("bank") if bank else F.lit(None).cast("string")).alias("_bank"), F.lit(0).alias("_ord"), F.lit("contains").alias("_mode"), F.col("pattern").alias("_pattern"), F.lit("out").alias("_category"))
+    shared = _shared_book(rows, book)
+    if shared is not None:
+        found = first_category(shared, F.col(bank) if bank else F.lit(None).cast("string"), F.col(concept), norm_text(F.col(concept)))
+        return rows.where(found.isNull())
     keys = ([bank] if bank else []) + [concept]
     names = [f"_k{i}" for i in range(len(keys))]
     distinct = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).distinct()
-    book = exclusions.select(F.col("bank").alias("_bank"), norm_text(F.col("pattern")).alias("_pattern"))
-    hit = F.contains(norm_text(F.col(names[-1])), F.col("_pattern"))
+    hit = F.contains(norm_text(F.col(names[-1])), norm_text(F.col("_pattern")))
     out = distinct.join(book, hit & (F.col("_k0") == F.col("_bank")) if bank else hit, "left_semi")
     return rows.join(out, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "left_anti")
 

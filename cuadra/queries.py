@@ -73,6 +73,24 @@ def rule_first_match_join(spark, sf_dir):
     return classify.first_match_join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", rules).select("p_partkey", "category")
 
 
+_MANY_SQL = "SELECT p_partkey, p_name || ' N' || p_partkey AS concept FROM part"
+
+
+@query(f"""
+WITH t AS ({_MANY_SQL}),
+r AS (SELECT p_partkey * 5 + s AS ord, trim(substr(concept, CAST(1 + s * 2 + p_partkey % 7 AS BIGINT), 3 + (p_partkey + s) % 5)) AS pattern, 'C' || p_partkey % 97 AS category FROM t, range(5) AS s(s)),
+d AS (SELECT pattern, min(ord) AS ord, arg_min(category, ord) AS category FROM r WHERE pattern <> '' GROUP BY 1)
+SELECT p_partkey, arg_min(category, ord) AS category FROM t JOIN d ON contains(upper(concept), upper(pattern)) GROUP BY 1""")
+def rules_by_the_thousand(spark, sf_dir):
+    """Five rules for each part, all tried on the names of all parts."""
+    concept = F.concat("p_name", F.lit(" N"), "p_partkey")
+    parts = read(spark, sf_dir, "part").select("p_partkey", concept.alias("concept"))
+    made = parts.select("p_partkey", "concept", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s"))
+    pattern = F.substring("concept", (1 + F.col("s") * 2 + F.col("p_partkey") % 7).cast("int"), (3 + (F.col("p_partkey") + F.col("s")) % 5).cast("int"))
+    rules = made.select(F.lit("all").alias("bank"), (F.col("p_partkey") * 5 + F.col("s")).alias("ord"), F.lit("contains").alias("mode"), F.trim(pattern).alias("pattern"), F.concat(F.lit("C"), F.col("p_partkey") % 97).alias("category")).where("pattern <> ''")
+    return classify.first_match_join(parts, "concept", rules).where("category is not null").select("p_partkey", "category")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE NOT contains(upper(p_name), 'RED') AND NOT contains(upper(p_name), 'HOT GEAR')")
 def exclusion_anti(spark, sf_dir):
     out = spark.createDataFrame([("all", "red"), ("all", "Hot  Gear")], "bank string, pattern string")
