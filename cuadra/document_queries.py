@@ -13,6 +13,9 @@ from .functions import dates, jsontext, numbers, text
 from .operators import classify, frames, ingest, ledger
 from .plans import agent, bank, invoice, settlement
 from .queries import query, read
+from .sources.files import write_files
+from .sources.scratch import shared_folder
+from .sources.sheets import sheet_rows
 
 
 def _picked(n, *choices):
@@ -174,6 +177,44 @@ def bank_statement_rows(spark, sf_dir):
     return rows.select("file", "row_no", "date", "amount")
 
 
+def _workbook(pdf):
+    """One row with the workbook of a file's rows: blank ones after the last, more beyond them, and a second sheet."""
+    import pandas as pd
+
+    from .sources.sheets import xlsx
+
+    rows = [(k, [n if n == n and n is not None else c for c, n in zip(r.cells, r.nums, strict=True)]) for k, r in enumerate(pdf.sort_values("row_no").itertuples(), 1)]
+    beyond = [(rows[-1][0] + 200, rows[-1][1])]
+    return pd.DataFrame({"name": [pdf.file[0] + "x"], "content": [xlsx({pdf.sheet_name[0]: rows + beyond, "Notas": rows})]})
+
+
+@query(f"""
+WITH w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT {_FILE_SQL} || 'x' AS file, CAST(k + 2 AS INT) AS row_no, strftime(ts, '%d/%m/%Y') AS date, -CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM w WHERE event_id % 11 <> 0""")
+def bank_workbooks(spark, sf_dir):
+    """Statements written as a workbook each, with a blank tail and a second sheet, and read again through the window of the source."""
+    books = _cells(spark, sf_dir).groupBy("file").applyInPandas(_workbook, "name string, content binary")
+    at = write_files(books, shared_folder(spark, "workbooks"))
+    return bank.statement_rows(sheet_rows(spark, at, window=True)).select("file", "row_no", "date", "amount")
+
+
+@query(_BANK_SQL + f"""
+, amounts AS (SELECT file, user_id, unnest(range(9)) AS ord, unnest(['BANCO', 'GASTO', 'NETO_GRAVADO_POR_AJUSTE_IVA', 'IDC_A_COMPUTAR', 'IVA_CREDITO', 'RET_IVA', 'RET_IIBB', 'RET_GAN', 'OTROS']) AS category,
+  unnest([base + vat + idc + CAST(adjust AS DECIMAL(18,2)), -base, -CAST(adjust AS DECIMAL(18,2)), -idc, -vat, 0, 0, 0, 0]) AS amount FROM a),
+totals AS (SELECT file, user_id, string_agg('total_' || category || '=' || printf('%.2f', CAST(amount AS DOUBLE)) || chr(10), '' ORDER BY ord) AS t FROM amounts GROUP BY 1, 2),
+n AS (SELECT user_id, count(*) AS analyzed, count(*) FILTER (event_type IN ('signup', 'error', 'click') AND v >= 0.005) AS matched, count(*) FILTER (event_type = 'view') AS unknown FROM e GROUP BY 1)
+SELECT replace(file, '.xls', '.log') AS name, concat('archivo=', file, chr(10), 'banco=', CASE WHEN user_id % 2 = 0 THEN 'BNA' ELSE 'BPAT' END, chr(10), 'sheet=', CASE WHEN user_id % 2 = 0 THEN 'Hoja1 - Table 1' ELSE 'vertvert' END, chr(10),
+  'rows_analyzed=', analyzed, chr(10), 'rows_matched=', matched, chr(10), t, CASE WHEN unknown > 0 THEN concat('no_clasificados_top20:', chr(10), '- PAGO SERVICIO LUZ | cnt=', unknown, chr(10)) ELSE '' END) AS text
+FROM totals JOIN n USING (user_id)
+""")
+def bank_files(spark, sf_dir):
+    """The three files of every statement are written; the logs are read again."""
+    rules, out = classify.read_rules(spark)
+    at = bank.write_statements(_cells(spark, sf_dir), rules, out, F.lit("2020-01-01").cast("date"), shared_folder(spark, "statements"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(at)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("content").cast("string").alias("text"))
+
+
 # Card settlements: a page for each order; amounts are whole cents, so that both sides agree to the cent.
 
 _CENTS_SQL = "SELECT o_custkey, o_orderkey, t, t * 18 // 1000 AS f, t * 18 // 1000 * 21 // 100 AS i FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS t FROM orders WHERE o_totalprice > 100)"

@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import json
+import operator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, period_of_name
 from ..functions.numbers import MONEY, money, parse_ar, signed_amount, vat_control
-from ..functions.text import norm_text
+from ..functions.text import clean_control, norm_text
 from ..operators.classify import BANK_CATEGORIES, bank_label, clamp_category, first_match_join, without_excluded
 from ..operators.ledger import document_header, filled_categories, sums_by, with_contra
-
-#: Fixed: titles of the columns by bank, and what their sheets are called.
-COLUMNS = {
-    "BNA": {"date": "Fecha", "description": "Concepto", "amount": "Importe"},
-    "BPAT": {"date": "Fecha", "description": "Descripción", "amount": "Importe", "debit": "Débito", "credit": "Crédito"},
+from ..sources.files import write_files
+from ..sources.scratch import removed, written
+
+#: Fixed: the built-in book of banks, in the order in which they are tried: their names, sheets, headers and columns.
+BANKS = {
+    "BNA": {
+        "bank_name": "BANCO DE LA NACION ARGENTINA",
+        "detect": {"sheet_name_contains": ["HOJA1 - TABLE", "HOJA1"], "headers_any": ["Fecha", "Comprobante", "Concepto", "Importe"]},
+        "columns": {"date": "Fecha", "description": "Concepto", "amount": "Importe"},
+    },
+    "BPAT": {
+        "bank_name": "BANCO PATAGONIA S.A.",
+        "detect": {"sheet_name_contains": ["VERTVERT"], "headers_any": ["Fecha", "Descripción", "Débito", "Crédito"]},
+        "columns": {"date": "Fecha", "description": "Descripción", "debit": "Débito", "credit": "Crédito"},
+    },
 }
-REQUIRED = {"BNA": ["Fecha", "Comprobante", "Concepto", "Importe"], "BPAT": ["Fecha", "Descripción", "Débito", "Crédito"]}
-SHEETS = {"BNA": ["HOJA1 - TABLE", "HOJA1"], "BPAT": ["VERTVERT"]}
+#: Fixed: what a column is called where the book doesn't say.
+TITLES = {"date": "Fecha", "description": "Concepto", "amount": "Importe", "debit": "Debito", "credit": "Credito"}
+
+
+def read_banks(spark: SparkSession, path: str | None = None, beside: str | None = None, bundled: str | None = None) -> dict[str, dict]:
+    """The banks of a JSON rule book, by key, in its order: those of ``path`` where that is given, else of the first of ``beside`` and
+    ``bundled`` that exists, else the built-in ones. A file that isn't a rule book is an error."""
+    for place in [path] if path else [beside, bundled]:
+        if place and _exists(spark, place):
+            try:
+                banks = json.loads(spark.read.text(place, wholetext=True).first()[0])["banks"]  # one small file
+                assert all(isinstance(b, dict) for b in banks.values())
+            except (ValueError, KeyError, TypeError, AttributeError, AssertionError) as e:
+                raise ValueError(f"{place} is no rule book: {e!r}") from e
+            return banks
+    return BANKS
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def bank_names(banks: dict[str, dict]) -> dict[str, str]:
+    return {key: b.get("bank_name") or key for key, b in banks.items()}
 
 
 #: Unknown concepts that a control sheet lists.
@@ -25,53 +62,57 @@ UNKNOWN = 20
 
 
 def has_all(cells: Column, titles: list[str]) -> Column:
-    """Every title is within some cell."""
-    normal = F.transform(cells, norm_text)
+    """Every title is within the row: in a cell, or across cells that are joined by a bar."""
+    row = F.array_join(F.transform(cells, norm_text), " | ")
     out = F.lit(True)
     for title in map(norm_text, map(F.lit, titles)):
-        out = out & F.exists(normal, _containing(title))
+        out = out & F.contains(row, title)
     return out
 
 
-def _containing(title: Column):
-    return lambda cell: F.contains(cell, title)
-
-
 def column_of(header: Column, title: str) -> Column:
     """1-based place of the first cell that has the title; null without one."""
     return F.nullif(F.array_position(F.transform(header, lambda c: F.contains(norm_text(c), norm_text(F.lit(title)))), F.lit(True)), F.lit(0)).cast("int")
 
 
-def detect_bank(cells: DataFrame) -> DataFrame:
-    """bank and header_row of each file: by sheet name and titles, by the file's name, by what its first 80 rows say."""
-    heads, told = F, F
-    names = norm_text(F.col("sheet_name"))
+def _any_of(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, norm_text(F.lit(w)))
+    return out
+
+
+def detect_bank(cells: DataFrame, banks: dict[str, dict] = BANKS) -> DataFrame:
+    """bank and header_row of each file: the first bank of the book whose sheet name and titles it has; else by the file's name, then
+    by what its first 80 rows say, which know the built-in banks only. Both are null where nothing fits."""
+    sheet, name = norm_text(F.col("sheet_name")), norm_text(F.col("file"))
     by_rules = []
-    for bank, titles in REQUIRED.items():
-        sheet = F.lit(False)
-        for s in SHEETS[bank]:
-            sheet = sheet | F.contains(names, norm_text(F.lit(s)))
-        by_rules.append(F.when(F.max(sheet & has_all(F.col("cells"), titles)), F.lit(bank)))
-    text = norm_text(F.array_join(F.slice("cells", 1, 8), " "))
-    nacion, patagonia = F.contains(text, F.lit("NACION")), F.contains(text, F.lit("PATAGONIA"))
-    first = F.col("row_no") <= 80
-    name = norm_text(F.col("file"))
-    heads = heads.when(F.contains(name, F.lit("NACION")) | F.contains(name, F.lit("BNA")), "BNA").when(F.contains(name, F.lit("PATAGONIA")) | F.contains(name, F.lit("BPAT")), "BPAT")
-    told = told.when(F.max(first & nacion), "BNA").when(F.max(first & patagonia), "BPAT")
-    header = [F.min(F.when(has_all(F.col("cells"), t), F.col("row_no"))).alias(f"head_{b}") for b, t in REQUIRED.items()]
-    found = cells.groupBy("file").agg(F.coalesce(*by_rules, F.first(heads, ignorenulls=True), told).alias("bank"), *header)
-    at = F
-    for b in REQUIRED:
-        at = at.when(F.col("bank") == b, F.col(f"head_{b}"))
-    return found.select("file", "bank", at.alias("header_row"))
-
-
-def statement_rows(cells: DataFrame) -> DataFrame:
+    for bank, b in banks.items():
+        detect = b.get("detect") or {}
+        names, titles = detect.get("sheet_name_contains") or [], detect.get("headers_any") or []
+        fits = (_any_of(sheet, names) if names else F.lit(True)) & (has_all(F.col("cells"), titles) if titles else F.lit(True))
+        by_rules.append(F.when(F.max(fits), F.lit(bank)))
+    by_name = F.when(_any_of(name, ["BPAT", "PATAGONIA"]), "BPAT").when(_any_of(name, ["BNA", "NACION"]) | F.contains(name, F.lit("NAC ")), "BNA")
+    said = F.array_join(F.transform(F.slice("cells", 1, 8), norm_text), " | ")
+    says = lambda w: F.max((F.col("row_no") <= 80) & F.contains(said, F.lit(w)))
+    named = lambda *words: F.max(functools.reduce(operator.and_, [F.contains(sheet, F.lit(w)) for w in words]))
+    by_text = (
+        F.when(named("VERTVERT"), "BPAT").when(named("HOJA1", "TABLE"), "BNA")
+        .when(says("MOVIMIENTOS DE CUENTA") | (says("DEBITO") & says("CREDITO") & says("DESCRIPCION")), "BPAT")
+        .when(says("BANCO NACION") | says("ULTIMOS MOVIMIENTOS") | (says("COMPROBANTE") & says("CONCEPTO") & says("IMPORTE")), "BNA")
+    )
+    first_two = {bank: [(b.get("columns") or {})[r] for r in TITLES if (b.get("columns") or {}).get(r)][:2] for bank, b in banks.items()}
+    header = [F.min(F.when(has_all(F.col("cells"), t), F.col("row_no"))).alias(f"head_{k}") for k, t in enumerate(first_two.values())]
+    found = cells.groupBy("file").agg(F.coalesce(*by_rules, F.first(by_name, ignorenulls=True), by_text).alias("bank"), *header)
+    return found.select("file", "bank", _by_bank({b: F.col(f"head_{k}") for k, b in enumerate(banks)}).alias("header_row"))
+
+
+def statement_rows(cells: DataFrame, banks: dict[str, dict] = BANKS) -> DataFrame:
     """file, bank, row_no, date, concept and amount of the rows below each file's header that have a date and a concept."""
-    banks = detect_bank(cells).where("bank is not null and header_row is not null")
-    heads = cells.join(banks, "file").where("row_no = header_row")
-    place = lambda role: _by_bank({b: column_of(F.col("cells"), c[role]) for b, c in COLUMNS.items() if role in c})
-    heads = heads.select("file", "bank", "header_row", *[place(r).alias(f"at_{r}") for r in ("date", "description", "amount", "debit", "credit")])
+    found = detect_bank(cells, banks).where("bank is not null and header_row is not null")
+    heads = cells.join(found, "file").where("row_no = header_row")
+    place = lambda role: _by_bank({k: column_of(F.col("cells"), (b.get("columns") or {}).get(role) or TITLES[role]) for k, b in banks.items()})
+    heads = heads.select("file", "bank", "header_row", *[place(r).alias(f"at_{r}") for r in TITLES])
     # One narrow row per file: joined by file, broadcast where it is small.
     rows = cells.join(heads, "file").where("row_no > header_row")
     text = lambda r: F.try_element_at("cells", F.col(f"at_{r}"))
@@ -106,20 +147,88 @@ def ledger(rows: DataFrame) -> DataFrame:
     return filled_categories(closed, ["file"], BANK_CATEGORIES)
 
 
-#: Fixed: names of the banks in headers and ledgers.
-NAMES = {"BNA": "BANCO DE LA NACION ARGENTINA", "BPAT": "BANCO PATAGONIA S.A."}
-
-
-def ledger_lines(entries: DataFrame, banks: DataFrame) -> DataFrame:
+def ledger_lines(entries: DataFrame, found: DataFrame, banks: dict[str, dict] = BANKS) -> DataFrame:
     """``entries`` with BANCO named by the bank of its file."""
-    named = entries.join(banks.select("file", bank_label(_by_bank({b: F.lit(n) for b, n in NAMES.items()})).alias("_label")), "file", "left")
+    named = entries.join(found.select("file", bank_label(_by_bank({b: F.lit(n) for b, n in bank_names(banks).items()})).alias("_label")), "file", "left")
     return named.withColumn("category", F.when(F.col("category") == "BANCO", F.coalesce("_label", "category")).otherwise(F.col("category"))).drop("_label")
 
 
-def header_lines(banks: DataFrame, today: Column) -> DataFrame:
+def header_lines(found: DataFrame, today: Column, banks: dict[str, dict] = BANKS) -> DataFrame:
     """file and header: bank, subject, month end of the file's name (of today without one) and the concept of the ledger."""
-    name = _by_bank({b: F.lit(n) for b, n in NAMES.items()})
-    return banks.select("file", document_header("GB", name, F.lit("GASTOS BANCARIOS"), period_of_name(F.col("file"), today), name).alias("header"))
+    name = _by_bank({b: F.lit(n) for b, n in bank_names(banks).items()})
+    return found.select("file", document_header("GB", name, F.lit("GASTOS BANCARIOS"), period_of_name(F.col("file"), today), name).alias("header"))
+
+
+#: Fixed: how the category of the adjustment is written in controls and logs.
+ADJUSTMENT = "NETO_GRAVADO_POR_AJUSTE_IVA"
+CONTROL_TITLES = "LINEA\tCONCEPTO\tCATEGORIA\tCANTIDAD\tIMPORTE_TOTAL"
+SUMMARY_TITLES = "RESUMEN_POR_CATEGORIA\t\t\t\t\nLINEA\tCATEGORIA\tIMPORTE_TOTAL\t\t"
+VAT_TITLES = "IVA_21_CONTROL\t\t\t\t\nBASE_GASTO_21\tIVA_TEORICO_21\tIVA_CREDITO_REAL\tDIFERENCIA\tAJUSTE_NETO_GRAVADO\tBASE_AJUSTADA\tIVA_TEORICO_AJUSTADO\tDIF_POST_AJUSTE"
+
+
+def _two(x: Column) -> Column:
+    return F.format_string("%.2f", F.coalesce(x.cast("double"), F.lit(0.0)))
+
+
+def _joined(rows: DataFrame, order: Column, line: Column, name: str) -> DataFrame:
+    """A file's lines in order, as one text; a file has a line for each of its concepts or categories."""
+    lines = F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l"))))
+    return rows.groupBy("file").agg(F.concat(F.array_join(F.transform(lines, lambda x: x["l"]), "\n"), F.lit("\n")).alias(name))
+
+
+def _code(category: Column) -> Column:
+    return F.when(category == BANK_CATEGORIES[2], ADJUSTMENT).otherwise(category)
+
+
+def control_texts(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """file and text of each file's control sheet: concepts by absolute sum, the adjustment among them, then the categories of its
+    ledger, the control of its VAT, and an alert where that is more than 1 off. ``rows`` are classified, ``entries`` their ledger."""
+    c = controls(rows)
+    made = entries.where((F.col("category") == BANK_CATEGORIES[2]) & (F.abs("amount") >= 0.01)).select("file", F.lit(BANK_CATEGORIES[2]).alias("concept"), "category", F.lit(1).cast("long").alias("n"), F.col("amount").cast(MONEY).alias("amount"), F.lit(2**31 - 1).alias("first_row"))
+    concepts = c["concepts"].select("file", "concept", "category", "n", "amount", F.col("first_row").cast("int").alias("first_row")).unionByName(made)
+    concepts = concepts.withColumn("o", F.row_number().over(Window.partitionBy("file").orderBy(F.abs("amount").desc(), "first_row", "concept")))
+    first = _joined(concepts, F.col("o"), F.concat_ws("\t", F.col("o").cast("string"), F.trim(clean_control(F.col("concept"))), _code(F.col("category")), F.col("n").cast("string"), _two(F.col("amount"))), "concepts")
+    second = _joined(entries, F.col("ord"), F.concat(F.concat_ws("\t", (F.col("ord") + 1).cast("string"), _code(F.col("category")), _two(F.col("amount"))), F.lit("\t\t")), "summary")
+    figures = ["base", "vat_theory", "vat", "vat_diff", "base_adjustment", "base_adjusted", "vat_adjusted", "vat_diff_adjusted"]
+    alert = F.when(F.col("alert"), F.concat(F.lit("ALERTA_IVA_21\tDIFERENCIA detectada: "), _two(F.col("vat_diff")), F.lit(". Se sugiere ajuste neto gravado: "), _two(F.col("base_adjustment")), F.lit("\t\t\t\n")))
+    third = c["vat"].select("file", F.concat(F.concat_ws("\t", *[_two(F.col(f)) for f in figures]), F.lit("\n"), F.coalesce(alert, F.lit(""))).alias("vat"))
+    none = F.lit("\t".join(["0.00"] * len(figures)) + "\n")
+    whole = second.join(first, "file", "left").join(third, "file", "left")
+    return whole.select("file", F.concat(F.lit(CONTROL_TITLES + "\n"), F.coalesce("concepts", F.lit("")), F.lit("\n" + SUMMARY_TITLES + "\n"), "summary", F.lit("\n" + VAT_TITLES + "\n"), F.coalesce("vat", none)).alias("text"))
+
+
+def log_texts(cells: DataFrame, statement: DataFrame, rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """file and text of each file's log: its bank and sheet, rows analyzed (excluded ones too) and matched, the sum of each category,
+    and the concepts that no rule knows, the most frequent first."""
+    c = controls(rows)
+    sheets = cells.groupBy("file").agg(F.min_by("sheet_name", "row_no").alias("sheet"))
+    counts = statement.groupBy("file", "bank").agg(F.count("*").alias("analyzed")).join(c["counts"].select("file", "matched"), "file", "left")
+    totals = _joined(entries, F.col("ord"), F.concat(F.lit("total_"), _code(F.col("category")), F.lit("="), _two(F.col("amount"))), "totals")
+    unknown = c["unknown"].withColumn("o", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "first_row", "concept"))).where(F.col("o") <= UNKNOWN)
+    listed = _joined(unknown, F.col("o"), F.concat(F.lit("- "), F.col("concept"), F.lit(" | cnt="), F.col("n").cast("string")), "unknown")
+    whole = counts.join(sheets, "file").join(totals, "file", "left").join(listed, "file", "left")
+    line = lambda name, value: F.concat(F.lit(f"{name}="), F.coalesce(value.cast("string"), F.lit("")), F.lit("\n"))
+    parts = [line("archivo", F.col("file")), line("banco", F.col("bank")), line("sheet", F.col("sheet")), line("rows_analyzed", F.col("analyzed")), line("rows_matched", F.coalesce("matched", F.lit(0))), F.coalesce("totals", F.lit(""))]
+    return whole.select("file", F.concat(*parts, F.coalesce(F.concat(F.lit("no_clasificados_top20:\n"), "unknown"), F.lit(""))).alias("text"))
+
+
+def write_statements(cells: DataFrame, rules: DataFrame, exclusions: DataFrame, today: Column, folders: str | list[str], banks: dict[str, dict] = BANKS) -> str:
+    """Three files for each statement, in the first folder that can be written to: the ledger (.txt), its log (.log) and the control
+    of its concepts (_control_conceptos.xls, which is text). Returns the folder."""
+    spark = cells.sparkSession
+    statement, one = written(statement_rows(cells, banks), "statement")
+    rows, two = written(classified(statement, rules, exclusions), "classified")
+    entries, three = written(ledger(rows), "entries")
+    found, four = written(detect_bank(cells, banks), "banks")
+    lines = ledger_lines(entries, found, banks)
+    text = _joined(lines, F.col("ord"), F.concat("category", F.lit("|"), _two(F.col("amount"))), "lines")
+    text = header_lines(found, today, banks).join(text, "file").select("file", F.concat("header", "lines").alias("text"))
+    named = lambda df, end: df.select(F.concat(F.regexp_replace("file", r"\.[^.]*$", ""), F.lit(end)).alias("name"), F.col("text").alias("content"))
+    documents = named(text, ".txt").union(named(control_texts(rows, entries), "_control_conceptos.xls")).union(named(log_texts(cells, statement, rows, entries), ".log"))
+    try:
+        return write_files(documents, folders)
+    finally:
+        removed(spark, one, two, three, four)
 
 
 def control_sheets(rows: DataFrame) -> DataFrame:
