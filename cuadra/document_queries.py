@@ -13,6 +13,7 @@ from .functions import dates, jsontext, numbers, text
 from .operators import classify, frames, ingest, ledger
 from .plans import agent, bank, invoice, settlement
 from .queries import query, read
+from .sources import documents
 from .sources.files import write_files
 from .sources.scratch import shared_folder
 from .sources.sheets import sheet_rows
@@ -523,3 +524,26 @@ SELECT c_custkey, '{' || CASE c_custkey % 3 WHEN 0 THEN '"task":"AUTO","opcion":
 def request_bodies(spark, sf_dir):
     pairs = jsontext.request_names(_picked(_key(), " auto", "", None), _key().cast("string"), F.when(_key() % 2 == 0, F.col("c_name")).otherwise(" "))
     return _customers(spark, sf_dir, jsontext.request(*pairs).alias("body"))
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS page, CAST(round(o_totalprice * 100) AS BIGINT) AS size FROM orders),
+s AS (SELECT doc, page, sum(size) OVER (PARTITION BY doc ORDER BY page) AS upto FROM p),
+r AS (SELECT doc, 1 AS first, max(page) AS last, 1 AS round FROM p GROUP BY 1
+  UNION ALL SELECT doc, h.first, h.last, round + 1 FROM (
+    SELECT r.*, unnest([{'first': r.first, 'last': r.first + (r.last - r.first) // 2}, {'first': r.first + (r.last - r.first) // 2 + 1, 'last': r.last}]) AS h
+    FROM r JOIN s b ON b.doc = r.doc AND b.page = r.last LEFT JOIN s a ON a.doc = r.doc AND a.page = r.first - 1 WHERE r.last > r.first AND b.upto - coalesce(a.upto, 0) > 40000000)),
+z AS (SELECT r.*, b.upto - coalesce(a.upto, 0) AS size FROM r JOIN s b ON b.doc = r.doc AND b.page = r.last LEFT JOIN s a ON a.doc = r.doc AND a.page = r.first - 1)
+SELECT CAST(doc AS VARCHAR) AS doc, CAST(first AS INT) AS first, CAST(last AS INT) AS last, CAST(round AS INT) AS round, CASE WHEN size > 40000000 THEN NULL ELSE CAST(size AS VARCHAR) END AS text FROM z WHERE first = last OR size <= 40000000""")
+def ranges_by_halves(spark, sf_dir):
+    """A page for each order of a customer; requests for pages of more than 400,000 in all are too large and halved."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc"), "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("size"))
+    pages = frames.numbered(orders, ["doc"], ["o_orderkey"], "page")
+
+    def ask(ranges):
+        sizes = ranges.join(pages, "doc").where("page between first and last").groupBy("doc", "first", "last").agg(F.sum("size").alias("size"))
+        large = F.col("size") > 40_000_000
+        return sizes.select("doc", "first", "last", F.when(~large, F.col("size").cast("string")).alias("text"), F.when(large, "HTTP 413: too large").alias("error"))
+
+    ranges = pages.groupBy("doc").agg(F.lit(1).alias("first"), F.max("page").alias("last"))
+    return documents.answers_by_halves(ranges, ask)[0].select("doc", "first", "last", "round", "text")

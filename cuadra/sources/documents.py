@@ -5,6 +5,7 @@ Readers run in the tasks that hold the files; each yields rows, so nothing is ga
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 from collections.abc import Callable, Iterable
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import removed, written
+
 #: Fixed: MIME types by extension.
 MIME = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
 
@@ -104,6 +107,31 @@ def retry_smaller(units: DataFrame, answers: DataFrame, call: Callable[[str], st
     return answers.join(large, ["doc", "unit_no"], "left_anti").unionByName(again)
 
 
+def answers_by_halves(ranges: DataFrame, ask: Callable[[DataFrame], DataFrame], most_rounds: int = 32) -> tuple[DataFrame, list[str]]:
+    """Ask for ranges of pages (doc, first, last); where one is too large, ask for its halves, until they fit or are one page.
+
+    ``ask`` takes ranges and returns doc, first, last, text and error for each. Every round's answers are written once, in the shared
+    folder, so no request is made twice by a later round; a range of n pages takes at most 1 + log2(n) rounds. Returns doc, first,
+    last, text, error and round, whose ranges cover those that were asked for, each page once, and the folders, which can go when the
+    answers have been used. A single page that is too large keeps its error.
+    """
+    spark, done, folders = ranges.sparkSession, [], []
+    pending = ranges.select("doc", "first", "last")
+    for k in range(most_rounds):
+        got, at = written(ask(pending).select("doc", "first", "last", "text", "error"), "answers")
+        folders.append(at)
+        halved = is_too_large(F.col("error")) & (F.col("last") > F.col("first"))
+        done.append(got.where(~halved).withColumn("round", F.lit(k + 1)))
+        large = got.where(halved)
+        if large.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done), folders
+        middle = F.expr("first + (last - first) div 2")
+        pending = large.select("doc", F.inline(F.array(F.struct(F.col("first"), middle.alias("last")), F.struct((middle + 1).alias("first"), F.col("last")))))
+        pending = pending.select("doc", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    removed(spark, *folders)
+    raise ValueError(f"ranges are too large after {most_rounds} rounds")
+
+
 def prompt(spark: SparkSession, path: str | None, default: str, token: str, guard: str) -> str:
     """The text of a prompt's file, else the default; the guard goes before it where it lacks the token."""
     text = default if path is None else spark.read.text(path, wholetext=True).first()[0]
