@@ -286,3 +286,8 @@ def auto_tuning(pages: Column, kind: str) -> Column:
     chunk = (0, 0, 0) if kind == "invoice" else (0, 4, 5)
     make = lambda n, c: F.struct(F.lit(n).alias("tiles"), F.lit(c).alias("chunk"))
     return F.when(pages <= cuts[0], make(3, chunk[0])).when(pages <= cuts[1], make(4, chunk[1])).otherwise(make(5, chunk[2]))
+
+
+def asks_by_page(pages: Column, kind: str) -> Column:
+    """Whether a document of so many pages (an invoice of so many files) is asked for page by page."""
+    return pages > (1 if kind == "invoice" else 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import age_seconds
 from ..functions.text import date_token, norm_path, provider_key, voucher_token
+from ..sources.scratch import removed, written
 
 #: Fixed: extensions by folder kind.
 EXTENSIONS = {"tarjetas": ["pdf", "png", "jpg", "jpeg"], "compras": ["pdf", "png", "jpg", "jpeg"], "bancos": ["xls", "xlsx"]}
@@ -81,6 +82,56 @@ def retained(ledger: DataFrame, now: Column, days: int = 7, ts: str = "ts") -> D
     return kept.where(F.col("day") >= F.to_date(since)) if "day" in ledger.columns else kept
 
 
+def compacted(spark: SparkSession, path: str, before: str, key: str = "name", ts: str = "ts") -> int:
+    """Rewrite the days of a ledger (a folder of Parquet by ``day``, then perhaps finer) before the date ``before``: of each key only
+    its last entry stays, in the folder of its day. Returns how many entries went.
+
+    Days are read and written once. Each old day is replaced as a whole, by renames, after all that is to stay has been written. A
+    run that ends halfway loses nothing: the next puts back a day that was being replaced, and what else is left over are entries
+    that aren't the last. No stream may write to the old days meanwhile; those that hold the ledger's lease write to the day that it is.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside, fresh = f"{path}/_replaced", f"{path}/_compacted"
+    for day in [s.getPath().getName() for s in fs.listStatus(hadoop.Path(aside))] if fs.exists(hadoop.Path(aside)) else []:
+        if not fs.exists(hadoop.Path(f"{path}/{day}")):
+            fs.rename(hadoop.Path(f"{aside}/{day}"), hadoop.Path(f"{path}/{day}"))
+    fs.delete(hadoop.Path(aside), True)
+    fs.delete(hadoop.Path(fresh), True)
+    ledger = spark.read.parquet(path)
+    finer = [c for c in ledger.columns if c not in ("day",) and c in _folders(spark, path)]
+    old = ledger.where(F.col("day") < F.lit(before).cast("date"))
+    order = F.struct(ts, *sorted(c for c in ledger.columns if c not in (ts, key)))
+    last = old.groupBy(key).agg(F.max_by(F.struct(*ledger.columns), order).alias("e")).select("e.*")
+    kept, at = written(last, "ledger")
+    n, left = old.count(), kept.count()
+    if n > left:
+        days = [r["day"] for r in old.select("day").distinct().collect()]  # one row for each day
+        kept.repartition("day").write.partitionBy("day", *finer).parquet(fresh)
+        fs.mkdirs(hadoop.Path(aside))
+        for day in sorted(days):
+            place, new, old_day = (hadoop.Path(f"{p}/day={day}") for p in (path, fresh, aside))
+            fs.rename(place, old_day)
+            if fs.exists(new):
+                fs.rename(new, place)
+            fs.delete(old_day, True)
+        fs.delete(hadoop.Path(fresh), True)
+        fs.delete(hadoop.Path(aside), True)
+    removed(spark, at)
+    return n - left
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the columns that a table's folders stand for."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs, at, found = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path(path), []
+    while at is not None:
+        below = [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and "=" in s.getPath().getName()]
+        at = below[0] if below else None
+        found += [at.getName().split("=")[0]] if below else []
+    return found
+
+
 def status_of_log(text: Column) -> Column:
     """What a status log's first STATUS line says, upper case; null without one."""
     return F.nullif(F.upper(F.trim(F.regexp_extract(text, r"(?m)^STATUS=(.*)$", 1))), F.lit(""))

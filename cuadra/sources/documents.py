@@ -25,19 +25,27 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, folder: str, read_pages: Callable[[bytes], Iterable[str]]) -> DataFrame:
-    """file, page_no (from 1), text. Files that can't be read give no rows; empty pages give empty texts."""
+    """file, page_no (from 1), text. Files that can't be read give no rows here, and one in ``unread``; empty pages give empty texts."""
+    return _read_pages(spark, folder, read_pages).where("error is null").drop("error")
 
+
+def unread(spark: SparkSession, folder: str, read_pages: Callable[[bytes], Iterable[str]]) -> DataFrame:
+    """file and error of the files that can't be read, for the quarantine."""
+    return _read_pages(spark, folder, read_pages).where("error is not null").select("file", "error")
+
+
+def _read_pages(spark: SparkSession, folder: str, read_pages: Callable[[bytes], Iterable[str]]) -> DataFrame:
     def task(it):
         for pdf in it:
             rows = []
             for name, content in zip(pdf.file, pdf.content, strict=True):
                 try:
-                    rows += [(name, k, t or "") for k, t in enumerate(read_pages(bytes(content)), 1)]
-                except Exception:  # an unreadable file is skipped
-                    continue
-            yield pd.DataFrame(rows, columns=["file", "page_no", "text"])
+                    rows += [(name, k, t or "", None) for k, t in enumerate(read_pages(bytes(content)), 1)]
+                except Exception as e:
+                    rows.append((name, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["file", "page_no", "text", "error"]).astype({"page_no": "Int32"})
 
-    return _files(spark, folder).mapInPandas(task, "file string, page_no int, text string")
+    return _files(spark, folder).mapInPandas(task, "file string, page_no int, text string, error string")
 
 
 def page_counts(files: DataFrame, pages: DataFrame) -> DataFrame:

@@ -122,3 +122,18 @@ def test_folders_fall_back(spark, tmp_path):
     docs = spark.createDataFrame([("a.txt", b"x")], "name string, content binary")
     assert write_files(docs, [bad, good]) == good and os.listdir(good) == ["a.txt"]
     assert files.DocumentFiles.name() == "document_files"
+
+
+def test_files_that_cannot_be_read_are_told(spark, tmp_path):
+    from cuadra.sources.documents import page_texts, unread
+
+    (tmp_path / "a.pdf").write_bytes(b"one two")
+    (tmp_path / "b.pdf").write_bytes(b"")
+
+    def read(data):
+        if not data:
+            raise ValueError("no pages")
+        return data.decode().split()
+
+    assert [tuple(r) for r in unread(spark, str(tmp_path), read).collect()] == [("b.pdf", "ValueError: no pages")]
+    assert page_texts(spark, str(tmp_path), read).count() == 2

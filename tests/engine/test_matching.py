@@ -53,3 +53,8 @@ def test_book_and_join_agree(spark, monkeypatch, most):
     if most:
         plan = every._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_asks_by_page(spark):
+    got = spark.range(1, 5).select(classify.asks_by_page(F.col("id"), "invoice").alias("i"), classify.asks_by_page(F.col("id"), "settlement").alias("s")).collect()
+    assert [(r.i, r.s) for r in got] == [(False, False), (True, False), (True, True), (True, True)]

@@ -119,6 +119,23 @@ def test_retention_reads_only_its_days(spark, tmp_path):
     assert [r.name for r in kept.collect()] == ["f2"]
 
 
+def test_old_days_are_compacted(spark, tmp_path):
+    from cuadra.operators.ingest import compacted
+
+    at = str(tmp_path / "ledger")
+    rows = [("2024-01-01", "a", "ERROR"), ("2024-01-01", "b", "OK"), ("2024-01-02", "a", "OK"), ("2024-01-03", "c", "OK"), ("2024-01-05", "a", "ERROR"), ("2024-01-05", "d", "OK")]
+    for k, day in enumerate(sorted({r[0] for r in rows})):
+        agent.record(spark, at, f"s{k % 2}", k, lambda day=day: spark.createDataFrame([r[1:] for r in rows if r[0] == day], "name string, status string").select("*", F.lit(f"{day} 10:00:00").cast("timestamp").alias("ts"), F.lit("").alias("message")))
+    before = sorted(map(tuple, agent.read_ledger(spark, at).collect()))
+    assert compacted(spark, at, "2024-01-05") == 1 and compacted(spark, at, "2024-01-05") == 0
+    after = sorted(map(tuple, agent.read_ledger(spark, at).collect()))
+    assert [r for r in before if r not in after] == [r for r in before if (r[0], r[1], str(r[4])) == ("a", "ERROR", "2024-01-01")] and len(after) == 5
+    (tmp_path / "ledger" / "_replaced").mkdir()
+    (tmp_path / "ledger" / "day=2024-01-03").rename(tmp_path / "ledger" / "_replaced" / "day=2024-01-03")  # a run that ended halfway
+    assert compacted(spark, at, "2030-01-01") == 1 and not [n for n in (tmp_path / "ledger").iterdir() if n.name.startswith(("_compacted", "_replaced"))]
+    assert sorted((r.name, r.status) for r in agent.read_ledger(spark, at).collect()) == [("a", "ERROR"), ("b", "OK"), ("c", "OK"), ("d", "OK")]
+
+
 def test_lease(spark, tmp_path):
     at = str(tmp_path / "l")
     a = Lease(spark, at, "a").acquire()
