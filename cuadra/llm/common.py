@@ -175,6 +175,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before or not now["n"]:
             break
         before = now
+    else:  # rounds grow with the logarithm of the longest path
+        raise RuntimeError("components are unfinished after 60 rounds")
     labels = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("id"), "label")
     return labels.union(labels.select(F.col("label").alias("id"), "label").distinct())
 

@@ -136,6 +136,25 @@ def test_op12_on_a_fixture(spark, documents, tmp_path, odd_rows):
     assert sum(zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows) > 10
 
 
+def _runs_by_period(words):
+    """As _runs, with an array for each period, for long texts."""
+    codes = np.unique(np.array(words, object), return_inverse=True)[1] if words else np.empty(0, int)
+    found = {}
+    for q in range(1, len(codes) // 2 + 1):
+        edge = np.diff(np.r_[0, (codes[:-q] == codes[q:]).astype(int), 0])
+        for s, e in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + q).tolist(), strict=True):
+            if e - s >= max(12, 2 * q):
+                found.setdefault((s, e), q)
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def test_op12_on_the_documents(spark, sf_dir, monkeypatch):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    monkeypatch.setitem(globals(), "_runs", _runs_by_period)
+    got = Counter(map(tuple, periodic_runs.op12(spark, sf_dir).collect()))
+    assert got == Counter(_digests(r.doc_id, r.text) for r in rows) and sum(r[1] > 0 for r in got) > 10
+
+
 def test_long_text_with_long_periods(spark, documents):
     part = " ".join(f"w{k % 1009}" for k in range(70_000))
     got = periodic_runs.collapse_runs(documents([(1, f"{part} {part} tail"), (2, "a " * 300_000)])).orderBy("doc_id").collect()
