@@ -20,11 +20,14 @@ from .near_dedup import band_hashes
 
 K = 256
 SHINGLE = 5
+#: A pair at a similarity of 0.8 shares no band with a probability of (1 - 0.8 ** 5) ** 40, about 1 in 10 million.
+BANDS, ROWS = 40, 5
+#: Classes of a band that meet a query in one task.
+CROWD = 4096
 
 
-def fingerprint(hashes: MinHash, text: str, n: int = SHINGLE) -> np.ndarray:
-    """K samples of 16 bits; a text without words has the fingerprint of zeros."""
-    s = shingle_set(text, n)
+def fingerprint(hashes: MinHash, s: np.ndarray) -> np.ndarray:
+    """K samples of 16 bits of a set of shingles; that of a text without words is zeros."""
     # Minima are small numbers; mixing spreads them over 16 bits.
     return (mix(hashes.samples(s).astype(np.uint64)) & np.uint64(0xFFFF)).astype(">u2") if len(s) else np.zeros(hashes.k, ">u2")
 
@@ -35,11 +38,24 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (same - 2**-16) / (1 - 2**-16))
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of sets of shingles, which are sorted; sets without shingles are like nothing."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
+
+
+def verified(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> float | None:
+    """Jaccard similarity of two sets whose fingerprints ``a`` and ``b`` share a band; None where they share none."""
+    bands = min(BANDS, len(a) // ROWS)
+    same = (a[: bands * ROWS] == b[: bands * ROWS]).reshape(bands, ROWS).all(1).any()
+    return jaccard(x, y) if len(x) and len(y) and same else None
+
+
 def _fingerprints(k: int, n: int):
     def task(it):
         hashes = MinHash(k)
         for pdf in it:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "fingerprint": [fingerprint(hashes, t or "", n).tobytes().hex() for t in pdf.text]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "fingerprint": [fingerprint(hashes, shingle_set(t, n)).tobytes().hex() for t in pdf.text]})
 
     return task
 
@@ -67,43 +83,59 @@ def membership(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(rows.groupBy("key").agg(F.min("doc_id").alias("representative")), "key").select("doc_id", "representative")
 
 
-def similar_to(queries: DataFrame, docs: DataFrame, similarity: float = 0.8, bands: int = 32, rows: int = 6, shingle: int = SHINGLE) -> DataFrame:
+def similar_to(queries: DataFrame, docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """Documents of ``docs`` like each document of a stated query set: query_id, doc_id, jaccard >= ``similarity``.
 
     Signature bands are joined in Spark on class representatives (equal shingle sets are one class), and Jaccard similarities are
     verified on full sets. Returns pairs of representatives, the least doc_id of their classes; ``membership`` of each
     side has the other documents of the classes.
+
+    A band of over ``crowd`` classes is dealt out into parts, and its queries go to each. Both sides are signed once and written; only
+    candidates fetch their texts again. Null ids and wordless texts are like nothing; an empty table on either side gives an empty one.
     """
-    k = bands * rows
 
     def sign(it):
-        hashes = MinHash(k)
+        hashes = MinHash(bands * rows)
         for pdf in it:
             out = []
-            for d, t in zip(pdf.doc_id, pdf.text, strict=True):
+            for d, th, t in zip(pdf.doc_id, pdf.th, pdf.text, strict=True):
                 s = shingle_set(t, shingle)
                 if len(s):
-                    out.append((d, s.tobytes(), band_hashes(hashes.samples(s), bands, rows)))
-            yield pd.DataFrame(out, columns=["doc_id", "members", "bands"])
+                    out.append((d, th, xxhash.xxh3_128_digest(s.tobytes()), band_hashes(hashes.samples(s), bands, rows)))
+            yield pd.DataFrame(out, columns=["doc_id", "th", "key", "bands"])
 
-    def jaccard(it):
+    def members(it):
         for pdf in it:
-            out = []
-            for q, d, a, b in zip(pdf.query_id, pdf.doc_id, pdf.a, pdf.b, strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((q, d, shared / (len(x) + len(y) - shared)))
-            yield pd.DataFrame(out, columns=["query_id", "doc_id", "jaccard"])
-
-    def classes(df: DataFrame) -> DataFrame:
-        signed_rows = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, schema(doc_id=LONG, members=BIN, bands=T.ArrayType(LONG)))
-        return signed_rows.groupBy("members").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+            yield pd.DataFrame({"key": pdf.key, "members": [shingle_set(t, shingle).tobytes() for t in pdf.text]})
 
-    left, right = classes(queries).withColumnRenamed("doc_id", "query_id"), classes(docs)
-    q, d = left.select("query_id", F.explode("bands").alias("band")), right.select("doc_id", F.explode("bands").alias("band"))
-    pairs = q.join(d, "band").select("query_id", "doc_id").distinct()
-    full = pairs.join(left.select("query_id", F.col("members").alias("a")), "query_id").join(right.select("doc_id", F.col("members").alias("b")), "doc_id")
-    return full.select("query_id", "doc_id", "a", "b").mapInPandas(jaccard, schema(query_id=LONG, doc_id=LONG, jaccard=DBL)).where(F.col("jaccard") >= similarity)
+    def verify(it):
+        for pdf in it:
+            found = [jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(pdf.a, pdf.b, strict=True)]
+            yield pd.DataFrame({"query_id": pdf.query_id, "doc_id": pdf.doc_id, "jaccard": found})
+
+    def side(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        texts = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+        found = texts.mapInPandas(sign, schema(doc_id=LONG, th=LONG, key=BIN, bands=T.ArrayType(LONG)))
+        return texts, spill(found.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.any_value("bands").alias("bands")))
+
+    def sets(texts: DataFrame, classes: DataFrame, keys: DataFrame, name: str, value: str) -> DataFrame:
+        wanted = spill(classes.join(keys.distinct(), "key", "left_semi").select("key", "first.doc_id", "first.th"))
+        full = texts.join(wanted, ["doc_id", "th"]).select("key", "text").mapInPandas(members, schema(key=BIN, members=BIN))
+        once = spill(full.groupBy("key").agg(F.any_value("members").alias(value)))  # rows that repeat id and text
+        return once.join(classes.select("key", F.col("first.doc_id").alias(name)), "key")
+
+    (texts_q, left), (texts_d, right) = side(queries), side(docs)
+    q, d = left.select(F.col("key").alias("q"), F.explode("bands").alias("band")), right.select(F.col("key").alias("d"), F.explode("bands").alias("band"))
+    # At most bands / crowd rows for each class.
+    crowded = spill(d.groupBy("band").agg(F.ceil(F.count("*") / crowd).cast("int").alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    d = d.join(crowded, "band", "left").select("band", "d", F.pmod(F.xxhash64("d"), parts).cast("int").alias("part"))
+    q = q.join(crowded, "band", "left").select("band", "q", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = spill(q.join(d, ["band", "part"]).select("q", "d").distinct())
+    a = sets(texts_q, left, pairs.select(F.col("q").alias("key")), "query_id", "a").withColumnRenamed("key", "q")
+    b = sets(texts_d, right, pairs.select(F.col("d").alias("key")), "doc_id", "b").withColumnRenamed("key", "d")
+    full = pairs.join(a, "q").join(b, "d").select("query_id", "doc_id", "a", "b")
+    return full.mapInPandas(verify, schema(query_id=LONG, doc_id=LONG, jaccard=DBL)).where(F.col("jaccard") >= similarity)
 
 
 def edited(text: str, after: str) -> str:
@@ -117,23 +149,26 @@ def _compare(k: int, n: int):
         hashes = MinHash(k)
 
         def row(now, after):
-            d, text, own = now
+            d, text, own, mine = now
             text2 = edited(text, after[1])
-            other = fingerprint(hashes, text2, n)
-            return d, len(text), hashlib.sha256(text2.encode()).hexdigest(), own.tobytes().hex(), other.tobytes().hex(), likeness(own, other), likeness(own, after[2])
+            set2 = shingle_set(text2, n)
+            other = fingerprint(hashes, set2)
+            near = likeness(own, other), likeness(own, after[2]), verified(mine, set2, own, other), verified(mine, after[3], own, after[2])
+            return d, len(text), hashlib.sha256(text2.encode()).hexdigest(), own.tobytes().hex(), other.tobytes().hex(), *near
 
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = _RESULT.names
         bucket, now = None, None
         for pdf in it:
             out = []
-            for b, d, t, guest in zip(pdf.bucket, pdf.doc_id, pdf.text, pdf.guest, strict=True):
+            for b, known, d, t, guest in zip(pdf.bucket, pdf.known, pdf.doc_id, pdf.text, pdf.guest, strict=True):
                 if guest and (b != bucket or now is None):  # only the first one follows
                     continue
-                this = (None if pd.isna(d) else int(d), t or "", fingerprint(hashes, t or "", n))
+                words = shingle_set(t, n)
+                this = (int(d) if known else None, t or "", fingerprint(hashes, words), words)
                 if now is not None and b == bucket:
                     out.append(row(now, this))
                 bucket, now = b, None if guest else this
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "jaccard_edited": float, "jaccard_next": float})
 
     return task
 
@@ -145,27 +180,29 @@ def compare_with_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> D
     come last; rows that repeat a doc_id are ordered by text, descending; a single row follows itself. An empty table gives an
     empty one.
 
+    ``near_edited`` and ``near_next`` are estimates; ``jaccard_edited`` and ``jaccard_next`` are the similarities themselves, verified on full sets,
+    of the pairs whose fingerprints share a band, and null for the others.
+
     One shuffle deals texts out by ranges of doc_id. The first row of each range also goes to the end of the range before it; only
     these ids, one for each range, reach the driver.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged, n = range_buckets(docs, "doc_id")
-    none = F.lit(-(1 << 63))
-    ranged = ranged.select((n - 1 - F.col("bucket")).alias("bucket"), F.coalesce("doc_id", none).alias("doc_id"), "text")
-    first = ranged.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).sort("bucket").collect()
+    # Null ids are those that aren't known; their number means nothing.
+    ranged = ranged.select((n - 1 - F.col("bucket")).alias("bucket"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
+    first = ranged.groupBy("bucket").agg(F.max(F.struct("known", "doc_id")).alias("m")).select("bucket", "m.*").sort("bucket").collect()
     if not first:
         return docs.mapInPandas(_none, _RESULT)
-    # The first rows of buckets, a row of two numbers for each bucket, also go to the bucket before.
-    to = docs.sparkSession.createDataFrame([(int(r["doc_id"]), int(first[k - 1]["bucket"])) for k, r in enumerate(first)], "doc_id long, goes_to int")
+    # The first rows of buckets, a row of three values for each bucket, also go to the bucket before.
+    to = docs.sparkSession.createDataFrame([(r["known"], int(r["doc_id"]), int(first[k - 1]["bucket"])) for k, r in enumerate(first)], "known boolean, doc_id long, goes_to int")
     own = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("guest"))
     both = F.when(F.col("goes_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("goes_to").alias("bucket"), F.lit(1).alias("guest"))))
-    every = ranged.join(F.broadcast(to), "doc_id", "left").select("doc_id", "text", F.explode(both).alias("at")).select("at.*", "doc_id", "text")
-    ordered = every.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), F.desc("text"))
-    out = ordered.select("bucket", "doc_id", "text", "guest").mapInPandas(_compare(k, shingle), _RESULT)
-    return out.withColumn("doc_id", F.nullif("doc_id", none))
+    every = ranged.join(F.broadcast(to), ["known", "doc_id"], "left").select("known", "doc_id", "text", F.explode(both).alias("at")).select("at.*", "known", "doc_id", "text")
+    ordered = every.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "guest", F.desc("known"), F.desc("doc_id"), F.desc("text"))
+    return ordered.select("bucket", "known", "doc_id", "text", "guest").mapInPandas(_compare(k, shingle), _RESULT)
 
 
-_RESULT = schema(doc_id=LONG, n_chars=LONG, edited_sha256=STR, fingerprint=STR, edited_fingerprint=STR, near_edited=DBL, near_next=DBL)
+_RESULT = schema(doc_id=LONG, n_chars=LONG, edited_sha256=STR, fingerprint=STR, edited_fingerprint=STR, near_edited=DBL, near_next=DBL, jaccard_edited=DBL, jaccard_next=DBL)
 
 
 def _none(it):

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DBL, LONG, by_length, gram_hashes, schema, token_codes, word_hashes
+from .common import DBL, LONG, by_length, gram_hashes, schema, spill, token_codes, word_hashes
 
 #: Buckets of hashed words, rank of the interactions, labelled rows that are learnt from at most, and passes over them.
 BUCKETS, RANK, SAMPLE, EPOCHS = 1 << 15, 8, 6000, 6
+#: Numbers (index and value, 8 bytes) that all labelled rows which are learnt from have at most; one row has 32,784 at most.
+PAIRS = 16_000_000
 THRESHOLD = 0.7
 STATISTICS = 16
 
@@ -134,7 +136,7 @@ class FactorisationMachine:
 def _features(it):
     for pdf in by_length(it):
         x = features(pdf.text, pdf.n_chars)
-        yield pd.DataFrame({"label": pdf.label, "at": [a for a, _ in x], "x": [v for _, v in x]})
+        yield pd.DataFrame({"doc_id": pdf.doc_id, "label": pdf.label, "at": [a for a, _ in x], "x": [v for _, v in x]})
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -147,9 +149,9 @@ def fold(mod: int):
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine:
-    """Fit on at most ``sample`` of the labelled rows (doc_id, label), the first by the hash of their id; null labels don't count, and of
-    rows that repeat a doc_id one does, the one of the greatest text.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS) -> FactorisationMachine:
+    """Fit on at most ``sample`` of the labelled rows (doc_id, label), the first by the hash of their id, as long as they have at most
+    ``pairs`` features in all; null labels don't count, and of rows that repeat a doc_id one does, the one of the greatest text.
 
     Without rows of both labels, every score is the share of label 1 (a half without any row).
     """
@@ -158,7 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     rows = _input(docs).join(F.broadcast(chosen), "doc_id")
     one = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("text"), F.desc_nulls_last("n_chars"))
     rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("doc_id", "label", "text", "n_chars")
-    got = rows.mapInPandas(_features, schema(label=T.IntegerType(), at=T.ArrayType(T.IntegerType()), x=T.ArrayType(T.FloatType()))).toPandas()
+    found = spill(rows.mapInPandas(_features, schema(doc_id=LONG, label=T.IntegerType(), at=T.ArrayType(T.IntegerType()), x=T.ArrayType(T.FloatType()))))
+    # Sizes of at most ``sample`` rows, two numbers each, are summed in order.
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    few = found.select("doc_id", F.sum(F.size("at")).over(order).alias("n")).where(F.col("n") <= pairs).select("doc_id")
+    got = found.join(F.broadcast(few), "doc_id").select("label", "at", "x").toPandas()
     model = FactorisationMachine()
     y = got.label.to_numpy(np.float32)
     if len(y) and 0 < y.sum() < len(y):

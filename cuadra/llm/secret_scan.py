@@ -47,6 +47,8 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
 
 
 def _classes(token: Column) -> Column:
+    """Numbers of the classes of a token's characters. Letters of one without lower-case ones, as in constants, count as lower-case."""
+    token = F.when(token.rlike("[a-z]"), token).otherwise(F.lower(token))
     one = lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97).when(c.between("A", "Z"), 26).when(c.between("0", "9"), 27).otherwise(28)
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), one)
 
@@ -164,7 +166,8 @@ WITH ids AS (SELECT id, sha256(CAST(id AS VARCHAR)) AS h FROM range(4000) t(id)
     WHEN 2 THEN array_to_string(p, '-') WHEN 3 THEN array_to_string(p, '/') ELSE array_to_string(p, '') END
     || CASE WHEN n[7] % 5 < 2 THEN '_' || (n[8] % 100) ELSE '' END, 0 FROM parts
 ), sample_pairs AS (
-  SELECT label, unnest(list_transform(range(1, length(token)), lambda i: (CLASS1) * 29 + (CLASS2))) AS pair FROM samples
+  SELECT label, unnest(list_transform(range(1, length(token)), lambda i: (CLASS1) * 29 + (CLASS2))) AS pair
+  FROM (SELECT label, CASE WHEN regexp_matches(token, '[a-z]') THEN token ELSE lower(token) END AS token FROM samples)
 ), counts AS (SELECT label, pair, count(*) AS n FROM sample_pairs GROUP BY ALL
 ), cells AS (SELECT label, pair, coalesce(n, 0) AS n FROM (SELECT * FROM (VALUES (0), (1)) l(label), range(841) r(pair)) LEFT JOIN counts USING (label, pair)
 ), logs AS (SELECT label, pair, ln((n + 1) / (sum(n) OVER (PARTITION BY label, pair // 29) + 29)) AS p FROM cells
@@ -176,7 +179,8 @@ WITH ids AS (SELECT id, sha256(CAST(id AS VARCHAR)) AS h FROM range(4000) t(id)
   UNION ALL SELECT r, 2, regexp_split_to_array(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+') FROM d
   UNION ALL SELECT r, 3, regexp_split_to_array(text, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}') FROM d
 ), one AS (SELECT r, kind, unnest(range(1, len(found) + 1)) AS i, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS token, unnest(v) AS value FROM matches WHERE len(found) > 0
-), placed AS (SELECT r, kind, token, value, sum(length(gap) + length(token)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM one
+), folded AS (SELECT * REPLACE (CASE WHEN kind < 3 OR regexp_matches(token, '[a-z]') THEN token ELSE lower(token) END AS token) FROM one
+), placed AS (SELECT r, kind, token, value, sum(length(gap) + length(token)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM folded
 ), judged AS (
   SELECT r, kind, CAST(stop - length(token) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop,
     CASE kind WHEN 0 THEN length(value) >= 12 WHEN 1 THEN length(token) >= 18 WHEN 2 THEN length(token) >= 16

@@ -1,4 +1,10 @@
+import base64
 import hashlib
+import importlib
+import random
+import re
+import string
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -131,6 +137,39 @@ def test_random_strings_are_found(spark, documents):
     assert got[1] == [(3, 4, 31)] and got[2] == [] and [k for k, _, _ in got[3]] == [0]
 
 
+def _names_of_libraries():
+    """Real names of 20 characters or more, which aren't made of the parts that the models are trained on."""
+    modules = ["os", "ssl", "socket", "http", "unittest", "logging", "asyncio", "inspect", "numpy", "pandas", "pyspark.sql.functions", "pyspark.sql.types"]
+    held = [importlib.import_module(m) for m in modules]
+    names = {n for m in held for n in dir(m)} | {n for m in held for x in vars(m).values() if isinstance(x, type) for n in dir(x)}
+    return sorted(n for n in names if re.fullmatch(r"[A-Za-z0-9_]{20,}", n))
+
+
+def test_planted_random_tokens(spark, sf_dir):
+    """Tokens without a keyword, in the midst of whole documents: recall of each kind, and false alarms of real names."""
+    rng = random.Random(5)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kinds = {
+        "lower": lambda: pick(string.ascii_lowercase, 32), "upper": lambda: pick(string.ascii_uppercase, 32), "letters": lambda: pick(string.ascii_letters, 32),
+        "base32": lambda: base64.b32encode(rng.randbytes(20)).decode(), "short": lambda: pick(string.ascii_letters + string.digits, 24),
+        "base64": lambda: base64.b64encode(rng.randbytes(30)).decode(), "url": lambda: base64.urlsafe_b64encode(rng.randbytes(24)).decode(),
+    }
+    tokens = [(kind, make()) for kind, make in kinds.items() for _ in range(60)] + [("name", n) for n in _names_of_libraries()]
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    rows = []
+    for k, (_, token) in enumerate(tokens):
+        text = texts[k % len(texts)]
+        at = max(0, text.find(" ", len(text) // 2))
+        rows.append((k, f"{text[:at]} {token} {text[at:]}", at + 1, at + 1 + len(token)))
+    got = {r.doc_id: r.secrets for r in secret_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(8)).collect()}
+    found = defaultdict(list)
+    for (kind, _), (k, _, a, b) in zip(tokens, rows, strict=True):
+        found[kind].append(any(s.kind == 3 and s.start <= a and s.end >= b for s in got[k]))
+    share = {kind: sum(x) / len(x) for kind, x in found.items()}
+    assert min(share[kind] for kind in kinds) >= 0.95, share
+    assert len(found["name"]) > 300 and share["name"] <= 0.03, share
+
+
 def test_markov_models_tell_held_out_samples_apart(spark):
     every = secret_scan.labelled_samples(spark).withColumn("fold", F.pmod(F.xxhash64("token"), F.lit(4)))
     ratios = secret_scan.train(every.where("fold <> 0"))
