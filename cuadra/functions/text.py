@@ -2,29 +2,52 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _folding() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended whose decomposition is one base letter with marks, and those letters."""
-    source, target = [], []
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base != chr(code):
-            source.append(chr(code))
-            target.append(base)
-    return "".join(source), "".join(target)
+HANGUL, SYLLABLES = 0xAC00, 11172
 
 
-FOLD_FROM, FOLD_TO = _folding()
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Characters whose canonical decomposition without marks is one other character, then all marks; these other characters; and
+    those where several are left. Syllables of Hangul, which are decomposed by arithmetic, aren't listed."""
+    source, target, several, marks = [], [], {}, []
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if unicodedata.category(char) == "Mn":
+            marks.append(char)
+        elif unicodedata.decomposition(char)[:1] not in ("", "<"):
+            left = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+            if len(left) == 1:
+                source.append(char)
+                target.append(left)
+            else:
+                several[char] = left
+    return "".join(source + marks), "".join(target), several
+
+
+FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _folding()
+#: Letters that syllables of Hangul consist of: first consonants, vowels, and last consonants, of which the first is none.
+JAMO = [[chr(first + k) for k in range(n)] for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27))]
 
 
 def strip_accents(text: Column) -> Column:
-    """Drop accents, composed or as marks of their own."""
-    return F.translate(F.regexp_replace(text, r"\p{Mn}", ""), FOLD_FROM, FOLD_TO)
+    """Canonical decomposition without marks, of any script. Null stays null."""
+    spread = f"[{''.join(FOLD_SEVERAL)}{chr(HANGUL)}-{chr(HANGUL + SYLLABLES - 1)}]"
+
+    def letters(c: Column) -> Column:
+        at = F.ascii(c) - HANGUL
+        of = lambda kind, k: F.get(F.array(*map(F.lit, kind)), k.cast("int"))
+        syllable = F.concat(of(JAMO[0], F.floor(at / 588)), of(JAMO[1], F.floor(at / 28) % 21), of(["", *JAMO[2]], at % 28))
+        known = F.create_map(*[F.lit(x) for pair in FOLD_SEVERAL.items() for x in pair])
+        return F.when((at >= 0) & (at < SYLLABLES), syllable).otherwise(F.coalesce(known[c], c))
+
+    plain = F.translate(text, FOLD_FROM, FOLD_TO)
+    return F.when(text.rlike(spread), F.array_join(F.transform(F.split(plain, ""), letters), "")).otherwise(plain)
 
 
 def collapse(text: Column) -> Column:

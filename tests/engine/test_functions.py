@@ -1,3 +1,6 @@
+import sys
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +75,13 @@ def test_number_helpers(spark):
     assert _one(spark, numbers.implied_price(F.lit(100.0), F.lit(4.0), F.lit(1), F.col("x")), x=25.1) == 25.1
     assert _one(spark, numbers.vat_or_theory(F.lit(100.0), F.col("x")), x=20.0) == 21.0
     assert _one(spark, numbers.deviates(F.col("x"), F.lit(-5.0), 0.03), x=9.0) is False
+
+
+def test_accents_of_all_scripts(spark):
+    """Every assigned code point, alone and between letters, against canonical decomposition without marks."""
+    chars = [chr(c) for c in range(1, sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    rows = [(k, f"a{c}b") for k, c in enumerate(chars)] + [(-1, "Чёрный й ΐ ά 한국어 각 Ñandú"), (-2, ""), (-3, None)]
+    plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    got = {r.k: r.t for r in spark.createDataFrame(rows, "k int, t string").select("k", text.strip_accents(F.col("t")).alias("t")).collect()}
+    wrong = [(k, t) for k, t in rows if got[k] != plain(t)]
+    assert not wrong, wrong[:20]
