@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, period_of_name
 from ..functions.numbers import MONEY, money, parse_ar, signed_amount, vat_control
-from ..functions.text import clean_control, norm_text
+from ..functions.text import clean_control, norm_cells, norm_text, norm_word
 from ..operators.classify import BANK_CATEGORIES, bank_label, clamp_category, first_match_join, without_excluded
 from ..operators.ledger import document_header, filled_categories, sums_by, with_contra
 from ..sources.files import write_files
@@ -63,38 +63,43 @@ UNKNOWN = 20
 
 def has_all(cells: Column, titles: list[str]) -> Column:
     """Every title is within the row: in a cell, or across cells that are joined by a bar."""
-    row = F.array_join(F.transform(cells, norm_text), " | ")
+    return _says_all(F.array_join(norm_cells(cells), " | "), titles)
+
+
+def _says_all(row: Column, titles: list[str]) -> Column:
     out = F.lit(True)
-    for title in map(norm_text, map(F.lit, titles)):
-        out = out & F.contains(row, title)
+    for title in titles:
+        out = out & F.contains(row, F.lit(norm_word(title)))
     return out
 
 
 def column_of(header: Column, title: str) -> Column:
     """1-based place of the first cell that has the title; null without one."""
-    return F.nullif(F.array_position(F.transform(header, lambda c: F.contains(norm_text(c), norm_text(F.lit(title)))), F.lit(True)), F.lit(0)).cast("int")
+    return F.nullif(F.array_position(F.transform(norm_cells(header), lambda c: F.contains(c, F.lit(norm_word(title)))), F.lit(True)), F.lit(0)).cast("int")
 
 
 def _any_of(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
-        out = out | F.contains(text, norm_text(F.lit(w)))
+        out = out | F.contains(text, F.lit(norm_word(w)))
     return out
 
 
 def detect_bank(cells: DataFrame, banks: dict[str, dict] = BANKS) -> DataFrame:
     """bank and header_row of each file: the first bank of the book whose sheet name and titles it has; else by the file's name, then
     by what its first 80 rows say, which know the built-in banks only. Both are null where nothing fits."""
-    sheet, name = norm_text(F.col("sheet_name")), norm_text(F.col("file"))
+    # Each row is normalized once, before its many tests.
+    normal = cells.select("file", "row_no", norm_text(F.col("sheet_name")).alias("_sheet"), norm_text(F.col("file")).alias("_name"), norm_cells(F.col("cells")).alias("_cells"))
+    normal = normal.select("file", "row_no", "_sheet", "_name", F.array_join("_cells", " | ").alias("_row"), F.array_join(F.slice("_cells", 1, 8), " | ").alias("_said"))
+    sheet, name = F.col("_sheet"), F.col("_name")
     by_rules = []
     for bank, b in banks.items():
         detect = b.get("detect") or {}
         names, titles = detect.get("sheet_name_contains") or [], detect.get("headers_any") or []
-        fits = (_any_of(sheet, names) if names else F.lit(True)) & (has_all(F.col("cells"), titles) if titles else F.lit(True))
+        fits = (_any_of(sheet, names) if names else F.lit(True)) & (_says_all(F.col("_row"), titles) if titles else F.lit(True))
         by_rules.append(F.when(F.max(fits), F.lit(bank)))
     by_name = F.when(_any_of(name, ["BPAT", "PATAGONIA"]), "BPAT").when(_any_of(name, ["BNA", "NACION"]) | F.contains(name, F.lit("NAC ")), "BNA")
-    said = F.array_join(F.transform(F.slice("cells", 1, 8), norm_text), " | ")
-    says = lambda w: F.max((F.col("row_no") <= 80) & F.contains(said, F.lit(w)))
+    says = lambda w: F.max((F.col("row_no") <= 80) & F.contains("_said", F.lit(w)))
     named = lambda *words: F.max(functools.reduce(operator.and_, [F.contains(sheet, F.lit(w)) for w in words]))
     by_text = (
         F.when(named("VERTVERT"), "BPAT").when(named("HOJA1", "TABLE"), "BNA")
@@ -102,8 +107,8 @@ def detect_bank(cells: DataFrame, banks: dict[str, dict] = BANKS) -> DataFrame:
         .when(says("BANCO NACION") | says("ULTIMOS MOVIMIENTOS") | (says("COMPROBANTE") & says("CONCEPTO") & says("IMPORTE")), "BNA")
     )
     first_two = {bank: [(b.get("columns") or {})[r] for r in TITLES if (b.get("columns") or {}).get(r)][:2] for bank, b in banks.items()}
-    header = [F.min(F.when(has_all(F.col("cells"), t), F.col("row_no"))).alias(f"head_{k}") for k, t in enumerate(first_two.values())]
-    found = cells.groupBy("file").agg(F.coalesce(*by_rules, F.first(by_name, ignorenulls=True), by_text).alias("bank"), *header)
+    header = [F.min(F.when(_says_all(F.col("_row"), t), F.col("row_no"))).alias(f"head_{k}") for k, t in enumerate(first_two.values())]
+    found = normal.groupBy("file").agg(F.coalesce(*by_rules, F.first(by_name, ignorenulls=True), by_text).alias("bank"), *header)
     return found.select("file", "bank", _by_bank({b: F.col(f"head_{k}") for k, b in enumerate(banks)}).alias("header_row"))
 
 
