@@ -11,6 +11,7 @@ from ..functions.text import after, ar_amounts, clean_label, is_noise, last_numb
 from ..operators.classify import CARD_CATEGORIES, LEDGER_ORDER, NET, SALES, SHEET_ORDER, card_of_name, card_of_text, card_phrase, classify_concept, is_generic_card, is_nacion, is_patagonia, line_label, paying_bank, positional_category
 from ..operators.frames import block_amounts, carry_forward, crop, drop_covered, keep_first, line_windows
 from ..operators.ledger import complete_or_all, control_sheet, document_header, filled_categories, honour_net, last_per_category, two_largest, with_residual
+from ..sources.scratch import written
 
 #: Fixed: amounts on a page, by name; each pattern's capture is one amount.
 PAGE_SUMS = {
@@ -127,7 +128,8 @@ def answer_categories(answers: DataFrame) -> DataFrame:
     lines = answers.select("doc", F.posexplode(F.split("text", r"\r?\n")).alias("k", "line")).where(~is_noise(F.col("line")))
     rows = lines.withColumn("p", split_pipe(F.col("line"))).where("p is not null and upper(p.concept) not in ('CONCEPTO', 'TIPO', 'TIPOCONCEPTOIA') and upper(p.total) not in ('TOTAL', 'IMPORTE')")
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("doc").orderBy("k")))
-    category = positional_category(classify_concept(F.col("p.concept")), F.col("p.concept"), F.col("row"))
+    rows = rows.select("doc", "k", "row", "p", classify_concept(F.col("p.concept")).alias("own"))
+    category = positional_category(F.col("own"), F.col("p.concept"), F.col("row"))
     return last_per_category(rows.select("doc", "k", category.alias("category"), parse_zero(F.col("p.total")).alias("amount")), ["doc"], "category", "amount", "k")
 
 
@@ -135,17 +137,18 @@ def ledger(pages: DataFrame, answers: DataFrame) -> DataFrame:
     """doc, ord, category (or label), amount.
 
     Patagonia's breakdown comes first, then Nación's blocks, then page sums and header amounts over the model's categories; these
-    close to zero through OTROS.
+    close to zero through OTROS. What several branches use is written once, below the shared folder, so that the plan doesn't repeat it.
     """
-    facts = document_facts(pages)
-    breakdown = patagonia_breakdown(pages).join(facts.where("patagonia").select("doc", "total_header", "balance"), "doc")
+    facts, _ = written(document_facts(pages), "facts")
+    own_pages = lambda flag: pages.join(facts.where(flag).select("doc"), "doc", "left_semi")
+    breakdown, _ = written(patagonia_breakdown(own_pages("patagonia")).join(facts.where("patagonia").select("doc", "total_header", "balance"), "doc"), "breakdown")
     ends = breakdown.groupBy("doc").agg(F.first("total_header").alias("t"), F.first("balance").alias("b"))
     first = ends.where("t is not null").select("doc", F.lit(-1).alias("ord"), F.lit("TOTAL PRESENTADO").alias("category"), F.col("t").cast(MONEY).alias("amount"))
     last = ends.where("b is not null").select("doc", F.lit(1 << 20).alias("ord"), F.lit("SALDO").alias("category"), (-F.abs("b")).cast(MONEY).alias("amount"))
     patagonia = breakdown.select("doc", F.col("k").alias("ord"), F.col("label").alias("category"), (-F.abs("amount")).cast(MONEY).alias("amount")).unionByName(first).unionByName(last)
     done = ends.select("doc")
 
-    blocks = sequential_blocks(pages).join(facts.where("nacion").select("doc", "total_header", "net_header"), "doc").join(done, "doc", "left_anti")
+    blocks = sequential_blocks(own_pages("nacion")).join(facts.where("nacion").select("doc", "total_header", "net_header"), "doc").join(done, "doc", "left_anti")
     w = Window.partitionBy("doc", "block")
     of = lambda label: F.max(F.when(F.col("label") == label, F.col("amount"))).over(w)
     lead = F.row_number().over(w.orderBy("label")) == 1
@@ -153,7 +156,7 @@ def ledger(pages: DataFrame, answers: DataFrame) -> DataFrame:
     wide = wide.withColumn("s1", F.when(F.col("_lead"), F.col("s"))).withColumn("n1", F.when(F.col("_lead"), F.col("n")))
     heads = complete_or_all(wide.where("_lead"), ["doc"], "s", "n", "total_header", "net_header").select("doc", "block")
     labels = wide.join(heads, ["doc", "block"], "left_semi").groupBy("doc", "label").agg(F.sum(F.col("amount").cast(MONEY)).cast(MONEY).alias("amount"), F.first("net_header").alias("net_header"))
-    labels = honour_net(labels, ["doc"], "net_header")
+    labels, _ = written(honour_net(labels, ["doc"], "net_header"), "labels")
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LEDGER_ORDER)), F.col("label")), F.lit(0)), F.lit(999))
     nacion = labels.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy(place, "label")).alias("ord"), F.col("label").alias("category"), F.when(F.contains("label", F.lit("VENTAS")), F.abs("amount")).otherwise(-F.abs("amount")).cast(MONEY).alias("amount"))
     done = done.unionByName(labels.select("doc").distinct())

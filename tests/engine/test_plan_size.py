@@ -21,3 +21,12 @@ def test_cells_of_null_and_empty_rows(spark):
     rows = [(1, ["á", None, "b"]), (2, None), (3, []), (4, ["ñ\t x"]), (5, [None])]
     got = {r.k: r.c for r in spark.createDataFrame(rows, "k int, c array<string>").coalesce(1).select("k", text.norm_cells(F.col("c")).alias("c")).collect()}
     assert got == {1: ["A", "", "B"], 2: None, 3: [], 4: ["N X"], 5: [""]}
+
+
+def test_settlement_ledger_doesnt_repeat_its_facts(spark):
+    from cuadra.plans import settlement
+
+    pages = spark.createDataFrame([("1", "a.pdf", 1, "BANCO NACION\nVENTAS C/DESCUENTO CONTADO+ $ 10,00\nIMPORTE NETO DE PAGOS $ 10,00")], "doc string, file string, page_no int, text string")
+    df = settlement.ledger(pages, spark.createDataFrame([], "doc string, text string"))
+    assert _size(df) < 600_000
+    assert [(r.category, float(r.amount)) for r in df.orderBy("ord").collect()] == [(settlement.SALES, 10.0), (settlement.NET, -10.0)]
