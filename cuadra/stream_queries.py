@@ -9,6 +9,8 @@ from .sources.scratch import shared_folder
 from .streaming import agent
 
 BATCHES = 4
+#: Lines of a file of a batch.
+FILE_LINES = 500_000
 _LINES_SQL = "SELECT CAST(l_suppkey AS VARCHAR) AS doc, (l_orderkey * 8 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS pos, l_returnflag AS label, l_extendedprice AS amount, l_returnflag = 'R' AS terminal FROM lineitem WHERE l_extendedprice > 0"
 
 
@@ -22,13 +24,14 @@ def streamed_blocks(spark, sf_dir):
         F.col("l_suppkey").cast("string").alias("doc"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("pos"), F.col("l_returnflag").alias("label"), F.col("l_extendedprice").alias("amount"), (F.col("l_returnflag") == "R").alias("terminal")
     )
     lines = lines.join(lines.groupBy("doc").agg(F.count("*").alias("lines")), "doc")
-    last = lines.agg(F.max("pos")).first()[0] or 1
+    last, n = lines.agg(F.max("pos"), F.count("*")).first()
+    last, files = last or 1, n // (BATCHES * FILE_LINES) + 1
     place = F.col("pos") / last + F.pmod(F.xxhash64("pos"), F.lit(1000)) / 50_000
     arrival = F.least(F.floor(place * BATCHES), F.lit(BATCHES - 1))
     at = shared_folder(spark, "stream")
     for k in range(BATCHES):
-        lines.where(arrival == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        lines.where(arrival == k).repartition(files).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
     blocks = agent.closed_blocks(stream, slack=200)
     run = blocks.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
