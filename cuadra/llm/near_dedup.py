@@ -5,10 +5,12 @@ odd sketches, parity bitmaps of the samples, estimate similarities, and promisin
 
 1. Each class meets the hub of each of its bands, the least class there. A group of near copies is joined by these links alone.
 2. A band whose other classes aren't all connected by then is looked at again: blocks of it meet by their sketches; classes with a
-   promising partner in another component fetch their sets, and a spanning forest of true links leaves each pair of blocks.
+   promising partner in another component fetch their sets, and a spanning forest of true links leaves each pair of blocks. A pair
+   meets in the first band that it shares only; later bands pass it over.
 
 So the work on a group of near copies grows with its size, and what is compared in pairs are only sketches of classes that share
-a band, are of like size and aren't connected.
+a band, are of like size and aren't connected. Classes that are alike but not linked have to be compared in pairs; that is done
+within blocks, which are larger where sets are small, so that rows aren't repeated for every few classes.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ GENERAL_PERCENT, GENERAL_BANDS, GENERAL_ROWS = 80, 40, 5
 MARGIN, GENERAL_MARGIN = 0.15, 0.18
 #: Classes in a block of a band, and classes that meet a hub in one task.
 BLOCK, STAR = 128, 256
+#: Blocks have up to this many times as many classes, as long as the sets of one have no more shingles than that, of 8 bytes each.
+WIDE, SHINGLES = 4, 1_000_000
 #: Classes, of 48 bytes each, that are broadcast to fetch their texts, 48 MB at most; more of them are joined by a shuffle.
 FEW = 1_000_000
 
@@ -152,8 +156,10 @@ def _star(percent: int):
 
 
 def _pairs_of_blocks(pdf: pd.DataFrame, percent: int, k: int) -> np.ndarray:
-    """Rows (place, place, differing bits) of the promising pairs of a pair of blocks that aren't in one component."""
+    """Rows (place, place, differing bits) of the promising pairs of a pair of blocks that aren't in one component, and share none of
+    the bands before this one where the rows bear them (``bands``, and ``at``, the number of those before)."""
     sketch, size, label, side = _bits(pdf.sketch), pdf.n.to_numpy(), pdf.label.to_numpy(), pdf.side.to_numpy()
+    before = np.stack(pdf.bands.to_numpy())[:, : pdf["at"].iloc[0]] if "bands" in pdf and len(pdf) else None
     one = not side.any()
     left = np.flatnonzero(side == 0)
     right = left if one else np.flatnonzero(side == 1)
@@ -162,6 +168,8 @@ def _pairs_of_blocks(pdf: pd.DataFrame, percent: int, k: int) -> np.ndarray:
         b = right[right > a] if one else right
         b = b[label[b] != label[a]]
         near, differing = promising(sketch[a], sketch[b], size[a], size[b], percent, k)
+        if before is not None:
+            near[near] = ~(before[a] == before[b[near]]).any(1)
         found.append(np.stack([np.full(near.sum(), a), b[near], differing[near]], 1))
     return np.concatenate(found)
 
@@ -213,17 +221,17 @@ def _confirmed(percent: int, k: int):
 
 #: What tells apart pairs of blocks: a band, and the size class and number of either block.
 GROUP = ["band", "c", "i", "d", "j"]
-_BLOCKS = schema(band=LONG, c=INT, i=INT, d=INT, j=INT, side=INT, node=LONG, label=LONG, n=LONG, sketch=BIN)
+_BLOCKS = schema(band=LONG, c=INT, i=INT, d=INT, j=INT, side=INT, node=LONG, label=LONG, n=LONG, sketch=BIN, at=INT, bands=T.ArrayType(LONG))
 
 
 def _blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """Rows (band, node, label, n, sketch) once for each pair of blocks that they are in: those of one size class, or of two that
+    """Rows (band, node, label, n, sketch, at, bands) once for each pair of blocks that they are in: those of one size class, or of two that
     follow each other, since links have like sizes. Bands of one block aren't classed by size."""
-    sizes = rows.groupBy("band").agg(F.count("*").alias("m"))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("m"), F.greatest(F.lit(block), F.least(F.lit(WIDE * block), F.floor(F.lit(SHINGLES) / F.max("n")))).alias("least"))
     step = max(1e-7, -1.0001 * math.log(max(percent, 1) / 100))
-    per = F.greatest(F.lit(block), F.ceil(2 * F.sqrt("m")))
-    rows = rows.join(sizes, "band").withColumn("c", F.when(F.col("m") <= block, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / step)).cast("int"))
-    classes = spill(rows.groupBy("band", "c", "m").agg(F.count("*").alias("own")).withColumn("blocks", F.ceil(F.col("own") / per).cast("int")).select("band", "c", "blocks"))
+    per = F.greatest("least", F.ceil(2 * F.sqrt("m")))
+    rows = rows.join(sizes, "band").withColumn("c", F.when(F.col("m") <= F.col("least"), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / step)).cast("int"))
+    classes = spill(rows.groupBy("band", "c", "m", "least").agg(F.count("*").alias("own")).withColumn("blocks", F.ceil(F.col("own") / per).cast("int")).select("band", "c", "blocks"))
     near = lambda d, name: classes.select("band", (F.col("c") + d).alias("c"), F.col("blocks").alias(name))
     rows = rows.join(classes, ["band", "c"]).join(near(-1, "above"), ["band", "c"], "left").join(near(1, "below"), ["band", "c"], "left")
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
@@ -235,7 +243,8 @@ def _blocks(rows: DataFrame, percent: int, block: int) -> DataFrame:
         F.transform(upto(F.col("above")), lambda o: to(c, own, c + 1, o, F.lit(0))),
         F.transform(upto(F.col("below")), lambda o: to(c - 1, o, c, own, F.lit(1))),
     )
-    return rows.select("band", F.explode(where).alias("at"), "node", "label", "n", "sketch").select("band", "at.*", "node", "label", "n", "sketch")
+    kept = ["node", "label", "n", "sketch", "at", "bands"]
+    return rows.select("band", F.explode(where).alias("to"), *kept).select("band", "to.*", *kept)
 
 
 def classes_of(docs: DataFrame, shingle: int, percent: int, bands: int | None, rows: int | None, block: int, tied: bool) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +266,7 @@ def classes_of(docs: DataFrame, shingle: int, percent: int, bands: int | None, r
         wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
         return spill(docs.join(wanted, ["doc_id", "th"]).select("node", "key", "text").mapInPandas(_sets(shingle), schema(node=LONG, members=BIN)))
 
-    banded = heads.select("node", F.explode("bands").alias("band"))
+    banded = heads.select("node", F.posexplode("bands").alias("at", "band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
     members = spill(banded.join(hubs, "band").where("node <> hub"))
 
@@ -278,11 +287,11 @@ def classes_of(docs: DataFrame, shingle: int, percent: int, bands: int | None, r
     components = connected(links)
     named = spill(heads.select("node").join(components.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
-    # Bands whose other classes aren't connected; one of those with the same classes.
-    labelled = members.join(named, "node").select("band", "node", "label")
-    about = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    open_ = about.where("least <> most").groupBy("least", "most", "m", "x", "y").agg(F.min("band").alias("band")).select("band")
-    rest = spill(labelled.join(spill(open_), "band").join(sketches, "node").select("band", "node", "label", "n", "sketch"))
+    # Bands whose other classes aren't connected; the first of those with the same classes, since pairs meet in the first they share.
+    labelled = members.join(named, "node").select("band", "at", "node", "label")
+    about = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("m"), F.min("at").alias("at"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    open_ = about.where("least <> most").groupBy("least", "most", "m", "x", "y").agg(F.min_by("band", F.struct("at", "band")).alias("band")).select("band")
+    rest = spill(labelled.join(spill(open_), "band").join(heads.select("node", "n", "sketch", "bands"), "node").select("band", "node", "label", "n", "sketch", "at", "bands"))
     met = _blocks(rest, percent, block).repartition(shards, *GROUP).sortWithinPartitions(*GROUP)
     met = spill(met.select(_BLOCKS.names).mapInPandas(_survivors(percent, k), _BLOCKS))
     missing = met.select("node").distinct().join(sets, "node", "left_anti")

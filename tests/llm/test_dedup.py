@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from cuadra.llm import near_dedup, substring_dedup
 
@@ -165,6 +166,21 @@ def test_connected_copies_meet_no_more():
     assert len(pd.concat(near_dedup._survivors(85, 192)(iter([group[:20], group[20:]])))) == 50
 
 
+def test_pairs_meet_in_the_first_band_that_they_share():
+    sketch = np.random.default_rng(3).bytes(64)
+    group = pd.DataFrame({"band": 1, "c": 0, "i": 0, "d": 0, "j": 0, "side": 0, "node": range(4), "label": range(4), "n": 100, "sketch": [sketch] * 4})
+    group["at"], group["bands"] = 2, [np.array(b) for b in ([5, 8, 1], [6, 8, 1], [6, 9, 1], [6, 9, 1])]
+    assert [r[:2] for r in near_dedup._pairs_of_blocks(group, 85, 192).tolist()] == [[0, 2], [0, 3]]
+    assert list(pd.concat(near_dedup._survivors(85, 192)(iter([group]))).node) == [0, 2, 3]
+    assert len(near_dedup._pairs_of_blocks(group.assign(at=0), 85, 192)) == 6
+
+
+def test_small_sets_share_large_blocks(spark):
+    rows = spark.range(300).selectExpr("1L band", "id node", "id label", "cast('' as binary) sketch", "0 at", "array(1L) bands")
+    of_size = lambda n: near_dedup._blocks(rows.withColumn("n", F.lit(n).cast("long")), 80, 128).count()
+    assert of_size(100) == 300 and of_size(100_000) == 900
+
+
 def test_drop_near_duplicates_of_odd_rows(spark, documents, odd_rows):
     docs = documents(odd_rows)
     kept = near_dedup.drop_near_duplicates(docs)
