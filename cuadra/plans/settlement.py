@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import block_date, page_period, period_to_date
-from ..functions.numbers import MONEY, parse_zero, vat_or_theory
+from ..functions.numbers import MONEY, once, parse_zero, vat_or_theory
 from ..functions.text import after, ar_amounts, clean_label, is_noise, last_number, section_label, split_pipe
 from ..operators.classify import CARD_CATEGORIES, LEDGER_ORDER, NET, SALES, SHEET_ORDER, card_of_name, card_of_text, card_phrase, classify_concept, is_generic_card, is_nacion, is_patagonia, line_label, paying_bank, positional_category
-from ..operators.frames import block_amounts, carry_forward, crop, drop_covered, keep_first, line_windows
+from ..operators.frames import block_amounts, carry_forward, crop, drop_covered, keep_first
 from ..operators.ledger import complete_or_all, control_sheet, document_header, filled_categories, honour_net, last_per_category, two_largest, with_residual
 from ..sources.scratch import written
 
@@ -74,14 +74,27 @@ def document_facts(pages: DataFrame) -> DataFrame:
     return facts.select("doc", "nacion", "patagonia", bank.alias("bank_name"), card.alias("card_name"), "period", F.coalesce("_t", "_p").alias("total_header"), "net_header", "balance", daily.alias("has_daily"), *PAGE_SUMS)
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """doc, pos (file, page, line) and line of every line."""
-    return pages.select("doc", "file", "page_no", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")).withColumn("pos", F.struct("file", "page_no", "line_no"))
+#: Pages that one task puts in order.
+PAGES = 50_000
+
+
+def dealt_by_doc(pages: DataFrame) -> DataFrame:
+    """``pages`` by doc, in as many partitions as their number asks for, so that what a task sorts doesn't grow with the input."""
+    shuffled = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(max(shuffled, -(-pages.count() // PAGES)), "doc")
+
+
+def labelled_lines(lines: Column) -> Column:
+    """k (from 0), label and amount of the lines that have a label and a positive amount."""
+    named = F.filter(F.transform(lines, lambda x, k: F.struct(k.alias("k"), x.alias("line"), line_label(x).alias("label"))), lambda x: x["label"].isNotNull())
+    amounts = F.transform(named, lambda x: F.struct(x["k"].alias("k"), x["label"].alias("label"), parse_zero(last_number(x["line"])).alias("amount")))
+    return F.filter(amounts, lambda x: x["amount"] > 0)
 
 
 def sequential_blocks(pages: DataFrame) -> DataFrame:
     """doc, block, label, amount: lines in sequence over all pages, a block ends at its net amount."""
-    lines = page_lines(pages).select("doc", "pos", line_label(F.col("line")).alias("label"), parse_zero(last_number(F.col("line"))).alias("amount"))
+    lines = dealt_by_doc(pages).select("doc", "file", "page_no", F.explode_outer(labelled_lines(F.split("text", r"\r?\n"))).alias("x")).where("x is not null")
+    lines = lines.select("doc", F.struct("file", "page_no", F.col("x.k").alias("line_no")).alias("pos"), "x.label", "x.amount")
     return block_amounts(lines, ["doc"], "pos", "label", "amount", NET)
 
 
@@ -91,18 +104,29 @@ def anchored_blocks(pages: DataFrame) -> DataFrame:
     Windows reach into the first 800 characters of the next page; equal blocks of a document count once.
     """
     head = F.lead(F.left("text", F.lit(800))).over(Window.partitionBy("doc", "file").orderBy("page_no"))
-    both = pages.select("doc", "file", "page_no", F.concat_ws("\n", "text", head).alias("text"))
-    lines = page_lines(both).where(F.trim("line") != "")
-    by, order = ["doc", "file", "page_no"], ["line_no"]
-    nets = line_windows(lines, by, order, "line", F.col("line").rlike(NET_LINE), 12, 2).withColumn("kind", F.lit(0))
-    sales = line_windows(lines, by, order, "line", F.col("line").rlike(SALES_LINE), 2, 9).withColumn("kind", F.lit(1))
-    windows = nets.unionByName(sales).withColumn("block", F.array_join("window", "\n"))
-    windows = keep_first(windows, [*by, F.left("block", F.lit(200))], ["kind", "line_no"])
-    cut = windows.select("doc", "pos", "kind", block_date(F.col("block")).alias("date"), crop(F.transform("window", lambda x: F.trim(x)), SALES_LINE, NET_LINE).alias("lines")).where("lines is not null")
-    long = cut.select("doc", "pos", "kind", "date", F.posexplode("lines").alias("k", "line")).where(F.contains("line", F.lit("$")))
-    amounts = long.select("doc", "pos", "kind", "date", "k", line_label(F.col("line")).alias("label"), parse_zero(last_number(F.col("line"))).alias("amount")).where("label is not null and amount > 0")
-    amounts = amounts.groupBy("doc", "pos", "kind", "date", "label").agg(F.max_by("amount", "k").alias("amount"))
-    blocks = amounts.groupBy("doc", "pos", "kind", "date").agg(F.array_sort(F.collect_list(F.struct("label", "amount"))).alias("concepts"))
+    both = dealt_by_doc(pages).select("doc", "file", "page_no", F.split(F.concat_ws("\n", "text", head), r"\r?\n").alias("lines"))
+    # A page's windows are made and read within its row; only blocks that have amounts become rows.
+    numbered = F.filter(F.transform("lines", lambda x, k: F.struct(k.alias("line_no"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
+    both = both.select("doc", "file", "page_no", numbered.alias("lines")).select("*", F.transform("lines", lambda x: x["line"]).alias("texts"))
+
+    def windows(kind: int, anchor: str, before: int, after_: int) -> Column:
+        around = lambda i: F.slice("texts", F.greatest(i + 1 - before, F.lit(1)), F.least(i, F.lit(before)) + 1 + after_)
+        window = lambda x, i: once(around(i), lambda w: F.struct(F.lit(kind).alias("kind"), x["line_no"].alias("line_no"), w.alias("window"), F.array_join(w, "\n").alias("block")))
+        return F.filter(F.transform("lines", lambda x, i: F.when(x["line"].rlike(anchor), window(x, i))), lambda w: w.isNotNull())
+
+    found = both.select("doc", "file", "page_no", F.concat(windows(0, NET_LINE, 12, 2), windows(1, SALES_LINE, 2, 9)).alias("w"))
+    found = found.select("*", F.transform("w", lambda w: F.left(w["block"], F.lit(200))).alias("starts"))
+    first = F.filter("w", lambda w, i: F.array_position("starts", F.left(w["block"], F.lit(200))) == i + 1)
+
+    def concepts(window: Column) -> Column:
+        cut = crop(F.transform(window, lambda x: F.trim(x)), SALES_LINE, NET_LINE)
+        amounts = labelled_lines(F.filter(cut, lambda x: F.contains(x, F.lit("$"))))
+        last = once(amounts, lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda y: y["label"] == x["label"])))
+        return F.array_sort(F.transform(last, lambda x: F.struct(x["label"].alias("label"), x["amount"].alias("amount"))))
+
+    blocks = F.transform(first, lambda w: F.struct(w["kind"].alias("kind"), w["line_no"].alias("line_no"), block_date(w["block"]).alias("date"), concepts(w["window"]).alias("concepts")))
+    blocks = found.select("doc", "file", "page_no", F.explode_outer(F.filter(blocks, lambda x: F.size(x["concepts"]) > 0)).alias("b")).where("b is not null")
+    blocks = blocks.select("doc", F.struct("file", "page_no", "b.line_no").alias("pos"), "b.kind", "b.date", "b.concepts")
     one = keep_first(blocks, ["doc", "concepts"], ["pos", "kind"])
     return one.select("doc", F.xxhash64("concepts").alias("block_key"), "date", F.explode("concepts").alias("c")).select("doc", "block_key", "date", "c.label", "c.amount")
 
