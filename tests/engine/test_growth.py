@@ -1,6 +1,6 @@
 """Steps that had to grow no faster than the input."""
 
-from cuadra import stream_queries
+from cuadra import document_queries, stream_queries
 from cuadra.plans import invoice, settlement
 from cuadra.queries import ORACLE_SQL, QUERIES
 
@@ -38,3 +38,9 @@ def test_tasks_order_a_bounded_number_of_pages(spark, monkeypatch):
     blocks = settlement.sequential_blocks(_pages(spark))
     assert "hashpartitioning(doc#" in (plan := blocks._jdf.queryExecution().executedPlan().toString()) and ", 8), REPARTITION_BY_NUM" in plan
     assert blocks.count() == 120
+
+
+def test_banks_of_headers_are_detected_once(spark, sf_dir, same_as_sql):
+    headers = document_queries.bank_headers(spark, sf_dir)
+    assert "_stripped" not in headers._jdf.queryExecution().optimizedPlan().toString()
+    assert same_as_sql(headers, ORACLE_SQL["bank_headers"], sf_dir) > 0
