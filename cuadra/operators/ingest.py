@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import age_seconds
-from ..functions.text import date_token, norm_path, provider_key, voucher_token
+from ..functions.text import norm_path, with_name_tokens
 from ..sources.scratch import removed, written
 
 #: Fixed: extensions by folder kind.
@@ -49,11 +49,11 @@ def group_documents(files: DataFrame, name: str = "name", modified: str = "modif
 
     A document has few files; its members are ordered by time, then name; ``n`` counts them.
     """
-    stem = F.trim(F.regexp_replace(F.regexp_replace(F.col(name), r"\.[^.]*$", ""), r"\s+", " "))
-    parts = [provider_key(stem), date_token(stem), voucher_token(stem)]
-    key = F.when(parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull(), F.concat_ws("|", *parts))
-    member = F.struct(F.col(modified).alias("modified"), F.lower(name).alias("lname"), F.col(name).alias("name"))
-    return files.groupBy(F.coalesce(key, F.concat(F.lit("file:"), F.col(name))).alias("document")).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n"))
+    known = with_name_tokens(files.select(F.col(name).alias("name"), F.col(modified).alias("modified")), F.trim(F.regexp_replace(F.regexp_replace(F.col("name"), r"\.[^.]*$", ""), r"\s+", " ")))
+    parts = ["_provider", "_date", "_voucher"]
+    key = F.when(F.col(parts[0]).isNotNull() & F.col(parts[1]).isNotNull() & F.col(parts[2]).isNotNull(), F.concat_ws("|", *parts))
+    member = F.struct("modified", F.lower("name").alias("lname"), "name")
+    return known.groupBy(F.coalesce(key, F.concat(F.lit("file:"), F.col("name"))).alias("document")).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n"))
 
 
 def with_route(rows: DataFrame, routes: DataFrame, key: str, value: str, default) -> DataFrame:

@@ -28,3 +28,20 @@ def test_spaces_are_collapsed_with_the_accents_and_not_by_a_regex_of_each_cell(s
         assert (r.n, r.c) == (_expected(TEXTS[r.k]), [_expected(TEXTS[r.k]), "E X", _expected(TEXTS[r.k])])
     kept = rows.select("k", text.strip_accents(F.col("t")).alias("s")).collect()
     assert {r.k: r.s for r in kept if r.k in (2, 10, 11)} == {2: "  Debito \t\x0b\r\n\f b ", 10: None, 11: "plain  ascii"}
+
+
+NAMES = ["FAC ACME SA 01-02 0001-00012345.pdf", "ACME_SA  01/02/2024 0001/00012345 (2).PDF", "foto1.jpg", "ab 01-02 12345678", "ACME 12345678.pdf", "ACME 01-02-2024", "ñandú & co 5_6_24 20123456789", ".pdf", "x"]
+
+
+def test_names_are_searched_once_for_each_token(spark):
+    from cuadra.operators import ingest
+
+    files = spark.createDataFrame([(n, k) for k, n in enumerate([*NAMES, NAMES[0].lower()])], "name string, modificationTime int")
+    grouped = ingest.group_documents(files)
+    assert _plan(grouped).count("regexp_") <= 12
+    stem = F.trim(F.regexp_replace(F.regexp_replace(F.col("name"), r"\.[^.]*$", ""), r"\s+", " "))
+    both = text.with_name_tokens(files, stem).select("_provider", text.provider_key(stem).alias("p"), "_date", text.date_token(stem).alias("d"), "_voucher", text.voucher_token(stem).alias("v"))
+    for r in both.collect():
+        assert (r._provider, r._date, r._voucher) == (r.p, r.d, r.v)
+    got = {r.document: ([m.modified for m in r.members], r.n) for r in grouped.collect()}
+    assert got["ACME SA|01-02|0001-00012345"] == ([0, 9], 2) and got["file:foto1.jpg"] == ([2], 1) and sum(n for _, n in got.values()) == len(NAMES) + 1
