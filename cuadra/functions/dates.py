@@ -16,9 +16,9 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 
 def parse_date(text: Column, number: Column | None = None) -> Column:
     """dd/mm/yyyy: of spreadsheet serials from 20,000 to 80,000, texts of that form (not validated), and ISO dates; else null."""
-    iso = r"^(\d{4})-(\d{2})-(\d{2})"
+    iso = r"^\d{4}-\d{2}-\d{2}"
     t = F.trim(text)
-    parsed = F.when(t.rlike(r"^\d{2}/\d{2}/\d{4}$"), t).when(t.rlike(iso), F.concat_ws("/", F.regexp_extract(t, iso, 3), F.regexp_extract(t, iso, 2), F.regexp_extract(t, iso, 1)))
+    parsed = F.when(t.rlike(r"^\d{2}/\d{2}/\d{4}$"), t).when(t.rlike(iso), F.concat_ws("/", F.substring(t, 9, 2), F.substring(t, 6, 2), F.substring(t, 1, 4)))
     if number is None:
         return parsed
     serial = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), F.floor(number).cast("int")), "dd/MM/yyyy")

@@ -57,6 +57,8 @@ def bank_names(banks: dict[str, dict]) -> dict[str, str]:
     return {key: b.get("bank_name") or key for key, b in banks.items()}
 
 
+#: Fixed: what the first rows of a statement say, by which the built-in banks are known.
+SAID = ["MOVIMIENTOS DE CUENTA", "DEBITO", "CREDITO", "DESCRIPCION", "BANCO NACION", "ULTIMOS MOVIMIENTOS", "COMPROBANTE", "CONCEPTO", "IMPORTE"]
 #: Unknown concepts that a control sheet lists.
 UNKNOWN = 20
 
@@ -88,33 +90,44 @@ def _any_of(text: Column, words: list[str]) -> Column:
 def detect_bank(cells: DataFrame, banks: dict[str, dict] = BANKS) -> DataFrame:
     """bank and header_row of each file: the first bank of the book whose sheet name and titles it has; else by the file's name, then
     by what its first 80 rows say, which know the built-in banks only. Both are null where nothing fits."""
-    # Each row is normalized once, before its many tests.
-    normal = cells.select("file", "row_no", norm_text(F.col("sheet_name")).alias("_sheet"), norm_text(F.col("file")).alias("_name"), norm_cells(F.col("cells")).alias("_cells"))
-    normal = normal.select("file", "row_no", "_sheet", "_name", F.array_join("_cells", " | ").alias("_row"), F.array_join(F.slice("_cells", 1, 8), " | ").alias("_said"))
+    # Each row is normalized once, before its many tests; names of files and sheets once for each sheet.
+    normal = cells.select("file", "sheet_name", "row_no", norm_cells(F.col("cells")).alias("_cells"))
+    normal = normal.select("file", "sheet_name", "row_no", F.array_join("_cells", " | ").alias("_row"), F.array_join(F.slice("_cells", 1, 8), " | ").alias("_said"))
+    row = F.col("_row")
+    first_two = [[(b.get("columns") or {})[r] for r in TITLES if (b.get("columns") or {}).get(r)][:2] for b in banks.values()]
+    titles = [(b.get("detect") or {}).get("headers_any") or [] for b in banks.values()]
+    tests = [F.max(_says_all(row, t)).alias(f"_titles_{k}") for k, t in enumerate(titles)]
+    tests += [F.max((F.col("row_no") <= 80) & F.contains("_said", F.lit(w))).alias(f"_says_{k}") for k, w in enumerate(SAID)]
+    tests += [F.min(F.when(_says_all(row, t), F.col("row_no"))).alias(f"_head_{k}") for k, t in enumerate(first_two)]
+    sheets = normal.groupBy("file", "sheet_name").agg(*tests)
+    sheets = sheets.withColumns({"_sheet": norm_text(F.col("sheet_name")), "_name": norm_text(F.col("file"))})
     sheet, name = F.col("_sheet"), F.col("_name")
     by_rules = []
-    for bank, b in banks.items():
-        detect = b.get("detect") or {}
-        names, titles = detect.get("sheet_name_contains") or [], detect.get("headers_any") or []
-        fits = (_any_of(sheet, names) if names else F.lit(True)) & (_says_all(F.col("_row"), titles) if titles else F.lit(True))
-        by_rules.append(F.when(F.max(fits), F.lit(bank)))
+    for k, (bank, b) in enumerate(banks.items()):
+        names = (b.get("detect") or {}).get("sheet_name_contains") or []
+        by_rules.append(F.when(F.max((_any_of(sheet, names) if names else F.lit(True)) & F.col(f"_titles_{k}")), F.lit(bank)))
     by_name = F.when(_any_of(name, ["BPAT", "PATAGONIA"]), "BPAT").when(_any_of(name, ["BNA", "NACION"]) | F.contains(name, F.lit("NAC ")), "BNA")
-    says = lambda w: F.max((F.col("row_no") <= 80) & F.contains("_said", F.lit(w)))
+    says = lambda w: F.max(f"_says_{SAID.index(w)}")
     named = lambda *words: F.max(functools.reduce(operator.and_, [F.contains(sheet, F.lit(w)) for w in words]))
     by_text = (
         F.when(named("VERTVERT"), "BPAT").when(named("HOJA1", "TABLE"), "BNA")
         .when(says("MOVIMIENTOS DE CUENTA") | (says("DEBITO") & says("CREDITO") & says("DESCRIPCION")), "BPAT")
         .when(says("BANCO NACION") | says("ULTIMOS MOVIMIENTOS") | (says("COMPROBANTE") & says("CONCEPTO") & says("IMPORTE")), "BNA")
     )
-    first_two = {bank: [(b.get("columns") or {})[r] for r in TITLES if (b.get("columns") or {}).get(r)][:2] for bank, b in banks.items()}
-    header = [F.min(F.when(_says_all(F.col("_row"), t), F.col("row_no"))).alias(f"head_{k}") for k, t in enumerate(first_two.values())]
-    found = normal.groupBy("file").agg(F.coalesce(*by_rules, F.first(by_name, ignorenulls=True), by_text).alias("bank"), *header)
+    header = [F.min(f"_head_{k}").alias(f"head_{k}") for k in range(len(banks))]
+    found = sheets.groupBy("file").agg(F.coalesce(*by_rules, F.first(by_name, ignorenulls=True), by_text).alias("bank"), *header)
     return found.select("file", "bank", _by_bank({b: F.col(f"head_{k}") for k, b in enumerate(banks)}).alias("header_row"))
 
 
 def statement_rows(cells: DataFrame, banks: dict[str, dict] = BANKS) -> DataFrame:
-    """file, bank, row_no, date, concept and amount of the rows below each file's header that have a date and a concept."""
-    found = detect_bank(cells, banks).where("bank is not null and header_row is not null")
+    """file, bank, row_no, date, concept and amount of the rows below each file's header that have a date and a concept. Rows of
+    sheets are read three times here, so they are written once before."""
+    return rows_below(kept := written(cells, "cells")[0], detect_bank(kept, banks), banks)
+
+
+def rows_below(cells: DataFrame, found: DataFrame, banks: dict[str, dict] = BANKS) -> DataFrame:
+    """``statement_rows`` of cells whose banks and headers have been ``found``."""
+    found = found.where("bank is not null and header_row is not null")
     heads = cells.join(found, "file").where("row_no = header_row")
     place = lambda role: _by_bank({k: column_of(F.col("cells"), (b.get("columns") or {}).get(role) or TITLES[role]) for k, b in banks.items()})
     heads = heads.select("file", "bank", "header_row", *[place(r).alias(f"at_{r}") for r in TITLES])
@@ -221,10 +234,11 @@ def write_statements(cells: DataFrame, rules: DataFrame, exclusions: DataFrame,
     """Three files for each statement, in the first folder that can be written to: the ledger (.txt), its log (.log) and the control
     of its concepts (_control_conceptos.xls, which is text). Returns the folder."""
     spark = cells.sparkSession
-    statement, one = written(statement_rows(cells, banks), "statement")
+    cells, zero = written(cells, "cells")
+    found, four = written(detect_bank(cells, banks), "banks")
+    statement, one = written(rows_below(cells, found, banks), "statement")
     rows, two = written(classified(statement, rules, exclusions), "classified")
     entries, three = written(ledger(rows), "entries")
-    found, four = written(detect_bank(cells, banks), "banks")
     lines = ledger_lines(entries, found, banks)
     text = _joined(lines, F.col("ord"), F.concat("category", F.lit("|"), _two(F.col("amount"))), "lines")
     text = header_lines(found, today, banks).join(text, "file").select("file", F.concat("header", "lines").alias("text"))
