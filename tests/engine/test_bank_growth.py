@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cuadra import document_queries
 from cuadra.plans import bank
-from cuadra.queries import QUERIES
+from cuadra.queries import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture
@@ -32,3 +32,10 @@ def test_names_of_files_and_sheets_are_normalized_once_for_each_sheet(spark, sf_
     plan = bank.detect_bank(document_queries._cells(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.rindex("Aggregate [file#") :]
     assert "_single_spaced_cells(" in below and "_single_spaced(" not in below and "_single_spaced(" in plan
+
+
+def test_control_sheets_classify_their_rows_once(spark, sf_dir, same_as_sql):
+    df = document_queries.bank_control_sheets(spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan
+    assert same_as_sql(df, ORACLE_SQL["bank_control_sheets"], sf_dir) > 0
