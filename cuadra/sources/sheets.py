@@ -21,7 +21,7 @@ from pyspark.sql import datasource as ds
 
 SCHEMA = "file string, sheet_name string, row_no int, cells array<string>, nums array<double>"
 FORMAT = pa.schema([("file", pa.string()), ("sheet_name", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("nums", pa.list_(pa.float64()))])
-#: A task takes files of so many bytes together; a larger workbook is cut into so many rows of a sheet. Rows of a batch.
+#: A task takes files of so many bytes together, and no more than its share where there are fewer tasks than cores; a larger workbook is cut into so many rows of a sheet. Rows of a batch.
 TASK_BYTES, TASK_ROWS, BATCH = 32 << 20, 100_000, 2048
 #: Fixed: where a statement's header is looked for, what it has, and the window around it that is read.
 PROBE_ROWS, PROBE_CELLS, BEFORE, AFTER, MOST_ROWS, MOST_CELLS = 120, 8, 6, 5500, 12_000, 12
@@ -153,6 +153,7 @@ class SheetReader(ds.DataSourceReader):
         self.window = str(options.get("window", "false")).lower() == "true"
         self.first_sheet = options.get("sheets", "all") == "first" or self.window
         self.cells = int(options["cells"]) if options.get("cells") else None
+        self.tasks = int(options.get("tasks", 1))
         self.names: set[str] | None = None
         self.rows = [1, None]
 
@@ -176,6 +177,7 @@ class SheetReader(ds.DataSourceReader):
         files = [found] if found.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path))
         files = sorted((f for f in files if f.is_file and not f.base_name.startswith((".", "_")) and (self.names is None or f.base_name in self.names)), key=lambda f: f.path)
         parts, held, size = [], [], 0
+        most = min(TASK_BYTES, sum(f.size for f in files) // self.tasks + 1)
         for f in files:
             if f.size > TASK_BYTES and self.read_rows is None and not self.window:
                 with store.open_input_file(f.path) as data:
@@ -185,7 +187,7 @@ class SheetReader(ds.DataSourceReader):
                     starts = range(1, max(rows, 1) + 1, TASK_ROWS)
                     parts += [Part([f.path], sheet, k, k + TASK_ROWS - 1 if k != starts[-1] else None) for k in starts]
                 continue
-            if held and size + f.size > TASK_BYTES:
+            if held and size + f.size > most:
                 parts, held, size = [*parts, Part(held)], [], 0
             held, size = [*held, f.path], size + f.size
         return [*parts, *([Part(held)] if held else [])]
@@ -257,7 +259,7 @@ def sheet_rows(spark: SparkSession, path: str, window: bool = False, sheets: str
     other past the window's 100th. Filters on ``file`` and ``row_no`` reach the tasks. A file that can't be read fails its task.
     """
     register_sheets(spark, read)
-    options = {"window": str(window), "sheets": sheets} | ({"cells": str(cells)} if cells else {})
+    options = {"window": str(window), "sheets": sheets, "tasks": str(spark.sparkContext.defaultParallelism)} | ({"cells": str(cells)} if cells else {})
     return spark.read.format("sheets").options(**options).load(path)
 
 

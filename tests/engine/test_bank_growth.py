@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuadra import document_queries
+from cuadra.operators import classify
 from cuadra.plans import bank
 from cuadra.queries import ORACLE_SQL, QUERIES
+from cuadra.sources import sheets
 
 
 @pytest.fixture
@@ -39,3 +41,26 @@ def test_control_sheets_classify_their_rows_once(spark, sf_dir, same_as_sql):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "EvalPython" not in plan
     assert same_as_sql(df, ORACLE_SQL["bank_control_sheets"], sf_dir) > 0
+
+
+def test_files_of_statements_make_their_cells_once(spark, tmp_path, counted):
+    cells, made, n = counted
+    rules, out = classify.read_rules(spark)
+    bank.write_statements(cells, rules, out, F.lit("2020-01-01").cast("date"), str(tmp_path / "out"))
+    assert made.value == n and len(list((tmp_path / "out").glob("*.log"))) > 0
+
+
+def test_workbooks_are_dealt_to_all_cores(spark, tmp_path):
+    day = [[45000, "1", "c", -1.5]]
+
+    def read(data):
+        return [("Hoja1 - Table 1", k, r) for k, r in enumerate([["Fecha", "Comprobante", "Concepto", "Importe"], *day * 3], 1)]
+
+    for k in range(12):
+        (tmp_path / f"{k}.xls").write_bytes(b"x" * 10)
+    cells = sheets.sheet_rows(spark, str(tmp_path), read=read)
+    cores = spark.sparkContext.defaultParallelism
+    parts = sheets.SheetReader({"path": str(tmp_path), "tasks": str(cores)}, read).partitions()
+    assert len(parts) >= cores and sorted(p for part in parts for p in part.paths) == sorted(str(tmp_path / f"{k}.xls") for k in range(12))
+    rows = bank.statement_rows(cells).collect()
+    assert len(rows) == 36 and {(r.bank, r.date, r.amount) for r in rows} == {("BNA", "15/03/2023", -1.5)}
