@@ -247,7 +247,7 @@ def write_statements(cells: DataFrame, rules: DataFrame, exclusions: DataFrame,
     try:
         return write_files(documents, folders)
     finally:
-        removed(spark, one, two, three, four)
+        removed(spark, zero, one, two, three, four)
 
 
 def control_sheets(rows: DataFrame) -> DataFrame:
