@@ -38,49 +38,51 @@ class _Fold(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.meta = handle.getValueState("meta", "block long, seen long, last long, timer long", self.forget)
-        self.held = handle.getListState("held", "pos long, label string, amount double, terminal boolean", self.forget)
-        self.open = handle.getListState("open", "label string, amount double", self.forget)
+        # One value has all of a document, as each call of a state costs more than what it brings.
+        self.state = handle.getValueState("document", "block long, seen long, last long, timer long, held array<struct<pos:long,label:string,amount:double,terminal:boolean>>, open array<struct<label:string,amount:double>>", self.forget)
+
+    def _known(self) -> tuple:
+        return self.state.get() or (0, 0, None, None, [], [])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        meta = self.meta.get() if self.meta.exists() else None
-        block, seen, last, timer = meta or (0, 0, None, None)
-        late = new.pos <= last if last is not None else pd.Series(False, new.index)
-        fresh, seen = new.loc[~late, LINES], seen + int((~late).sum())
-        total = new.lines.max()
-        done = pd.notna(total) and seen >= total
+        block, seen, last, timer, held, opened = self._known()
+        fresh, late, total = [], [], None
+        for part in rows:
+            lines = list(zip(*[part[c].tolist() for c in LINES], strict=True))
+            late += [x for x in lines if last is not None and x[0] <= last]
+            fresh += lines if last is None else [x for x in lines if not x[0] <= last]
+            known = part["lines"].max()
+            total = known if pd.notna(known) and (total is None or known > total) else total
+        seen += len(fresh)
+        done = total is not None and seen >= total
         if timer is not None:
             self.handle.deleteTimer(timer)
         timer = None if done or self.timeout is None else timerValues.getCurrentProcessingTimeInMs() + self.timeout
         if timer is not None:
             self.handle.registerTimer(timer)
-        out = new.loc[late, ["label", "amount"]].assign(block=None)
-        yield self._fold(key, fresh, 0 if done else self.slack, block, seen, last, timer, [out])
+        yield from self._fold(key, fresh, 0 if done else self.slack, block, seen, last, timer, held, opened, [(None, label, amount) for _, label, amount, _ in late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        block, seen, last, _ = self.meta.get() if self.meta.exists() else (0, 0, None, None)
-        yield self._fold(key, pd.DataFrame(columns=LINES), 0, block, seen, last, None, [])
+        block, seen, last, _, held, opened = self._known()
+        yield from self._fold(key, [], 0, block, seen, last, None, held, opened, [])
 
-    def _fold(self, key, fresh: pd.DataFrame, slack: int, block: int, seen: int, last: int | None, timer: int | None, out: list[pd.DataFrame]) -> pd.DataFrame:
-        waiting = [*self.held.get(), *fresh.itertuples(index=False, name=None)] if self.held.exists() else list(fresh.itertuples(index=False, name=None))
+    def _fold(self, key, fresh: list[tuple], slack: int, block: int, seen: int, last: int | None, timer: int | None, held: list, opened: list, late: list[tuple]) -> Iterator[pd.DataFrame]:
+        waiting = [*map(tuple, held), *fresh]
         waiting.sort(key=lambda x: (x[0], x[1] or "", x[2] if x[2] == x[2] and x[2] is not None else 0.0, bool(x[3])))
         at = max(0, len(waiting) - slack)
         ready, waiting = waiting[:at], waiting[at:]
-        held = dict(self.open.get()) if self.open.exists() else {}
-        closed = []
+        block_of, closed = dict(map(tuple, opened)), []
         for _, label, amount, terminal in ready:
             if label is not None and amount is not None and amount > 0:
-                held[label] = float(amount)
+                block_of[label] = float(amount)
                 if terminal:
-                    closed += [(block, k, v) for k, v in held.items()]
-                    block, held = block + 1, {}
-        put = lambda state, rows: state.put(rows) if rows else state.clear()
-        put(self.held, [(int(p), label, None if a is None or a != a else float(a), None if t is None else bool(t)) for p, label, a, t in waiting])
-        put(self.open, list(held.items()))
-        self.meta.update((block, seen, int(ready[-1][0]) if ready else last, timer))
-        rows = pd.concat([pd.DataFrame(closed, columns=["block", "label", "amount"]), *out], ignore_index=True)
-        return rows.assign(doc=key[0], block=rows.block.astype("Int64"))[["doc", "block", "label", "amount"]]
+                    closed += [(block, k, v) for k, v in block_of.items()]
+                    block, block_of = block + 1, {}
+        kept = [(int(p), label, None if a is None or a != a else float(a), None if t is None else bool(t)) for p, label, a, t in waiting]
+        self.state.update((block, seen, int(ready[-1][0]) if ready else last, timer, kept, list(block_of.items())))
+        if found := closed + late:
+            blocks, labels, amounts = zip(*found, strict=True)
+            yield pd.DataFrame({"doc": key[0], "block": pd.array(blocks, "Int64"), "label": labels, "amount": amounts})
 
     def close(self) -> None:
         pass
